@@ -66,12 +66,9 @@ def cuts_table(spark: SparkSession, cuts: Cuts) -> DataFrame:
     return F.broadcast(spark.createDataFrame(list(cuts.items()), "feature string, cuts array<double>"))
 
 
-def _steps(edges: Column, value: Column, count: int) -> Column:
-    """How many of the first ``count`` ascending edges are at or below the value."""
-    total = F.lit(0)
-    for i in range(count):
-        total = total + F.when(F.get(edges, F.lit(i)) <= value, 1).otherwise(0)
-    return total
+def _steps(edges: str, count: int) -> str:
+    """SQL: how many of the first ``count`` ascending edges are at or below the value."""
+    return " + ".join(["0", *[f"CASE WHEN get({edges}, {i}) <= value THEN 1 ELSE 0 END" for i in range(count)]])
 
 
 def with_bucket(long: DataFrame, cuts: Cuts) -> DataFrame:
@@ -90,9 +87,9 @@ def with_bucket(long: DataFrame, cuts: Cuts) -> DataFrame:
         table, "feature string, _heads array<double>, _blocks array<array<double>>"))
     return (
         long.join(lookup, "feature", "left")
-        .withColumn("_block", _steps(F.col("_heads"), F.col("value"), blocks - 1))
-        .withColumn("_inside", F.get(F.col("_blocks"), F.col("_block")))
-        .withColumn("bucket", F.col("_block") * block + _steps(F.col("_inside"), F.col("value"), block))
+        .withColumn("_block", F.expr(_steps("_heads", blocks - 1)))
+        .withColumn("_inside", F.expr("get(_blocks, _block)"))
+        .withColumn("bucket", F.expr(f"_block * {block} + {_steps('_inside', block)}"))
         .drop("_heads", "_blocks", "_block", "_inside")
     )
 
@@ -187,22 +184,20 @@ def with_bin(counts: DataFrame, edges: DataFrame, bins: int = 10, closed: bool =
     ``closed`` edges leave values beyond the ends without a bin (null). The edge table
     has one row per feature (and comparison), so it is broadcast.
     """
-    lookup = edges.select(
-        *on,
-        F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0))).alias("_inner"),
-        F.when(F.size("edges") >= 2, F.get("edges", F.lit(0))).alias("_low"),
-        F.when(F.size("edges") >= 2, F.get("edges", F.size("edges") - 1)).alias("_high"))
-    bin_ = _steps(F.col("_inner"), F.col("value"), bins - 1)
+    lookup = edges.selectExpr(
+        *on, "slice(edges, 2, greatest(size(edges) - 2, 0)) AS _inner",
+        "if(size(edges) >= 2, get(edges, 0), NULL) AS _low",
+        "if(size(edges) >= 2, get(edges, size(edges) - 1), NULL) AS _high")
+    bin_ = _steps("_inner", bins - 1)
     if closed:
-        outside = F.coalesce((F.col("value") < F.col("_low")) | (F.col("value") > F.col("_high")), F.lit(False))
-        bin_ = F.when(~outside, bin_)
-    return counts.join(F.broadcast(lookup), list(on)).withColumn("bin", bin_).drop("_inner", "_low", "_high")
+        bin_ = f"CASE WHEN value < _low OR value > _high THEN NULL ELSE {bin_} END"
+    return counts.join(F.broadcast(lookup), list(on)).withColumn("bin", F.expr(bin_)).drop("_inner", "_low", "_high")
 
 
 def histogram(counts: DataFrame, edges: DataFrame, by: Sequence[str] = (), bins: int = 10,
               closed: bool = False) -> DataFrame:
     """Counts ``(by, feature, bin, n)`` with a row for every bin, empty ones too."""
-    cells = F.array(*[F.sum(F.when(F.col("bin") == i, F.col("n")).otherwise(0)) for i in range(bins)])
+    cells = F.expr("array(" + ", ".join(f"sum(if(bin = {i}, n, 0))" for i in range(bins)) + ")")
     return (
         with_bin(counts, edges, bins, closed).groupBy(*by, "feature").agg(cells.alias("_cells"))
         .join(F.broadcast(edges.select("feature", F.size("edges").alias("_edges"))), "feature")

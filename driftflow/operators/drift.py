@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from driftflow.session import settle, small_table
 
 BINS = 10
 EMPTY_SHARE = 1e-4
+SIDES = ("base", "test")
 
 
 def _psi(binned: DataFrame, bins: int) -> DataFrame:
@@ -26,19 +27,15 @@ def _psi(binned: DataFrame, bins: int) -> DataFrame:
     Values without a bin (null) count in the denominators only. A share of zero is
     replaced by 1e-4. A comparison with an empty side is left out.
     """
-    sides = {side: F.when(F.col("side") == side, F.col("n")).otherwise(0) for side in ("base", "test")}
-    sums = [F.sum(n).alias(f"{side}_all") for side, n in sides.items()]
-    sums += [F.sum(F.when(F.col("bin") == i, n).otherwise(0)).alias(f"{side}_{i}")
-             for side, n in sides.items() for i in range(bins)]
-
-    def share(side: str, i: int) -> Column:
-        part = F.col(f"{side}_{i}") / F.col(f"{side}_all")
-        return F.when(part == 0, F.lit(EMPTY_SHARE)).otherwise(part)
-
-    terms = [(share("test", i) - share("base", i)) * F.log(share("test", i) / share("base", i)) for i in range(bins)]
+    sums = [f"sum(if(side = '{side}', n, 0)) AS {side}_all" for side in SIDES]
+    sums += [f"sum(if(side = '{side}' AND bin = {i}, n, 0)) AS {side}_{i}" for side in SIDES for i in range(bins)]
+    shares = [f"if({side}_{i} = 0, {EMPTY_SHARE}D, {side}_{i} / {side}_all) AS {side}_{i}"
+              for side in SIDES for i in range(bins)]
+    terms = [f"(test_{i} - base_{i}) * ln(test_{i} / base_{i})" for i in range(bins)]
     return (
-        binned.groupBy("cmp", "feature").agg(*sums).where("base_all > 0 AND test_all > 0")
-        .select("cmp", "feature", sum(terms, F.lit(0.0)).alias("psi"))
+        binned.groupBy("cmp", "feature").agg(*map(F.expr, sums)).where("base_all > 0 AND test_all > 0")
+        .selectExpr("cmp", "feature", *shares)
+        .selectExpr("cmp", "feature", " + ".join(["0D", *terms]) + " AS psi")
     )
 
 
@@ -84,7 +81,7 @@ def wasserstein(counts: DataFrame, pairs: DataFrame, cuts: D.Cuts | None = None)
     day tables, so no bucket waits for another. Base days are repeated for the
     comparisons they serve only after the shuffle.
     """
-    sides = {side: F.when(F.col("side") == side, F.col("n")).otherwise(0) for side in ("base", "test")}
+    sides = {side: F.when(F.col("side") == side, F.col("n")).otherwise(0) for side in SIDES}
     if not cuts:
         rows = counts.join(F.broadcast(pairs), "day")
         whole = W.partitionBy("cmp", "feature")
@@ -112,7 +109,7 @@ def _side_sizes(per_bucket: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs times features with the number of rows on either side."""
     whole = W.partitionBy("cmp", "feature")
     sizes = {f"{side}_all": F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).over(whole)
-             for side in ("base", "test")}
+             for side in SIDES}
     totals = per_bucket.groupBy("day", "feature").agg(F.sum("n").alias("n"))
     return totals.join(F.broadcast(pairs), "day").withColumns(sizes).drop("n")
 

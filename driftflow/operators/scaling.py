@@ -8,12 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftflow.operators.distribution import melt
+
 
 def fit_scaler(baseline: DataFrame, features: Iterable[str]) -> DataFrame:
     """Scaler table ``(ord, feature, min, max)`` with one row per feature that varies.
 
-    One aggregate over the baseline. A feature goes when its sample variance is
-    zero; it stays when the variance is undefined (a single row).
+    One aggregate over the baseline. A feature goes when its sample variance is zero
+    or the baseline has no value of it; it stays when the variance is undefined (a
+    single row).
     """
     fits = feature_fits(baseline, features)
     kept = fits.where(F.coalesce(F.col("variance") != 0, F.lit(True)))
@@ -21,14 +24,19 @@ def fit_scaler(baseline: DataFrame, features: Iterable[str]) -> DataFrame:
 
 
 def feature_fits(table: DataFrame, features: Iterable[str]) -> DataFrame:
-    """``(ord, feature, variance, min, max)`` of every feature, by one aggregate."""
-    aggregates, fits = [], []
-    for i, f in enumerate(features):
-        value = F.col(f"`{f}`").cast("double")
-        aggregates += [F.var_samp(value).alias(f"v{i}"), F.min(value).alias(f"a{i}"), F.max(value).alias(f"b{i}")]
-        fits.append(F.struct(F.lit(i).alias("ord"), F.lit(f).alias("feature"), F.col(f"v{i}").alias("variance"),
-                             F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max")))
-    return table.agg(*aggregates).select(F.inline(F.array(*fits)))
+    """``(ord, feature, variance, min, max)`` of every feature that has a value.
+
+    Aggregated in long form: partial results per feature leave each task, and the plan
+    does not grow with the number of features.
+    """
+    features = list(features)
+    place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")) - 1
+    return (
+        melt(table, features, [])
+        .groupBy("feature")
+        .agg(F.var_samp("value").alias("variance"), F.min("value").alias("min"), F.max("value").alias("max"))
+        .select(place.cast("int").alias("ord"), "feature", "variance", "min", "max")
+    )
 
 
 @dataclass(frozen=True)
@@ -46,21 +54,22 @@ class MinMax:
     def features(self) -> list[str]:
         return [f for f, _, _ in self.bounds]
 
-    def _apply(self, df: DataFrame, change) -> DataFrame:
-        changed = {f: change(F.col(f"`{f}`").cast("double"), low, high) for f, low, high in self.bounds}
-        return df.withColumns(changed)
+    def _apply(self, df: DataFrame, change: str) -> DataFrame:
+        return df.withColumns({
+            f: F.expr(change.format(x=f"CAST(`{f}` AS DOUBLE)", low=f"({low!r}D)", width=f"{self._width(low, high)!r}D"))
+            for f, low, high in self.bounds})
 
     def scale(self, df: DataFrame) -> DataFrame:
         """(x - min) / (max - min), not clipped."""
-        return self._apply(df, lambda x, low, high: (x - F.lit(low)) / F.lit(self._width(low, high)))
+        return self._apply(df, "({x} - {low}) / {width}")
 
     def unscale(self, df: DataFrame) -> DataFrame:
-        return self._apply(df, lambda x, low, high: x * F.lit(self._width(low, high)) + F.lit(low))
+        return self._apply(df, "{x} * {width} + {low}")
 
     @staticmethod
     def _width(low: float, high: float) -> float:
-        width = None if low is None or high is None else high - low
-        return 1.0 if width == 0 else width
+        """A feature with one value only is moved, not stretched."""
+        return high - low or 1.0
 
 
 def project(df: DataFrame, features: Iterable[str], keep: Iterable[str | Column] = ()) -> DataFrame:

@@ -37,14 +37,14 @@ def _is_missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
-def read_day_files(spark: SparkSession, files: Mapping[str, str], chunked: bool = False) -> DataFrame:
-    """Every existing day file as text columns with trimmed names, plus ``day``.
+def read_day_groups(spark: SparkSession, files: Mapping[str, str], chunked: bool = False) -> list[DataFrame]:
+    """Every existing day file as text columns with trimmed names, plus ``day``; one
+    table per set of columns, since days may differ in theirs.
 
-    Files are united by column name, since days may differ in their columns. A day
-    without a file is skipped with a warning. ``chunked`` adds ``chunk``, the offset
-    of the file split a row was read from.
+    A day without a file is skipped with a warning. ``chunked`` adds ``chunk``, the
+    offset of the file split a row was read from.
     """
-    tables = []
+    groups: dict[tuple[str, ...], list[DataFrame]] = {}
     for day, path in files.items():
         try:
             raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
@@ -54,13 +54,17 @@ def read_day_files(spark: SparkSession, files: Mapping[str, str], chunked: bool
             log.warning("no file for day %s at %s, skipped", day, path)
             continue
         extra = [F.col("_metadata.file_block_start").alias("chunk")] if chunked else []
-        tables.append(raw.select(
-            F.lit(day).alias("day"), *extra,
-            *[F.col(f"`{name}`").alias(name.strip()) for name in raw.columns],
-        ))
-    if not tables:
+        table = raw.select(F.lit(day).alias("day"), *extra,
+                           *[F.col(f"`{name}`").alias(name.strip()) for name in raw.columns])
+        groups.setdefault(tuple(sorted(table.columns)), []).append(table)
+    if not groups:
         raise FileNotFoundError(f"none of the day files exists: {sorted(files.values())}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return [reduce(DataFrame.unionByName, tables) for tables in groups.values()]
+
+
+def read_day_files(spark: SparkSession, files: Mapping[str, str], chunked: bool = False) -> DataFrame:
+    """All day files as one table; a column a day does not have is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read_day_groups(spark, files, chunked))
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -96,8 +100,9 @@ def read_day_table(spark: SparkSession, path: str, days: Iterable | None = None,
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header line and no index."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header line and no index; white space in cells is kept."""
+    df.write.mode(mode).options(
+        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def empty_day_table(spark: SparkSession, features: Iterable[str], day_type: T.DataType = T.StringType(),
