@@ -105,6 +105,7 @@ def quantile_edges(counts: DataFrame, bins: int = 10, by: Sequence[str] = (),
     found with integer arithmetic, so the result does not depend on rounding.
     """
     group = [*by, "feature"]
+    cuts = value_cuts(counts) if cuts is None else cuts
     if cuts:
         ranked = _ranked_in_buckets(with_bucket(counts, cuts), group, bins)
     else:

@@ -3,6 +3,9 @@
 ``pairs`` says who is compared: ``(cmp, day, side)`` with side ``base`` or ``test``
 (:func:`timeline.baseline_pairs`, :func:`timeline.window_pairs`). It has a few rows
 per day and is broadcast.
+
+``cuts`` are the cut points of :func:`distribution.value_cuts`. They are looked up when
+not given; pass them to several measures of the same table to look them up once.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ def _psi(binned: DataFrame, bins: int) -> DataFrame:
 
 def open_psi_edges(counts: DataFrame, pairs: DataFrame, bins: int = BINS, cuts: D.Cuts | None = None) -> DataFrame:
     """Edges per feature from the rows of all base days together."""
+    cuts = D.value_cuts(counts) if cuts is None else cuts
     base_days = small_table(pairs.where("side = 'base'").select("day").distinct())
     percentiles = D.quantile_edges(counts.join(base_days, "day"), bins, cuts=cuts)
     return percentiles.withColumn("edges", D.open_edges(F.col("edges")))
@@ -58,6 +62,7 @@ def psi_open(counts: DataFrame, pairs: DataFrame, bins: int = BINS, cuts: D.Cuts
 
 def window_psi_edges(counts: DataFrame, pairs: DataFrame, bins: int = BINS, cuts: D.Cuts | None = None) -> DataFrame:
     """Edges per comparison and feature from the rows of that comparison's base days."""
+    cuts = D.value_cuts(counts) if cuts is None else cuts
     base = counts.join(F.broadcast(pairs.where("side = 'base'").select("day", "cmp")), "day")
     percentiles = D.quantile_edges(base, bins, by=["cmp"], cuts=cuts)
     return percentiles.withColumn("edges", D.window_edges(F.col("edges")))
@@ -81,6 +86,7 @@ def wasserstein(counts: DataFrame, pairs: DataFrame, cuts: D.Cuts | None = None)
     day tables, so no bucket waits for another. Base days are repeated for the
     comparisons they serve only after the shuffle.
     """
+    cuts = D.value_cuts(counts) if cuts is None else cuts
     sides = {side: F.when(F.col("side") == side, F.col("n")).otherwise(0) for side in SIDES}
     if not cuts:
         rows = counts.join(F.broadcast(pairs), "day")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from driftflow.session import small_table
 
 WINDOW = 3
+MAX_DAYS = 100_000
 
 
 def timeline(spark: SparkSession, days: Sequence, baseline: int = WINDOW) -> DataFrame:
@@ -28,7 +29,9 @@ def timeline_of(df: DataFrame, baseline: int = WINDOW, day: str = "day") -> Data
     """The same table from the distinct days of ``df``, in the order of their values.
 
     The calendar (one value per day) is read once and fixed from then on."""
-    found = [row["day"] for row in df.select(F.col(day).alias("day")).distinct().collect()]
+    found = [row["day"] for row in df.select(F.col(day).alias("day")).distinct().limit(MAX_DAYS + 1).collect()]
+    if len(found) > MAX_DAYS:
+        raise ValueError(f"column {day} has more than {MAX_DAYS} values and cannot be a calendar")
     return timeline(df.sparkSession, sorted(found), baseline)
 
 

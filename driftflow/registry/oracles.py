@@ -314,30 +314,34 @@ ORACLES["class_counts"] = _with(EVENTS) + "SELECT day, label, count(*) AS n FROM
 
 _one_day = VECTORS.replace("CAST(vec_id % 10 AS INT) AS day", "CAST(1 AS INT) AS day")
 _vfit = "fit AS (SELECT " + ", ".join(f"min({f}) AS {f}_a, max({f}) AS {f}_b" for f in V_FEATURES) + " FROM v)"
-_target = "(SELECT CAST(floor(avg(n)) AS BIGINT) FROM counts)"
+_mean_class = "(SELECT CAST(floor(avg(n)) AS BIGINT) FROM counts)"
+_biggest_class = "(SELECT max(n) FROM counts)"
 _parts = ["CAST(c.day AS VARCHAR)", "c.label", "CAST(d AS VARCHAR)"]
-SYNTHETIC = [
-    "counts AS (SELECT day, label, count(*) AS n FROM v GROUP BY day, label)",
-    "s AS (SELECT day, label, row_number() OVER (PARTITION BY day, label\n"
-    "  ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), CAST(vec_id AS VARCHAR)) AS rk, "
-    + ", ".join(f"({f} - {f}_a) / ({f}_b - {f}_a) AS {f}" for f in V_FEATURES) + " FROM v, fit)",
-    f"drawn AS (SELECT c.day, c.label, d AS draw, 1 + {_hash(*_parts, chr(39) + 'i' + chr(39), chr(39) + '42' + chr(39))} % n AS i,\n"
-    f"  1 + {_hash(*_parts, chr(39) + 'j' + chr(39), chr(39) + '42' + chr(39))} % n AS j,\n"
-    f"  {_hash(*_parts, chr(39) + 'a' + chr(39), chr(39) + '42' + chr(39))} / CAST(4294967296 AS DOUBLE) AS a\n"
-    f"  FROM counts c, range(1, {_target} + 1) t(d) WHERE d <= {_target} - n)",
-    "synthetic AS (SELECT drawn.day, drawn.label, draw, " + ", ".join(
-        f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, a * x.{f} + (1 - a) * y.{f})) AS {f}" for f in V_FEATURES)
-    + "\n  FROM drawn JOIN s x ON x.day = drawn.day AND x.label = drawn.label AND x.rk = i\n"
-    "  JOIN s y ON y.day = drawn.day AND y.label = drawn.label AND y.rk = j)"]
-ORACLES["synthesize_minority"] = _with(_one_day, _vfit, *SYNTHETIC) + "SELECT * FROM synthetic"
-ORACLES["balance_vectors"] = _with(_one_day, _vfit, *SYNTHETIC) + (
+def _synthetic(target: str) -> list[str]:
+    return [
+        "counts AS (SELECT day, label, count(*) AS n FROM v GROUP BY day, label)",
+        "s AS (SELECT day, label, row_number() OVER (PARTITION BY day, label\n"
+        "  ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), CAST(vec_id AS VARCHAR)) AS rk, "
+        + ", ".join(f"({f} - {f}_a) / ({f}_b - {f}_a) AS {f}" for f in V_FEATURES) + " FROM v, fit)",
+        f"drawn AS (SELECT c.day, c.label, d AS draw, 1 + {_hash(*_parts, chr(39) + 'i' + chr(39), chr(39) + '42' + chr(39))} % n AS i,\n"
+        f"  1 + {_hash(*_parts, chr(39) + 'j' + chr(39), chr(39) + '42' + chr(39))} % n AS j,\n"
+        f"  {_hash(*_parts, chr(39) + 'a' + chr(39), chr(39) + '42' + chr(39))} / CAST(4294967296 AS DOUBLE) AS a\n"
+        f"  FROM counts c, range(1, {target} + 1) t(d) WHERE d <= {target} - n)",
+        "synthetic AS (SELECT drawn.day, drawn.label, draw, " + ", ".join(
+            f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, a * x.{f} + (1 - a) * y.{f})) AS {f}" for f in V_FEATURES)
+        + "\n  FROM drawn JOIN s x ON x.day = drawn.day AND x.label = drawn.label AND x.rk = i\n"
+        "  JOIN s y ON y.day = drawn.day AND y.label = drawn.label AND y.rk = j)"]
+
+
+ORACLES["synthesize_minority"] = _with(_one_day, _vfit, *_synthetic(_biggest_class)) + "SELECT * FROM synthetic"
+ORACLES["balance_vectors"] = _with(_one_day, _vfit, *_synthetic(_mean_class)) + (
     "SELECT day, label, 'real:' || CAST(vec_id AS VARCHAR) AS row_key, "
     + ", ".join(f"round({f}, 6) AS {f}" for f in V_FEATURES)
-    + f" FROM {_in_order('v', 'day, label', 'CAST(vec_id AS VARCHAR)')} WHERE rk <= {_target}\n"
+    + f" FROM {_in_order('v', 'day, label', 'CAST(vec_id AS VARCHAR)')} WHERE rk <= {_mean_class}\n"
     "UNION ALL SELECT day, label, 'new:' || CAST(draw AS VARCHAR), "
     + ", ".join(f"round({f} * ({f}_b - {f}_a) + {f}_a, 6)" for f in V_FEATURES) + " FROM synthetic, fit")
 ORACLES["balance_days"] = _with(LINEITEM, "counts AS (SELECT day, label, count(*) AS n FROM l GROUP BY day, label)") + (
-    f"SELECT day, label, {_target} AS n FROM counts")
+    f"SELECT day, label, {_mean_class} AS n FROM counts")
 
 # --- models and measures -------------------------------------------------------
 

@@ -277,7 +277,8 @@ def psi_window(spark, sf):
 @query
 def wasserstein(spark, sf):
     long, days = _scaled_long(spark, sf)
-    return _round(drift.wasserstein(distribution.value_counts(long), timeline.baseline_pairs(days)), "wasserstein")
+    counts = settle(distribution.value_counts(long), "value-counts")
+    return _round(drift.wasserstein(counts, timeline.baseline_pairs(days)), "wasserstein")
 
 
 @query
@@ -412,11 +413,15 @@ def _mean_class(table: DataFrame) -> int:
     return balancing.class_counts(table).agg(F.floor(F.avg("n")).alias("n")).first()["n"]
 
 
+def _biggest_class(table: DataFrame) -> int:
+    return balancing.class_counts(table).agg(F.max("n").alias("n")).first()["n"]
+
+
 @query
 def synthesize_minority(spark, sf):
     table, scaler = _one_day_vectors(spark, sf)
     return balancing.synthesize_minority(
-        scaler.scale(table), scaler.features, _mean_class(table), F.col("vec_id"))
+        scaler.scale(table), scaler.features, _biggest_class(table), F.col("vec_id"))
 
 
 @query
