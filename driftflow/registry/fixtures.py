@@ -30,10 +30,9 @@ def lineitem_days(spark: SparkSession, sf_dir: str, keyed: bool = False) -> Data
         "|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", _cents("l_quantity"), _cents("l_extendedprice"),
         _cents("l_discount"), _cents("l_tax"), "l_returnflag", "l_linestatus",
         F.unix_date(F.to_date("l_shipdate")))
-    table = read(spark, sf_dir, "lineitem").select(
+    return spread(read(spark, sf_dir, "lineitem")).select(
         F.year("l_shipdate").alias("day"), F.col("l_returnflag").alias("label"), *L_FEATURES,
         *([key.alias("row_key")] if keyed else []))
-    return spread(table)
 
 
 def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
