@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftflow.operators import cleaning, sampling
+from driftflow.session import settle
 from driftflow.sources import days as D
 
 TARGET_ROWS = 200_000
@@ -35,7 +36,8 @@ def sample_days(raw: DataFrame, key: Column, target_rows: int = TARGET_ROWS, fra
     chosen = sampling.take_per_group(
         raw.withColumn("_part", part), ["day", "chunk", "_part"], key,
         lambda n: F.bround(F.col("_part") * n, 0)).drop("_part", "chunk")
-    usable = cleaning.drop_bad_rows(chosen, features, others)
+    # Written once: the second sample takes several passes, over the part that is left.
+    usable = settle(cleaning.drop_bad_rows(chosen, features, others), "sampled")
     return sampling.sample_rows(usable, target_rows, ["day"], key)
 
 
@@ -44,7 +46,8 @@ def ingest_days(spark: SparkSession, files: Mapping[str, str], out: str, target_
     """All days to ``{out}/clean``; days with the same columns go through one plan.
 
     On the way ``{out}/raw-*`` keeps every row with a number: written numbers are the
-    same on every read, so the samples drawn by them are too. Tables that exist are kept.
+    same on every read, so the samples drawn by them are too. Since a small day holds
+    copies, the clean rows are numbered anew. Tables that exist are kept.
     """
     cleaned = []
     for i, group in enumerate(D.read_day_groups(spark, files, chunked=True)):
@@ -52,6 +55,6 @@ def ingest_days(spark: SparkSession, files: Mapping[str, str], out: str, target_
         part = day_fraction(F.col("day"), fractions, default_fraction)
         sampled = sample_days(raw, F.col("row_id"), target_rows, part, without=("day", "chunk", "row_id"))
         features = cleaning.feature_names(sampled, ["day", "row_id", "Label", "Timestamp"])
-        cleaned.append(cleaning.clean(sampled, features))
+        cleaned.append(cleaning.clean(sampled.drop("row_id"), features))
     table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cleaned)
-    return D.write_day_table(table, f"{out}/clean")
+    return D.write_day_table(D.with_row_id(table), f"{out}/clean")

@@ -57,6 +57,7 @@ def test_ingest_from_csv(spark, tmp_path):
     assert {r["label"] for r in rows} <= {"Benign", "Bot", "Infiltration"}
     assert all(r["Pkts"] == 0.0 for r in rows if r["label"] == "Bot")
     assert sum(r["day"] == "d2" for r in rows) == 33
+    assert len({r["row_id"] for r in rows}) == len(rows)
     assert "Timestamp" not in table.columns and "Label" not in table.columns
     again = ingest.ingest_days(spark, files, out, target_rows=3, fractions={}, default_fraction=1.0)
     assert sorted(map(repr, again.collect())) == sorted(map(repr, rows))
