@@ -17,10 +17,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftflow.session import local_table
+
 ROWS_PER_BUCKET = 50_000
 MAX_BUCKETS = 1024
 SAMPLE_PER_BUCKET = 200
@@ -63,7 +66,8 @@ def value_cuts(long: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, seed: in
 
 
 def cuts_table(spark: SparkSession, cuts: Cuts) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(list(cuts.items()), "feature string, cuts array<double>"))
+    schema = pa.schema([("feature", pa.string()), ("cuts", pa.list_(pa.float64()))])
+    return F.broadcast(local_table(spark, cuts.items(), schema))
 
 
 def _steps(edges: str, count: int) -> str:
@@ -83,8 +87,9 @@ def with_bucket(long: DataFrame, cuts: Cuts) -> DataFrame:
     blocks = -(-most // block)
     table = [(f, [c[i * block] for i in range(1, blocks) if i * block < len(c)],
               [c[i * block:(i + 1) * block] for i in range(blocks)]) for f, c in cuts.items()]
-    lookup = F.broadcast(long.sparkSession.createDataFrame(
-        table, "feature string, _heads array<double>, _blocks array<array<double>>"))
+    schema = pa.schema([("feature", pa.string()), ("_heads", pa.list_(pa.float64())),
+                        ("_blocks", pa.list_(pa.list_(pa.float64())))])
+    lookup = F.broadcast(local_table(long.sparkSession, table, schema))
     return (
         long.join(lookup, "feature", "left")
         .withColumn("_block", F.expr(_steps("_heads", blocks - 1)))

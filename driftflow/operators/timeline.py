@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftflow.session import small_table
+from driftflow.session import local_table, small_table
 
 WINDOW = 3
 MAX_DAYS = 100_000
@@ -21,8 +22,8 @@ MAX_DAYS = 100_000
 def timeline(spark: SparkSession, days: Sequence, baseline: int = WINDOW) -> DataFrame:
     """``(ord, day, role)`` from the days in time order; ord starts at 1."""
     rows = [(i, day, "baseline" if i <= baseline else "future") for i, day in enumerate(days, 1)]
-    kind = "int" if rows and isinstance(rows[0][1], int) else "string"
-    return spark.createDataFrame(rows, f"ord int, day {kind}, role string")
+    kind = pa.int32() if rows and isinstance(rows[0][1], int) else pa.string()
+    return local_table(spark, rows, pa.schema([("ord", pa.int32()), ("day", kind), ("role", pa.string())]))
 
 
 def timeline_of(df: DataFrame, baseline: int = WINDOW, day: str = "day") -> DataFrame:

@@ -112,9 +112,9 @@ WD = """wd AS (
     WINDOW w AS (PARTITION BY cmp, feature ORDER BY value))
   GROUP BY cmp, feature)"""
 
-FEATURE_DRIFT = ("SELECT cmp, feature, round(psi, 6) AS psi, round(wasserstein, 6) AS wasserstein\n"
+FEATURE_DRIFT = ("SELECT cmp, feature, round(psi, 6) + 0::DOUBLE AS psi, round(wasserstein, 6) + 0::DOUBLE AS wasserstein\n"
                  "FROM psi JOIN wd USING (cmp, feature)")
-MEAN_DRIFT = ("SELECT cmp AS day, round(avg(psi), 6) AS mean_psi, round(avg(wasserstein), 6) AS mean_wd\n"
+MEAN_DRIFT = ("SELECT cmp AS day, round(avg(psi), 6) + 0::DOUBLE AS mean_psi, round(avg(wasserstein), 6) + 0::DOUBLE AS mean_wd\n"
               "FROM psi JOIN wd USING (cmp, feature) GROUP BY cmp")
 
 
@@ -230,7 +230,7 @@ _scaled = ", ".join(f"({f} - {f}_a) / ({f}_b - {f}_a) AS {f}" for f in L_FEATURE
 ORACLES["scale_transform"] = _with(LINEITEM, _days("l"), _bounds) + (
     f"SELECT day, row_key, {_scaled} FROM l, fit WHERE day IN (SELECT day FROM days WHERE role = 'future')")
 ORACLES["scale_inverse"] = _with(LINEITEM) + (
-    "SELECT row_key, " + ", ".join(f"round({f}, 6) AS {f}" for f in L_FEATURES) + " FROM l")
+    "SELECT row_key, " + ", ".join(f"round({f}, 6) + 0::DOUBLE AS {f}" for f in L_FEATURES) + " FROM l")
 ORACLES["narrow_matrix"] = _with(LINEITEM, _days("l"), _bounds) + (
     "SELECT day, row_key, " + ", ".join(f"CAST(({f} - {f}_a) / ({f}_b - {f}_a) AS FLOAT) AS {f}" for f in L_FEATURES)
     + ", CAST(CASE WHEN label = 'N' THEN 0 ELSE 1 END AS INT) AS target FROM l, fit")
@@ -256,11 +256,11 @@ def _histogram(edges: str, bin_: str) -> str:
 ORACLES["histogram_open"] = _histogram(OPEN_EDGES, BIN)
 ORACLES["histogram_window"] = _histogram(WINDOW_EDGES, CLOSED_BIN)
 ORACLES["psi_open"] = _with(LINEITEM, _days("l"), BASE_PAIRS, *_long, *OPEN_PSI) + (
-    "SELECT cmp, feature, round(psi, 6) AS psi FROM psi")
+    "SELECT cmp, feature, round(psi, 6) + 0::DOUBLE AS psi FROM psi")
 ORACLES["psi_window"] = _with(LINEITEM, _days("l"), WINDOW_PAIRS, *_long, *WINDOW_PSI) + (
-    "SELECT cmp, feature, round(psi, 6) AS psi FROM psi")
+    "SELECT cmp, feature, round(psi, 6) + 0::DOUBLE AS psi FROM psi")
 ORACLES["wasserstein"] = _with(LINEITEM, _days("l"), BASE_PAIRS, *_long, WD) + (
-    "SELECT cmp, feature, round(wasserstein, 6) AS wasserstein FROM wd")
+    "SELECT cmp, feature, round(wasserstein, 6) + 0::DOUBLE AS wasserstein FROM wd")
 ORACLES["wasserstein_bucketed"] = ORACLES["wasserstein"]
 ORACLES["feature_drift"] = _drift(LINEITEM, "l", L_FEATURES, BASE_PAIRS, OPEN_PSI, FEATURE_DRIFT)
 ORACLES["feature_drift_vectors"] = _drift(VECTORS, "v", V_FEATURES, BASE_PAIRS, OPEN_PSI, FEATURE_DRIFT)
@@ -336,10 +336,10 @@ def _synthetic(target: str) -> list[str]:
 ORACLES["synthesize_minority"] = _with(_one_day, _vfit, *_synthetic(_biggest_class)) + "SELECT * FROM synthetic"
 ORACLES["balance_vectors"] = _with(_one_day, _vfit, *_synthetic(_mean_class)) + (
     "SELECT day, label, 'real:' || CAST(vec_id AS VARCHAR) AS row_key, "
-    + ", ".join(f"round({f}, 6) AS {f}" for f in V_FEATURES)
+    + ", ".join(f"round({f}, 6) + 0::DOUBLE AS {f}" for f in V_FEATURES)
     + f" FROM {_in_order('v', 'day, label', 'CAST(vec_id AS VARCHAR)')} WHERE rk <= {_mean_class}\n"
     "UNION ALL SELECT day, label, 'new:' || CAST(draw AS VARCHAR), "
-    + ", ".join(f"round({f} * ({f}_b - {f}_a) + {f}_a, 6)" for f in V_FEATURES) + " FROM synthetic, fit")
+    + ", ".join(f"round({f} * ({f}_b - {f}_a) + {f}_a, 6) + 0::DOUBLE" for f in V_FEATURES) + " FROM synthetic, fit")
 ORACLES["balance_days"] = _with(LINEITEM, "counts AS (SELECT day, label, count(*) AS n FROM l GROUP BY day, label)") + (
     f"SELECT day, label, {_mean_class} AS n FROM counts")
 
@@ -360,7 +360,7 @@ CONFUSED = """confused AS (
 
 
 def _share(part: str, whole: str) -> str:
-    return f"round(CASE WHEN {whole} = 0 THEN 0 ELSE CAST({part} AS DOUBLE) / ({whole}) END, 6)"
+    return f"round(CASE WHEN {whole} = 0 THEN 0 ELSE CAST({part} AS DOUBLE) / ({whole}) END, 6) + 0::DOUBLE"
 
 
 ORACLES["confusion_counts"] = _with(LINEITEM, CONFUSED) + "SELECT * FROM confused"

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, rows: Iterable[tuple], schema: pa.Schema) -> DataFrame:
+    """A few driver-side rows as a table that is part of the plan itself."""
+    columns = list(zip(*rows)) or [[] for _ in schema]
+    arrays = [pa.array(values, field.type) for values, field in zip(columns, schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
+
+
 def small_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
     """Run ``df`` and, if it holds at most ``limit`` rows, return it as a broadcast table.
 
