@@ -29,14 +29,15 @@ def active_window_drift(clean: DataFrame, days: DataFrame, scaler: MinMax, k: in
 
 def adaptive_scores(clean: DataFrame, balanced: DataFrame, days: DataFrame, scaler: MinMax, key: Column,
                     stages: Mapping[str, tuple[Pipeline, float | None]] | None = None,
-                    benign: str = BENIGN, k: int = WINDOW, fraction: float = ANCHOR_FRACTION) -> DataFrame:
+                    benign: str = BENIGN, k: int = WINDOW, fraction: float = ANCHOR_FRACTION,
+                    anchor: DataFrame | None = None) -> DataFrame:
     """``(model, day, target, predicted)``.
 
     Only the fits loop over the future days (a few); each is a distributed job. The
     anchor of a day is a filter over one sample, so the days do not wait for each other.
     """
     stages = stages or default_models(scaler.features, "Adaptive")
-    anchor = history_anchor(balanced, key, fraction)
+    anchor = history_anchor(balanced, key, fraction) if anchor is None else anchor
     tests = sorted((r["ord"], r["day"]) for r in days.where("role = 'future'").collect())
     parts = []
     for test_ord, test_day in tests:
@@ -48,9 +49,9 @@ def adaptive_scores(clean: DataFrame, balanced: DataFrame, days: DataFrame, scal
 
 def adaptive_experiment(clean: DataFrame, balanced: DataFrame, days: DataFrame, scaler: MinMax, key: Column,
                         stages: Mapping[str, tuple[Pipeline, float | None]] | None = None,
-                        benign: str = BENIGN, k: int = WINDOW) -> DataFrame:
+                        benign: str = BENIGN, k: int = WINDOW, anchor: DataFrame | None = None) -> DataFrame:
     """Performance per model and day with the drift of the day's window attached."""
-    scored = adaptive_scores(clean, balanced, days, scaler, key, stages, benign, k)
+    scored = adaptive_scores(clean, balanced, days, scaler, key, stages, benign, k, anchor=anchor)
     window = active_window_drift(clean, days, scaler, k).select(
         "day", F.col("mean_psi").alias("active_window_psi"), F.col("mean_wd").alias("active_window_wd"))
     return evaluation.performance(scored).join(window, "day", "left").select(
