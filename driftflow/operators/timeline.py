@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from driftflow.session import local_table, small_table
 
 WINDOW = 3
-MAX_DAYS = 100_000
+MAX_DAYS = 10_000
 
 
 def timeline(spark: SparkSession, days: Sequence, baseline: int = WINDOW) -> DataFrame:
