@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftflow.functions import scalars as S
-from driftflow.operators.sampling import SEED, cap_rows, draws, group_sizes, number_rows
+from driftflow.operators.sampling import (
+    SEED, cap_rows, draws, group_sizes, number_rows, salt_of_draw, salted, with_salts,
+)
 from driftflow.operators.scaling import MinMax
 from driftflow.session import small_table
 
@@ -48,19 +50,19 @@ def synthesize_minority(scaled: DataFrame, features: Sequence[str], target: int,
     one row gives copies.
     """
     by, features = list(by), list(features)
-    poor = small_table(class_counts(scaled, by).where(F.col("n") < target))
-    pool = number_rows(scaled.join(poor.select(*by), by), by, key, seed).select(
-        *by, "_index", *[F.col(f"`{f}`") for f in features])
+    classes = class_counts(scaled, by).where(F.col("n") < target).withColumn("_wanted", target - F.col("n"))
+    poor = small_table(with_salts(classes, "n", "_wanted"))
+    pool = salted(number_rows(scaled.join(poor.select(*by, "_salts"), by), by, key, seed))
     parts = [F.col(c) for c in by] + [F.col("draw")]
 
     def pick(which: str) -> Column:
         return 1 + F.pmod(S.hash_number(*parts, which, seed), F.col("n"))
 
-    drawn = draws(poor.withColumn("_wanted", target - F.col("n")), by, "_wanted").select(
-        *by, "draw", pick("i").alias("_i"), pick("j").alias("_j"), S.hash_uniform(*parts, "a", seed).alias("_a"))
-    first = pool.select(*by, F.col("_index").alias("_i"), F.struct(*_quoted(features)).alias("_x"))
-    second = pool.select(*by, F.col("_index").alias("_j"), F.struct(*_quoted(features)).alias("_y"))
-    mixed = drawn.join(first, [*by, "_i"]).join(second, [*by, "_j"])
+    drawn = draws(poor, by, "_wanted").select(
+        *by, "draw", salt_of_draw(), pick("i").alias("_i"), pick("j").alias("_j"), S.hash_uniform(*parts, "a", seed).alias("_a"))
+    first = pool.select(*by, "_salt", F.col("_index").alias("_i"), F.struct(*_quoted(features)).alias("_x"))
+    second = pool.select(*by, "_salt", F.col("_index").alias("_j"), F.struct(*_quoted(features)).alias("_y"))
+    mixed = drawn.join(first, [*by, "_salt", "_i"]).join(second, [*by, "_salt", "_j"])
     a = F.col("_a")
     return mixed.select(*by, "draw", *[
         S.clip(a * F.col("_x").getField(f) + (1 - a) * F.col("_y").getField(f)).alias(f) for f in features])

@@ -96,12 +96,13 @@ def sample_with_replacement(df: DataFrame, rows: int, by: Sequence[str], key: Co
                             seed: int = SEED) -> DataFrame:
     """``rows`` draws with replacement from each group that has fewer rows than that."""
     by = list(by)
-    short = small_table(group_sizes(df, by, "_size").where(F.col("_size") < rows))
-    pool = number_rows(df.join(short, by), by, key, seed)
-    drawn = draws(short.withColumn("_wanted", F.lit(rows)), by, "_wanted").withColumn(
+    sizes = group_sizes(df, by, "_size").where(F.col("_size") < rows)
+    short = small_table(with_salts(sizes.withColumn("_wanted", F.lit(rows).cast("bigint")), "_size", "_wanted"))
+    pool = salted(number_rows(df.join(short, by), by, key, seed))
+    drawn = draws(short, by, "_wanted").withColumn(
         "_index", 1 + F.pmod(S.hash_number(*[F.col(c) for c in by], F.col("draw"), seed), F.col("_size")))
     return (
-        drawn.select(*by, "_index").join(pool, [*by, "_index"])
+        drawn.select(*by, "_index", salt_of_draw()).join(pool, [*by, "_index", "_salt"])
         .select(*[F.col(f"`{c}`") for c in df.columns])
     )
 
@@ -133,6 +134,23 @@ def number_rows(df: DataFrame, by: Sequence[str], key: Column, seed: int = SEED,
 
 
 DRAW_BLOCK = 10_000
+DRAWS_PER_KEY = 100_000
+
+
+def with_salts(groups: DataFrame, size: str, wanted: str) -> DataFrame:
+    """Add ``_salts``, the number of join keys each row of a group gets, so that no key
+    is drawn much more often than ``DRAWS_PER_KEY`` times even from a group of one row."""
+    return groups.withColumn("_salts", F.greatest(F.lit(1).cast("bigint"), F.ceil(
+        F.col(wanted) / (F.col(size) * F.lit(DRAWS_PER_KEY)))))
+
+
+def salted(pool: DataFrame) -> DataFrame:
+    """Every row once per salt of its group: at most one copy per ``DRAWS_PER_KEY`` draws."""
+    return pool.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1)))
+
+
+def salt_of_draw() -> Column:
+    return F.pmod("draw", "_salts").alias("_salt")
 
 
 def draws(groups: DataFrame, by: Sequence[str], wanted: str) -> DataFrame:

@@ -81,3 +81,13 @@ def test_too_many_groups_to_broadcast(spark, monkeypatch):
     monkeypatch.setattr(sampling, "small_table", lambda df: small(df, limit=1))
     got = taken(sampling.sample_fraction(table, 0.5, ["g"], F.col("id")))
     assert {g: sorted(x) for g, x in got.items()} == {g: sorted(x) for g, x in want.items()}
+
+
+def test_salts_spread_the_draws_and_change_nothing(spark, monkeypatch):
+    table = groups(spark, {"one": 1, "few": 3})
+    want = taken(sampling.sample_with_replacement(table, 40, ["g"], F.col("id")))
+    monkeypatch.setattr(sampling, "DRAWS_PER_KEY", 2)
+    sizes = sampling.group_sizes(table, ["g"]).withColumn("wanted", F.lit(40))
+    assert {r["g"]: r["_salts"] for r in sampling.with_salts(sizes, "n", "wanted").collect()} == {"one": 20, "few": 7}
+    got = taken(sampling.sample_with_replacement(table, 40, ["g"], F.col("id")))
+    assert {g: sorted(x) for g, x in got.items()} == {g: sorted(x) for g, x in want.items()}
