@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftflow.llm import line_dedup, mixing
+from driftflow.llm import line_dedup, mixing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(docs, sources, pieces).drop("row")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_mixing": op4_mixing,
+    "op5_substring_dedup": op5_substring_dedup,
 }
 
 ORACLES = {
@@ -76,5 +82,22 @@ placed AS (
 SELECT doc_id, size, source_size, target,
        sum(greatest(0, least(stop, floor(target)::BIGINT) - (stop - size)))::BIGINT AS taken
 FROM placed GROUP BY r, doc_id, size, source_size, target
+""",
+    "op5_substring_dedup": r"""
+WITH keyed AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS ord,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words
+  FROM documents),
+windows AS (
+  SELECT r, ord, p, array_to_string(words[p:p + 12], ' ') AS name
+  FROM (SELECT *, unnest(range(1, len(words) - 11)) AS p FROM keyed)),
+later AS (SELECT r, p FROM (SELECT *, min(ord) OVER (PARTITION BY name) AS first FROM windows) WHERE ord > first),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 13)) AS i FROM later),
+words AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM keyed),
+kept AS (
+  SELECT r, count(g.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE g.i IS NULL), '') AS kept
+  FROM words w LEFT JOIN gone g USING (r, i) GROUP BY r)
+SELECT d.doc_id, len(d.words) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM keyed d LEFT JOIN kept k USING (r)
 """,
 }
