@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftflow.llm import line_dedup, mixing, substring_dedup
+from driftflow.llm import dart_minhash, line_dedup, mixing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows", "kept")
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_dart_minhash": op7_dart_minhash,
 }
 
 ORACLES = {
