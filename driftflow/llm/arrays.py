@@ -18,6 +18,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+# Lower case, and ASCII marks as blanks: words are then runs of letters and digits.
+PLAIN = LOWER.copy()
+PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -83,10 +86,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a chunk of texts: ``start`` and ``end`` bytes of each, ``first[i]:first[i+1]`` those of text i."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, table: np.ndarray | None = None):
+        """``table`` maps every byte beforehand (``LOWER``, ``PLAIN``)."""
         self.data, self.offsets = text_bytes(column)
-        if lower:
-            self.data = LOWER[self.data]
+        if table is not None:
+            self.data = table[self.data]
         solid = ~_SPACE[self.data]
         n = len(solid)
         opens, closes = solid.copy(), solid.copy()
