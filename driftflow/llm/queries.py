@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftflow.llm import dart_minhash, decontamination, line_dedup, mixing, substring_dedup
+from driftflow.llm import dart_minhash, decontamination, language, line_dedup, mixing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +36,21 @@ def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows", "kept")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", language.held_out(F.col("doc_id"), 3, 1).alias("held_out"))
+    model = language.LanguageId.fit(docs.where("NOT held_out"))
+    return docs.select("doc_id", "held_out", model.predict(F.col("text")).alias("told")).select(
+        "doc_id", "held_out", F.col("told.lang").alias("lang_pred"), "told.score")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_dart_minhash": op7_dart_minhash,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES = {
