@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftflow.llm import dart_minhash, decontamination, language, line_dedup, mixing, substring_dedup
+from driftflow.llm import dart_minhash, decontamination, edit_embedding, language, line_dedup, mixing, ordinal, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_removed", F.col("kept").alias("text"))
 
 
+def op3_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.sized(table(spark, sf_dir, "documents"))
     sources, pieces = mixing.mix(docs, weights=[3, 1, 2])
@@ -44,13 +48,25 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", F.col("told.lang").alias("lang_pred"), "told.score")
 
 
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 for toxic, 1 for low quality, 2 for neither. Selected: more likely than not of the highest grade."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    model = ordinal.QualityModel.fit(docs, table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")))
+    rated = docs.select("doc_id", model.rate(F.col("text")).alias("rate"))
+    return rated.select("doc_id", "rate.expected_grade", "rate.tail_probability",
+                        (F.col("rate.tail_probability") >= 0.5).alias("selected"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
+    "op3_edit_embedding": op3_edit_embedding,
     "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_dart_minhash": op7_dart_minhash,
     "op9_language_id": op9_language_id,
+    "op10_ordinal_quality": op10_ordinal_quality,
 }
 
 ORACLES = {
