@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftflow.llm import dart_minhash, decontamination, edit_embedding, language, line_dedup, mixing, ordinal, substring_dedup
+from driftflow.llm import dart_minhash, decontamination, edit_embedding, language, line_dedup, mixing, ordinal, substring_dedup, tree_weighting
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows", "kept")
 
 
+def op8_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", language.held_out(F.col("doc_id"), 7, 2).alias("held_out"))
+    return tree_weighting.score(docs)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", "lang", language.held_out(F.col("doc_id"), 3, 1).alias("held_out"))
@@ -65,6 +71,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_dart_minhash": op7_dart_minhash,
+    "op8_tree_weighting": op8_tree_weighting,
     "op9_language_id": op9_language_id,
     "op10_ordinal_quality": op10_ordinal_quality,
 }
