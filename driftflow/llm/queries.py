@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftflow.llm import dart_minhash, decontamination, edit_embedding, language, line_dedup, mixing, ordinal, substring_dedup, tree_weighting
+from driftflow.llm import chat, dart_minhash, decontamination, edit_embedding, language, line_dedup, mixing, ordinal, substring_dedup, tree_weighting
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.digests(chat.examples(turns))
+
+
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows", "kept")
 
@@ -70,6 +79,7 @@ QUERIES = {
     "op3_edit_embedding": op3_edit_embedding,
     "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_chat_format": op6_chat_format,
     "op7_dart_minhash": op7_dart_minhash,
     "op8_tree_weighting": op8_tree_weighting,
     "op9_language_id": op9_language_id,
@@ -141,5 +151,24 @@ kept AS (
   FROM words w LEFT JOIN gone g USING (r, i) GROUP BY r)
 SELECT d.doc_id, len(d.words) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM keyed d LEFT JOIN kept k USING (r)
+""",
+    "op6_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+formatted AS (
+  SELECT *, length(regexp_replace(text, '[\\<\[]', '__', 'g'))
+         + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+           ELSE 18 + length(regexp_replace(role, '[\\<\[]', '__', 'g')) END AS chars
+  FROM turns),
+upto AS (
+  SELECT *, sum(chars) OVER w AS prefix, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM formatted WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) FILTER (WHERE role = 'assistant' OR i = n) AS n_examples, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(prefix) FILTER (WHERE role = 'assistant' OR i = n)::BIGINT AS formatted_chars
+FROM upto GROUP BY conv_id
 """,
 }

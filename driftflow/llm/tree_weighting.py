@@ -26,7 +26,7 @@ from driftflow.llm import arrays
 from driftflow.session import settle
 
 DEPTH = 5
-CONTEXTS = 1 << 14
+CONTEXTS = 1 << 16
 FREQUENT = 1 << 18
 START, END = 0xFE, 0xFF
 _CHUNK = 4 << 20
@@ -180,7 +180,8 @@ class TreeModel:
                 share = share * (1 - stop[level])
                 final = mixed + share * rest[level]
             logs[base[level]:base[level + 1]] = _symbol_logs(np.clip(final, 1e-12, 1 - 1e-12))
-        return cls(depth, ways.ravel(), logs.ravel())
+        # The longest contexts lead nowhere.
+        return cls(depth, ways[:base[depth]].ravel(), logs.ravel())
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """Log10 probability of each text and its end."""
@@ -191,7 +192,8 @@ class TreeModel:
             state = np.zeros(len(spots), np.int64)
             live = np.ones(len(spots), bool)
             for k in range(1, self.depth + 1):
-                goal = self.ways[state * 256 + symbols[spots - k]]
+                # Those that have stopped are at a context of any length; where they look does not matter.
+                goal = self.ways[np.where(live, state, 0) * 256 + symbols[spots - k]]
                 live &= goal >= 0
                 state = np.where(live, goal, state)
             out[low:low + len(spots)] = self.logs[state * 256 + symbols[spots]]
