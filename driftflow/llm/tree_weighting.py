@@ -6,11 +6,11 @@ each holds a Krichevsky-Trofimov estimate, and all depths are mixed by the weigh
 counts give them. A text is its bytes with A-Z in lower case, then an end symbol; before it
 stand start symbols (two bytes that UTF-8 never uses).
 
-Learning counts what follows each context, over all texts, in Spark. Contexts that make up
-less than one part in ``contexts`` of all symbols are taken together as one further child of
-the longest kept context above them, so a model has at most ``contexts`` contexts of each
-length however large the corpus is. That bound is what makes it small enough for the driver
-to compute the mixture, and for every task to hold the finished table of log probabilities.
+Learning counts what follows each context, over all texts, in Spark. The ``contexts`` most
+frequent contexts are kept; the others are taken together as one further child of the longest
+kept context above them. So a model has a bounded size however large the corpus is, which
+makes it small enough for the driver to compute the mixture, and for every task to hold the
+finished table of log probabilities (about 1.5 KB a context).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from driftflow.llm import arrays
 from driftflow.session import settle
 
 DEPTH = 5
-CONTEXTS = 1 << 16
+CONTEXTS = 40_000
 FREQUENT = 1 << 18
 START, END = 0xFE, 0xFF
 _CHUNK = 4 << 20
@@ -88,7 +88,11 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log probability that the Krichevsky-Trofimov estimate gives to these counts in any order."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - np.log(np.pi)
+    out = np.empty_like(zeros)
+    for low in range(0, len(out), 1024):
+        a, b = zeros[low:low + 1024], ones[low:low + 1024]
+        out[low:low + 1024] = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - np.log(np.pi)
+    return out
 
 
 def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,13 +120,14 @@ class TreeModel:
     @classmethod
     def fit(cls, grams: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS) -> TreeModel:
         """``grams``: ``key, n`` of runs of ``depth + 1`` symbols."""
-        total = grams.agg(F.sum("n")).first()[0] or 0
         masks = F.array(*[F.lit((1 << 8 * (d + 1)) - 1) for d in range(depth + 1)])
         parts = grams.select("n", "key", F.posexplode(masks).alias("d", "mask")).groupBy(
             "d", F.col("key").bitwiseAND(F.col("mask")).alias("code")).agg(F.sum("n").alias("n"))
         parts = settle(parts.withColumn("context", F.shiftright("code", 8)), "context-symbols")
-        kept = parts.groupBy("d", "context").agg(F.sum("n").alias("all")).where(F.col("all") * contexts >= total)
-        # At most ``contexts`` contexts of each length, with at most 256 symbols each.
+        # A context is as frequent as those that end in it, or more, and comes before them here.
+        kept = parts.groupBy("d", "context").agg(F.sum("n").alias("all")).orderBy(
+            F.desc("all"), "d", "context").limit(contexts)
+        # At most 256 symbols for each of them.
         rows = parts.join(kept.select("d", "context"), ["d", "context"]).select("d", "context", "code", "n").toArrow()
         rows = rows.sort_by([("d", "ascending"), ("code", "ascending")])
         return cls.of_counts(*(rows[c].to_numpy() for c in ("d", "context", "code", "n")), depth)
@@ -179,7 +184,8 @@ class TreeModel:
                 mixed = mixed + share * stop[level] * own
                 share = share * (1 - stop[level])
                 final = mixed + share * rest[level]
-            logs[base[level]:base[level + 1]] = _symbol_logs(np.clip(final, 1e-12, 1 - 1e-12))
+            for low in range(0, len(final), 1024):
+                logs[base[level] + low:][:len(final[low:low + 1024])] = _symbol_logs(np.clip(final[low:low + 1024], 1e-12, 1 - 1e-12))
         # The longest contexts lead nowhere.
         return cls(depth, ways[:base[depth]].ravel(), logs.ravel())
 
