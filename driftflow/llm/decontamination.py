@@ -123,31 +123,32 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size:
     """``th, size, item_id, score, low`` of texts that hold (an edited copy of) a test item: the best
     alignment of each pair, and the word of the text at which its passage begins.
 
-    Items of fewer than ``size`` words have no seeds and are never found; null texts are skipped.
+    Null ids are ids like others. Items of fewer than ``size`` words have no seeds and are never found; null texts are skipped.
     """
     tests = settle(items.select("item_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(
-        _item_rows(size), "item_id long, words array<long>, seeds array<long>"), "items")
-    spots = tests.select("item_id", F.size("words").alias("length"), F.posexplode("seeds").alias("item_at", "seed"))
+        _item_rows(size), "item_id long, words array<long>, seeds array<long>").withColumn(
+        "item", F.monotonically_increasing_id()), "items")
+    spots = tests.select("item", F.size("words").alias("length"), F.posexplode("seeds").alias("item_at", "seed"))
     wanted = bloom.build(spots, "seed")
     texts = _keyed(docs)
     hits = settle(texts.mapInArrow(_hits(size, wanted), "th long, size int, at int, seed long").distinct(), "hits")
     # Hits that only the filter lets pass are dropped by the joins with the items' seeds.
     spread = hits.groupBy("seed").agg(F.count_distinct("th", "size").alias("texts"))
     known = spots.join(spread, "seed", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
-    middle = known.groupBy("item_id").agg((F.expr("percentile(texts, 0.5)") * RARER + RARER).alias("most"))
-    rare = known.join(middle, "item_id").where("texts <= most").select("item_id", "length", "item_at", "seed")
+    middle = known.groupBy("item").agg((F.expr("percentile(texts, 0.5)") * RARER + RARER).alias("most"))
+    rare = known.join(middle, "item").where("texts <= most").select("item", "length", "item_at", "seed")
     half = F.greatest(F.lit(8), F.expr("length div 2"))
     placed = hits.join(rare, "seed").withColumn("half", half).withColumn(
         "cell", F.floor((F.col("at") - F.col("item_at")) / F.col("half")))
-    places = placed.select("th", "size", "item_id", "length", "half", "cell").distinct()
+    places = placed.select("th", "size", "item", "length", "half", "cell").distinct()
     low = F.greatest(F.lit(0), F.col("cell") * F.col("half") - F.col("half"))
     high = (F.col("cell") + 2) * F.col("half") + F.col("length")
-    places = settle(places.select("th", "size", "item_id", low.cast("int").alias("low"), high.cast("int").alias("high")), "places")
+    places = settle(places.select("th", "size", "item", low.cast("int").alias("low"), high.cast("int").alias("high")), "places")
     again = bloom.build(places.select("th").distinct(), "th")
     lists = texts.mapInArrow(_word_lists(again), "th long, size int, text_words array<long>").dropDuplicates(["th", "size"])
     passages = places.join(lists, ["th", "size"]).select(
-        "th", "size", "item_id", "low", F.slice("text_words", F.col("low") + 1, F.col("high") - F.col("low")).alias("passage"))
-    scored = passages.join(tests.select("item_id", "words"), "item_id").select(
+        "th", "size", "item", "low", F.slice("text_words", F.col("low") + 1, F.col("high") - F.col("low")).alias("passage"))
+    scored = passages.join(tests.select("item", "item_id", "words"), "item").select(
         "th", "size", "item_id", "low", "words", "passage").mapInArrow(
         _scores, "th long, size int, item_id long, low int, score double")
     best = scored.where(F.col("score") >= threshold).groupBy("th", "size", "item_id").agg(

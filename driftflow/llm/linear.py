@@ -13,15 +13,16 @@ def support_vectors(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds:
     """Weights (the last one a constant) of a linear support vector machine, squared hinge loss; ``y`` is +1 or -1.
 
     Both signs weigh the same in all. Accelerated gradient steps from zero: the same rows give the same weights."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
+    y = y.astype(np.float32)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     # Rows have a norm of at most the square root of 2, so the loss has a curvature of at most 4.
-    step = 1 / (4 + penalty)
-    w = ahead = np.zeros(x.shape[1])
+    step, penalty = np.float32(1 / (4 + penalty)), np.float32(penalty)
+    w = ahead = np.zeros(x.shape[1], np.float32)
     for k in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ ahead))
         slope = x.T @ (-2 * share * y * slack) + penalty * ahead
         new = ahead - step * slope
-        ahead = new + k / (k + 3) * (new - w)
+        ahead = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w
