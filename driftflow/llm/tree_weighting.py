@@ -222,7 +222,7 @@ def _score(model, words):
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("held_out"), pa.array(found.count.astype(np.int64)),
                 pa.array(np.bincount(text[hit], minlength=n)),
-                pa.array(np.bincount(text[hit], logs[at[hit]], minlength=n)), pa.array(tree.score(column)),
+                pa.array(np.bincount(text[hit], logs[at[hit]], minlength=n), pa.float64()), pa.array(tree.score(column)),
                 arrays.lists(rare, np.bincount(text[~hit], minlength=n), pa.int64())],
                 names=["doc_id", "held_out", "words", "known", "logs", "score", "rare"])
     return run
