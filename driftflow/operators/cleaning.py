@@ -95,3 +95,20 @@ def clean(df: DataFrame, features: Iterable[str], label: str = "Label", into: st
     features = list(features)
     table = standardize_labels(df.drop("Timestamp"), label, into, mapping)
     return zero_bad(coerce_numbers(table, features), features)
+
+
+def require_features(df: DataFrame, features: Iterable[str], day: str = "day") -> DataFrame:
+    """``df``, after a look at every day: a feature without any value on a day raises.
+
+    A day file that lacks a column leaves it null in the joint table; without this the
+    feature would drop out of that day's drift and means unseen."""
+    features = list(features)
+    absent = [f for f in features if f not in df.columns]
+    if absent:
+        raise ValueError(f"features {absent} are in no day")
+    counted = df.groupBy(day).agg(*[F.count(F.col(f"`{f}`")).alias(f"n{i}") for i, f in enumerate(features)])
+    empty = F.filter(F.array(*[F.when(F.col(f"n{i}") == 0, F.lit(f)) for i, f in enumerate(features)]), lambda f: f.isNotNull())
+    bad = counted.select(day, empty.alias("absent")).where(F.size("absent") > 0).orderBy(day).limit(5).collect()
+    if bad:
+        raise ValueError("features without a value: " + "; ".join(f"day {r[day]}: {r['absent']}" for r in bad))
+    return df

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftflow.session import local_table
+from driftflow.session import local_table, small_table
 
 ROWS_PER_BUCKET = 50_000
 MAX_BUCKETS = 1024
@@ -157,7 +157,7 @@ def _ranked_in_buckets(counts: DataFrame, group: list[str], bins: int) -> DataFr
     spans = counts.groupBy(*group, "bucket").agg(F.sum("n").alias("n")).withColumns({
         "through": F.sum("n").over(place), "total": F.sum("n").over(W.partitionBy(*group))})
     # At most 2 (bins + 1) buckets per group, and a row per group: comparisons x features.
-    needed = F.broadcast(_holding_ranks(spans, bins).select(
+    needed = small_table(_holding_ranks(spans, bins).select(
         *group, "bucket", "total", (F.col("through") - F.col("n")).alias("before")))
     values = counts.join(needed, [*group, "bucket"]).groupBy(*group, "bucket", "before", "total", "value").agg(
         F.sum("n").alias("n"))
@@ -188,7 +188,7 @@ def with_bin(counts: DataFrame, edges: DataFrame, bins: int = 10, closed: bool =
     """Add ``bin``: bins hold their lower edge, the last one also its upper edge.
 
     ``closed`` edges leave values beyond the ends without a bin (null). The edge table
-    has one row per feature (and comparison), so it is broadcast.
+    has one row per feature (and comparison); it is run once, and broadcast when it is small.
     """
     lookup = edges.selectExpr(
         *on, "slice(edges, 2, greatest(size(edges) - 2, 0)) AS _inner",
@@ -197,7 +197,7 @@ def with_bin(counts: DataFrame, edges: DataFrame, bins: int = 10, closed: bool =
     bin_ = _steps("_inner", bins - 1)
     if closed:
         bin_ = f"CASE WHEN value < _low OR value > _high THEN NULL ELSE {bin_} END"
-    return counts.join(F.broadcast(lookup), list(on)).withColumn("bin", F.expr(bin_)).drop("_inner", "_low", "_high")
+    return counts.join(small_table(lookup), list(on)).withColumn("bin", F.expr(bin_)).drop("_inner", "_low", "_high")
 
 
 def histogram(counts: DataFrame, edges: DataFrame, by: Sequence[str] = (), bins: int = 10,
@@ -206,7 +206,7 @@ def histogram(counts: DataFrame, edges: DataFrame, by: Sequence[str] = (), bins:
     cells = F.expr("array(" + ", ".join(f"sum(if(bin = {i}, n, 0))" for i in range(bins)) + ")")
     return (
         with_bin(counts, edges, bins, closed).groupBy(*by, "feature").agg(cells.alias("_cells"))
-        .join(F.broadcast(edges.select("feature", F.size("edges").alias("_edges"))), "feature")
+        .join(edges.select("feature", F.size("edges").alias("_edges")), "feature")
         .withColumn("_cells", F.slice("_cells", F.lit(1), F.greatest(F.col("_edges") - 1, F.lit(1))))
         .select(*by, "feature", F.posexplode("_cells").alias("bin", "n"))
     )

@@ -2,7 +2,7 @@
 
 ``pairs`` says who is compared: ``(cmp, day, side)`` with side ``base`` or ``test``
 (:func:`timeline.baseline_pairs`, :func:`timeline.window_pairs`). It has a few rows
-per day and is broadcast.
+per day and is broadcast when it is small.
 
 ``cuts`` are the cut points of :func:`distribution.value_cuts`. They are looked up when
 not given; pass them to several measures of the same table to look them up once.
@@ -57,13 +57,13 @@ def psi_open(counts: DataFrame, pairs: DataFrame, bins: int = BINS, cuts: D.Cuts
     """
     edges = open_psi_edges(counts, pairs, bins, cuts)
     daily = D.with_bin(counts, edges, bins).groupBy("day", "feature", "bin").agg(F.sum("n").alias("n"))
-    return _psi(daily.join(F.broadcast(pairs), "day"), bins)
+    return _psi(daily.join(pairs, "day"), bins)
 
 
 def window_psi_edges(counts: DataFrame, pairs: DataFrame, bins: int = BINS, cuts: D.Cuts | None = None) -> DataFrame:
     """Edges per comparison and feature from the rows of that comparison's base days."""
     cuts = D.value_cuts(counts) if cuts is None else cuts
-    base = counts.join(F.broadcast(pairs.where("side = 'base'").select("day", "cmp")), "day")
+    base = counts.join(pairs.where("side = 'base'").select("day", "cmp"), "day")
     percentiles = D.quantile_edges(base, bins, by=["cmp"], cuts=cuts)
     return percentiles.withColumn("edges", D.window_edges(F.col("edges")))
 
@@ -71,7 +71,7 @@ def window_psi_edges(counts: DataFrame, pairs: DataFrame, bins: int = BINS, cuts
 def psi_window(counts: DataFrame, pairs: DataFrame, bins: int = BINS, cuts: D.Cuts | None = None) -> DataFrame:
     """PSI with closed bins and a base of its own for every comparison."""
     edges = window_psi_edges(counts, pairs, bins, cuts)
-    rows = counts.join(F.broadcast(pairs), "day")
+    rows = counts.join(pairs, "day")
     binned = D.with_bin(rows, edges, bins, closed=True, on=("cmp", "feature"))
     return _psi(binned.groupBy("cmp", "side", "feature", "bin").agg(F.sum("n").alias("n")), bins)
 
@@ -89,7 +89,7 @@ def wasserstein(counts: DataFrame, pairs: DataFrame, cuts: D.Cuts | None = None)
     cuts = D.value_cuts(counts) if cuts is None else cuts
     sides = {side: F.when(F.col("side") == side, F.col("n")).otherwise(0) for side in SIDES}
     if not cuts:
-        rows = counts.join(F.broadcast(pairs), "day")
+        rows = counts.join(pairs, "day")
         whole = W.partitionBy("cmp", "feature")
         rows = rows.withColumns({f"{side}_all": F.sum(n).over(whole) for side, n in sides.items()})
         group = ["cmp", "feature"]
@@ -98,7 +98,7 @@ def wasserstein(counts: DataFrame, pairs: DataFrame, cuts: D.Cuts | None = None)
         per_bucket = counts.groupBy("day", "feature", "bucket").agg(F.sum("n").alias("n"))
         ends = _bucket_ends(per_bucket, D.cuts_table(counts.sparkSession, cuts))
         rows = counts.unionByName(ends).repartition("feature", "bucket").join(
-            F.broadcast(_side_sizes(per_bucket, pairs)), ["day", "feature"])
+            small_table(_side_sizes(per_bucket, pairs)), ["day", "feature"])
         group = ["cmp", "feature", "bucket"]
     place = W.partitionBy(*group).orderBy("value")
     so_far = place.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -117,7 +117,7 @@ def _side_sizes(per_bucket: DataFrame, pairs: DataFrame) -> DataFrame:
     sizes = {f"{side}_all": F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).over(whole)
              for side in SIDES}
     totals = per_bucket.groupBy("day", "feature").agg(F.sum("n").alias("n"))
-    return totals.join(F.broadcast(pairs), "day").withColumns(sizes).drop("n")
+    return totals.join(pairs, "day").withColumns(sizes).drop("n")
 
 
 def _bucket_ends(per_bucket: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -4,39 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftflow.operators.distribution import melt
+
+# Columns of one aggregate; more make the generated code too long to be compiled.
+SLICE = 100
 
 
 def fit_scaler(baseline: DataFrame, features: Iterable[str]) -> DataFrame:
     """Scaler table ``(ord, feature, min, max)`` with one row per feature that varies.
 
-    One aggregate over the baseline. A feature goes when its sample variance is zero
-    or the baseline has no value of it; it stays when the variance is undefined (a
-    single row).
+    A feature of two values or more does not vary exactly if its least value is its
+    greatest; a computed variance would depend on how the rows are split. A feature
+    without a value goes, one with a single value stays.
     """
     fits = feature_fits(baseline, features)
-    kept = fits.where(F.coalesce(F.col("variance") != 0, F.lit(True)))
-    return kept.select("ord", "feature", "min", "max")
+    return fits.where("n = 1 OR (n > 1 AND min != max)").select("ord", "feature", "min", "max")
 
 
 def feature_fits(table: DataFrame, features: Iterable[str]) -> DataFrame:
-    """``(ord, feature, variance, min, max)`` of every feature that has a value.
+    """``(ord, feature, n, min, max)`` of every feature, null values left out.
 
-    Aggregated in long form: partial results per feature leave each task, and the plan
-    does not grow with the number of features.
+    Aggregated as columns: every task sends one row for ``SLICE`` features.
     """
     features = list(features)
-    place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")) - 1
-    return (
-        melt(table, features, [])
-        .groupBy("feature")
-        .agg(F.var_samp("value").alias("variance"), F.min("value").alias("min"), F.max("value").alias("max"))
-        .select(place.cast("int").alias("ord"), "feature", "variance", "min", "max")
-    )
+    parts = []
+    for start in range(0, len(features), SLICE):
+        names = list(enumerate(features[start:start + SLICE], start))
+        values = {i: F.col(f"`{f}`").cast("double") for i, f in names}
+        fits = [x for i, v in values.items() for x in (
+            F.count(v).alias(f"n{i}"), F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"))]
+        rows = [F.struct(F.lit(i).alias("ord"), F.lit(f).alias("feature"), F.col(f"n{i}").alias("n"),
+                         F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max")) for i, f in names]
+        parts.append(table.agg(*fits).select(F.inline(F.array(*rows))))
+    if not parts:
+        return table.sparkSession.createDataFrame([], "ord int, feature string, n bigint, min double, max double")
+    return reduce(DataFrame.unionByName, parts)
 
 
 @dataclass(frozen=True)

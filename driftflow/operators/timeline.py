@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from driftflow.session import local_table, small_table
 
 WINDOW = 3
-MAX_DAYS = 10_000
 
 
 def timeline(spark: SparkSession, days: Sequence, baseline: int = WINDOW) -> DataFrame:
@@ -26,13 +25,15 @@ def timeline(spark: SparkSession, days: Sequence, baseline: int = WINDOW) -> Dat
     return local_table(spark, rows, pa.schema([("ord", pa.int32()), ("day", kind), ("role", pa.string())]))
 
 
-def timeline_of(df: DataFrame, baseline: int = WINDOW, day: str = "day") -> DataFrame:
-    """The same table from the distinct days of ``df``, in the order of their values.
+def timeline_of(df: DataFrame, baseline: int = WINDOW, day: str = "day", most: int | None = None) -> DataFrame:
+    """The same table from the distinct days of ``df``, in the order of their values; null is no day.
 
-    The calendar (one value per day) is read once and fixed from then on."""
-    found = [row["day"] for row in df.select(F.col(day).alias("day")).distinct().limit(MAX_DAYS + 1).collect()]
-    if len(found) > MAX_DAYS:
-        raise ValueError(f"column {day} has more than {MAX_DAYS} values and cannot be a calendar")
+    The calendar (one value per day) is read once and fixed from then on. A caller that
+    expects no more than ``most`` days is told when the column holds more."""
+    values = df.select(F.col(day).alias("day")).where("day IS NOT NULL").distinct()
+    found = [row["day"] for row in (values if most is None else values.limit(most + 1)).collect()]
+    if most is not None and len(found) > most:
+        raise ValueError(f"column {day} has more than {most} values")
     return timeline(df.sparkSession, sorted(found), baseline)
 
 

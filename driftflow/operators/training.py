@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftflow.functions import scalars as S
 from driftflow.operators.sampling import SEED, sample_fraction
 from driftflow.operators.scaling import MinMax
-from driftflow.operators.timeline import WINDOW, anchor_schedule, window_schedule
+from driftflow.operators.timeline import WINDOW
 
 BENIGN = "Benign"
 ANCHOR_FRACTION = 0.05
@@ -62,27 +63,19 @@ def pool_counts(balanced: DataFrame, anchor: DataFrame, days: DataFrame, clean:
                 k: int = WINDOW) -> DataFrame:
     """``(test_ord, test_day, window_rows, anchor_rows, total_rows, test_rows)``.
 
-    Rows are counted per day; only the counts meet the schedule.
+    Rows are counted per day; the sums run over the calendar, a row for each day.
     """
-    window = window_schedule(days, k).select("test_ord", "test_day", F.col("window_day").alias("day"),
-                                             F.lit("window").alias("src"))
-    past = anchor_schedule(days, k).select("test_ord", "test_day", F.col("anchor_day").alias("day"),
-                                           F.lit("anchor").alias("src"))
-    test = days.where("role = 'future'").select(F.col("ord").alias("test_ord"), F.col("day").alias("test_day"), "day",
-                                                F.lit("test").alias("src"))
     sizes = _day_sizes(balanced, "window").unionByName(_day_sizes(anchor, "anchor")).unionByName(
         _day_sizes(balanced if clean is None else clean, "test"))
-
-    def rows(*srcs: str) -> Column:
-        return F.sum(F.when(F.col("src").isin(*srcs), F.col("n")).otherwise(0))
-
-    return (
-        window.unionByName(past).unionByName(test).join(sizes, ["day", "src"], "left")
-        .groupBy("test_ord", "test_day")
-        .agg(rows("window").alias("window_rows"), rows("anchor").alias("anchor_rows"),
-             rows("window", "anchor").alias("total_rows"), rows("test").alias("test_rows"))
-        .na.fill(0)
-    )
+    daily = days.join(sizes, "day", "left").groupBy("ord", "day", "role").agg(*[
+        F.coalesce(F.sum(F.when(F.col("src") == src, F.col("n"))), F.lit(0)).alias(src)
+        for src in ("window", "anchor", "test")])
+    calendar = W.orderBy("ord")
+    window = F.coalesce(F.sum("window").over(calendar.rangeBetween(-k, -1)), F.lit(0))
+    past = F.coalesce(F.sum("anchor").over(calendar.rangeBetween(W.unboundedPreceding, -k - 1)), F.lit(0))
+    return daily.withColumns({"window_rows": window, "anchor_rows": past}).where("role = 'future'").select(
+        F.col("ord").alias("test_ord"), F.col("day").alias("test_day"), "window_rows", "anchor_rows",
+        (F.col("window_rows") + F.col("anchor_rows")).alias("total_rows"), F.col("test").alias("test_rows"))
 
 
 def _day_sizes(df: DataFrame, src: str) -> DataFrame:

@@ -16,15 +16,17 @@ from driftflow.operators.training import ANCHOR_FRACTION, BENIGN, history_anchor
 from driftflow.plans.static_experiment import default_models
 
 
-def active_window_feature_drift(clean: DataFrame, days: DataFrame, scaler: MinMax, k: int = WINDOW) -> DataFrame:
+def active_window_feature_drift(clean: DataFrame, days: DataFrame, scaler: MinMax, k: int = WINDOW,
+                                bins: int = drift.BINS) -> DataFrame:
     """``(cmp, feature, psi, wasserstein)`` of each future day against its window, no cap."""
     scaled = project(scaler.scale(clean), scaler.features, ["day"])
-    return drift.feature_drift(scaled, scaler.features, window_pairs(days, k), closed=True)
+    return drift.feature_drift(scaled, scaler.features, window_pairs(days, k), closed=True, bins=bins)
 
 
-def active_window_drift(clean: DataFrame, days: DataFrame, scaler: MinMax, k: int = WINDOW) -> DataFrame:
+def active_window_drift(clean: DataFrame, days: DataFrame, scaler: MinMax, k: int = WINDOW,
+                        bins: int = drift.BINS) -> DataFrame:
     """``(day, mean_psi, mean_wd)`` of each future day against its window."""
-    return drift.mean_drift(active_window_feature_drift(clean, days, scaler, k))
+    return drift.mean_drift(active_window_feature_drift(clean, days, scaler, k, bins))
 
 
 def adaptive_scores(clean: DataFrame, balanced: DataFrame, days: DataFrame, scaler: MinMax, key: Column,

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftflow.operators import cleaning, sampling
-from driftflow.session import settle
+from driftflow.session import discard, fresh_path, settle
 from driftflow.sources import days as D
 
 TARGET_ROWS = 200_000
@@ -26,35 +25,59 @@ def day_fraction(day: Column, fractions: Mapping[str, float] | None = None, defa
     return result
 
 
-def sample_days(raw: DataFrame, key: Column, target_rows: int = TARGET_ROWS, fraction: Column | float = FRACTION,
-                without: Iterable[str] = ("day", "chunk"), label: str = "Label") -> DataFrame:
+def sample_days(raw: DataFrame, key: Column, target_rows: int | None = TARGET_ROWS,
+                fraction: Column | float | None = FRACTION, without: Iterable[str] = ("day", "chunk"),
+                label: str = "Label") -> DataFrame:
     """Exact fraction of each ``(day, chunk)``, rows with missing or infinite values
-    dropped, then exactly ``target_rows`` rows of each day (copies where it has fewer)."""
+    dropped, then exactly ``target_rows`` rows of each day (copies where it has fewer).
+    Either step takes all rows when its parameter is None."""
     features = cleaning.feature_names(raw, [*without, label, "Timestamp"])
     others = [c for c in ("Timestamp", label) if c in raw.columns]
-    part = fraction if isinstance(fraction, Column) else F.lit(fraction)
-    chosen = sampling.take_per_group(
-        raw.withColumn("_part", part), ["day", "chunk", "_part"], key,
-        lambda n: F.bround(F.col("_part") * n, 0)).drop("_part", "chunk")
+    chosen = raw
+    if fraction is not None:
+        part = fraction if isinstance(fraction, Column) else F.lit(fraction)
+        chosen = sampling.take_per_group(
+            raw.withColumn("_part", part), ["day", "chunk", "_part"], key,
+            lambda n: F.bround(F.col("_part") * n, 0)).drop("_part")
+    usable = cleaning.drop_bad_rows(chosen.drop("chunk"), features, others)
+    if target_rows is None:
+        return usable
     # Written once: the second sample takes several passes, over the part that is left.
-    usable = settle(cleaning.drop_bad_rows(chosen, features, others), "sampled")
-    return sampling.sample_rows(usable, target_rows, ["day"], key)
+    return sampling.sample_rows(settle(usable, "sampled"), target_rows, ["day"], key)
 
 
-def ingest_days(spark: SparkSession, files: Mapping[str, str], out: str, target_rows: int = TARGET_ROWS,
-                fractions: Mapping[str, float] | None = None, default_fraction: float = FRACTION) -> DataFrame:
-    """All days to ``{out}/clean``; days with the same columns go through one plan.
+def ingest_days(spark: SparkSession, files: Mapping[str, str], out: str, target_rows: int | None = TARGET_ROWS,
+                fractions: Mapping[str, float] | None = None, default_fraction: float | None = FRACTION) -> DataFrame:
+    """Every day of ``files`` that ``{out}/clean`` does not hold yet is sampled, cleaned and appended to it.
 
-    On the way ``{out}/raw-*`` keeps every row with a number: written numbers are the
-    same on every read, so the samples drawn by them are too. Since a small day holds
-    copies, the clean rows are numbered anew. Tables that exist are kept.
+    Days with the same columns go through one plan. Their raw rows are written with a number
+    for as long as that takes: written numbers are the same on every read, so the samples
+    drawn by them are too. Since a small day holds copies, the clean rows are numbered anew,
+    from the last number in use on. With ``target_rows`` and ``default_fraction`` None and no
+    ``fractions`` all rows are kept.
     """
-    cleaned = []
-    for i, group in enumerate(D.read_day_groups(spark, files, chunked=True)):
-        raw = D.write_day_table(D.with_row_id(group), f"{out}/raw-{i}")
-        part = day_fraction(F.col("day"), fractions, default_fraction)
+    path = f"{out}/clean"
+    done = D.days_in(spark, path)
+    todo = {day: file for day, file in files.items() if day not in done}
+    try:
+        groups = D.read_day_groups(spark, todo, chunked=True) if todo else []
+    except FileNotFoundError:
+        if not done:
+            raise
+        groups = []
+    whole = default_fraction is None and fractions is not None and not fractions
+    for group in groups:
+        rows = fresh_path(spark, "raw")
+        D.with_row_id(group).write.parquet(rows)
+        raw = spark.read.parquet(rows)
+        default = 1.0 if default_fraction is None else default_fraction
+        part = None if whole else day_fraction(F.col("day"), fractions, default)
         sampled = sample_days(raw, F.col("row_id"), target_rows, part, without=("day", "chunk", "row_id"))
         features = cleaning.feature_names(sampled, ["day", "row_id", "Label", "Timestamp"])
-        cleaned.append(cleaning.clean(sampled.drop("row_id"), features))
-    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cleaned)
-    return D.write_day_table(D.with_row_id(table), f"{out}/clean")
+        table = cleaning.clean(sampled.drop("row_id"), features)
+        last = D.read_day_table(spark, path).agg(F.max("row_id")).first()[0] if done else None
+        numbered = D.with_row_id(table).withColumn("row_id", F.col("row_id") + F.lit(-1 if last is None else last) + 1)
+        D.write_day_table(numbered, path, "append")
+        done = done | set(todo)
+        discard(spark, rows)
+    return D.read_day_table(spark, path)

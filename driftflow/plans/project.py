@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftflow.operators import balancing, training
-from driftflow.operators.cleaning import feature_names
+from driftflow.operators.cleaning import feature_names, require_features
 from driftflow.operators.scaling import MinMax
 from driftflow.operators.timeline import WINDOW, timeline
 from driftflow.plans import adaptive_experiment, ingest, static_drift, static_experiment
@@ -44,8 +44,9 @@ class Project:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def load(self, files: Mapping[str, str], target_rows: int = ingest.TARGET_ROWS, **options) -> DataFrame:
-        """Fetch, sample and clean the day files."""
+    def load(self, files: Mapping[str, str], target_rows: int | None = ingest.TARGET_ROWS, **options) -> DataFrame:
+        """Fetch, sample and clean the day files that are not loaded yet. ``target_rows=None,
+        default_fraction=None, fractions={}`` keeps all rows."""
         return ingest.ingest_days(self.spark, files, self.folder, target_rows, **options)
 
     def clean(self) -> DataFrame:
@@ -65,12 +66,9 @@ class Project:
         """Balance all days, or the named ones, in one plan; days already balanced are kept."""
         scaler, path = self.scaler(), self.path("balanced")
         wanted = {r["day"] for r in self.days.collect()} if days is None else set(days)
-        try:
-            done = {r["day"] for r in D.read_day_table(self.spark, path).select("day").distinct().collect()}
-        except FileNotFoundError:
-            done = set()
+        done = D.days_in(self.spark, path)
         if wanted - done:
-            todo = self.clean().where(F.col("day").isin(sorted(wanted - done)))
+            todo = require_features(self.clean().where(F.col("day").isin(sorted(wanted - done))), scaler.features)
             D.write_day_table(balancing.balance_days(todo, scaler, target, F.col("row_id")), path, "append")
         return self.balanced()
 
@@ -78,23 +76,27 @@ class Project:
         return D.read_day_table(self.spark, self.path("balanced"))
 
     def history_anchor(self) -> DataFrame:
-        """The anchor rows of every day that leaves the window; written once."""
-        last = self.days.agg(F.max("ord").alias("ord")).first()["ord"]
-        left = self.days.where(F.col("ord") <= last - WINDOW).select("day")
-        rows = self.balanced().join(F.broadcast(left), "day", "left_semi")
-        return D.write_day_table(training.history_anchor(rows, F.col("row_key")), self.path("history_anchor"))
+        """The anchor rows of every day that leaves the window; days that are not in it yet are added."""
+        path, calendar = self.path("history_anchor"), self.days.collect()
+        last = max(r["ord"] for r in calendar)
+        left = {r["day"] for r in calendar if r["ord"] <= last - WINDOW} - D.days_in(self.spark, path)
+        rows = self.balanced().where(F.col("day").isin(sorted(left)))
+        return D.write_day_table(training.history_anchor(rows, F.col("row_key")), path, "append")
+
+    def _checked(self) -> DataFrame:
+        return require_features(self.clean(), self.scaler().features)
 
     def static_drift(self, **options) -> DataFrame:
-        found = static_drift.static_drift(self.clean(), self.days, self.scaler(), **options)
+        found = static_drift.static_drift(self._checked(), self.days, self.scaler(), **options)
         return self._result(found, "static_drift_metrics", DRIFT_COLUMNS)
 
     def static_experiment(self, stages: Stages | None = None) -> DataFrame:
-        found = static_experiment.static_experiment(self.clean(), self.balanced(), self.days, self.scaler(), stages)
+        found = static_experiment.static_experiment(self._checked(), self.balanced(), self.days, self.scaler(), stages)
         return self._result(found, "static_performance_results", PERFORMANCE_COLUMNS)
 
     def adaptive_experiment(self, stages: Stages | None = None) -> DataFrame:
         found = adaptive_experiment.adaptive_experiment(
-            self.clean(), self.balanced(), self.days, self.scaler(), F.col("row_key"), stages,
+            self._checked(), self.balanced(), self.days, self.scaler(), F.col("row_key"), stages,
             anchor=self.history_anchor())
         return self._result(found, "adaptive_performance_results", PERFORMANCE_COLUMNS)
 

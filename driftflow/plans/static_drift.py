@@ -25,7 +25,7 @@ def baseline_scaler(clean: DataFrame, days: DataFrame, features: Sequence[str])
 
 
 def static_feature_drift(clean: DataFrame, days: DataFrame, scaler: MinMax, max_samples: int | None = None,
-                         key: Column | None = None, seed: int = SEED) -> DataFrame:
+                         key: Column | None = None, seed: int = SEED, bins: int = drift.BINS) -> DataFrame:
     """``(cmp, feature, psi, wasserstein)`` for every future day that has rows.
 
     All rows count. ``max_samples`` caps the baseline and each day to that many values
@@ -33,11 +33,11 @@ def static_feature_drift(clean: DataFrame, days: DataFrame, scaler: MinMax, max_
     """
     if max_samples is None:
         scaled = project(scaler.scale(clean), scaler.features, ["day"])
-        return drift.feature_drift(scaled, scaler.features, baseline_pairs(days))
+        return drift.feature_drift(scaled, scaler.features, baseline_pairs(days), bins=bins)
     table = scaler.scale(clean.withColumn("row_key", key.cast("string")))
     long = D.melt(table, scaler.features, ["day", "row_key"])
     capped = settle(D.value_counts(capped_values(long, days, max_samples, seed)), "value-counts")
-    return drift.drift_of_counts(capped, baseline_pairs(days))
+    return drift.drift_of_counts(capped, baseline_pairs(days), bins=bins)
 
 
 def capped_values(long: DataFrame, days: DataFrame, max_samples: int, seed: int = SEED) -> DataFrame:
@@ -50,8 +50,8 @@ def capped_values(long: DataFrame, days: DataFrame, max_samples: int, seed: int
 
 
 def static_drift(clean: DataFrame, days: DataFrame, scaler: MinMax, max_samples: int | None = None,
-                 key: Column | None = None) -> DataFrame:
+                 key: Column | None = None, bins: int = drift.BINS) -> DataFrame:
     """``(day, mean_psi, mean_wd)`` in the order of the days."""
-    means = drift.mean_drift(static_feature_drift(clean, days, scaler, max_samples, key))
+    means = drift.mean_drift(static_feature_drift(clean, days, scaler, max_samples, key, bins=bins))
     order = F.broadcast(days.select("day", "ord"))
     return means.join(order, "day").orderBy("ord").drop("ord")

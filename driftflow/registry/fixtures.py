@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from driftflow.operators.scaling import MinMax
 from driftflow.operators.timeline import timeline_of
 from driftflow.plans.static_drift import baseline_scaler
-from driftflow.sources.days import spread
 
 L_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 L_BENIGN = "N"
@@ -30,7 +29,7 @@ def lineitem_days(spark: SparkSession, sf_dir: str, keyed: bool = False) -> Data
         "|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", _cents("l_quantity"), _cents("l_extendedprice"),
         _cents("l_discount"), _cents("l_tax"), "l_returnflag", "l_linestatus",
         F.unix_date(F.to_date("l_shipdate")))
-    return spread(read(spark, sf_dir, "lineitem")).select(
+    return read(spark, sf_dir, "lineitem").select(
         F.year("l_shipdate").alias("day"), F.col("l_returnflag").alias("label"), *L_FEATURES,
         *([key.alias("row_key")] if keyed else []))
 

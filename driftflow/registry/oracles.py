@@ -164,7 +164,12 @@ ORACLES["csv_roundtrip"] = _with(RAW_EVENTS) + (
 ORACLES["day_table_roundtrip"] = _with(EVENTS, _days("e")) + (
     "SELECT day, label, value, event_id FROM e WHERE day IN (SELECT day FROM days WHERE role = 'future')")
 ORACLES["append_day_table"] = _with(EVENTS) + (
-    "SELECT day, label, count(*) AS n, max(value) AS top FROM e GROUP BY day, label")
+    "SELECT day, label, count(*) AS n, max(value) AS top, false AS before, true AS after FROM e GROUP BY day, label")
+ORACLES["ingest_incremental"] = _with(
+    RAW_EVENTS, "usable AS (SELECT * FROM raw WHERE amount NOT IN ('', 'nan', 'Infinity', '-inf') AND raw_label IS NOT NULL)",
+) + (f"SELECT day, event_id, coalesce(n, 0.0::DOUBLE) AS amount, label FROM (\n"
+     f"  SELECT 'w' || CAST(CAST(substr(day, 10, 1) AS INT) % 4 AS VARCHAR) AS day, event_id, {NUMBER} AS n, {_map} AS label\n"
+     "  FROM usable) WHERE label IS NOT NULL")
 
 ORACLES["ingest_sample_clean"] = _with(
     RAW_EVENTS,
@@ -292,11 +297,11 @@ ORACLES["history_anchor"] = _with(LINEITEM) + (
     "WHERE rk <= round_even(0.05::DOUBLE * cnt, 0)")
 _anchor = (f"anchor AS (SELECT {EVENT_COLUMNS} FROM {_in_order('e', 'day, label', ID)}\n"
            "  WHERE rk <= round_even(0.05::DOUBLE * cnt, 0))")
-ORACLES["training_pool"] = _with(EVENTS, _days("e"), _anchor) + (
-    "SELECT day, label, event_id, 'window' AS src FROM e JOIN days USING (day)\n"
-    "  WHERE ord BETWEEN (SELECT max(ord) FROM days) - 3 AND (SELECT max(ord) FROM days) - 1\n"
-    "UNION ALL SELECT day, label, event_id, 'anchor' AS src FROM anchor JOIN days USING (day)\n"
-    "  WHERE ord <= (SELECT max(ord) FROM days) - 4")
+ORACLES["training_pool"] = _with(EVENTS, _days("e"), _anchor, "tests AS (SELECT ord AS test_ord FROM days WHERE role = 'future')") + (
+    "SELECT test_ord, day, label, event_id, 'window' AS src FROM e JOIN days USING (day)\n"
+    "  JOIN tests ON ord BETWEEN test_ord - 3 AND test_ord - 1\n"
+    "UNION ALL SELECT test_ord, day, label, event_id, 'anchor' AS src FROM anchor JOIN days USING (day)\n"
+    "  JOIN tests ON ord <= test_ord - 4")
 ORACLES["training_pool_counts"] = _with(
     EVENTS, _days("e"), _anchor,
     "en AS (SELECT ord, count(*) AS n FROM e JOIN days USING (day) GROUP BY ord)",
@@ -375,3 +380,14 @@ ORACLES["performance_report"] = _with(LINEITEM, CONFUSED, f"m AS ({_measures})")
 ORACLES["static_sets"] = _with(LINEITEM, _days("l")) + (
     "SELECT day, count(*) AS n, count(*) FILTER (label <> 'N') AS positives,\n"
     "  CASE WHEN role = 'baseline' THEN 'train' ELSE 'test' END AS part FROM l JOIN days USING (day) GROUP BY day, role")
+
+# The models' target is a rule on one feature, so every row is scored and none wrongly.
+_ruled = ("SELECT '{model}' AS model, day, count(*) FILTER (l_discount < 0.05) AS tn, 0::BIGINT AS fp, 0::BIGINT AS fn,\n"
+          "  count(*) FILTER (l_discount >= 0.05) AS tp FROM l JOIN days USING (day) WHERE role = 'future' GROUP BY day")
+for _name, _model in (("static_forest", "forest"), ("static_mlp", "perceptron")):
+    ORACLES[_name] = _with(LINEITEM, _days("l")) + _ruled.format(model=_model)
+for _name, _model in (("adaptive_forest", "forest"), ("adaptive_mlp", "perceptron")):
+    ORACLES[_name] = (
+        f"SELECT '{_model}' AS model, day, 1::DOUBLE AS accuracy, 1::DOUBLE AS precision, 1::DOUBLE AS recall_detection_rate,\n"
+        "  1::DOUBLE AS f1_score, 0::DOUBLE AS false_positive_rate, mean_psi AS active_window_psi, mean_wd AS active_window_wd\n"
+        f"FROM ({ORACLES['active_window_drift']})")

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a size-checked helper table may hold before it is no longer treated as small.
-SMALL_TABLE_ROWS = 100_000
+# Size up to which a helper table is sent to every task.
+SMALL_TABLE_MB = 32
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "driftflow",
@@ -62,6 +62,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that :func:`fresh_path` named, once nothing reads it any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def local_table(spark: SparkSession, rows: Iterable[tuple], schema: pa.Schema) -> DataFrame:
     """A few driver-side rows as a table that is part of the plan itself."""
     columns = list(zip(*rows)) or [[] for _ in schema]
@@ -69,13 +75,15 @@ def local_table(spark: SparkSession, rows: Iterable[tuple], schema: pa.Schema) -
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
 
 
-def small_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Run ``df`` and, if it holds at most ``limit`` rows, return it as a broadcast table.
+def small_table(df: DataFrame, limit_mb: int = SMALL_TABLE_MB) -> DataFrame:
+    """Run ``df`` once and, if its rows take at most ``limit_mb``, return it as a broadcast table.
 
-    A bigger table comes back unchanged and without a hint, so its join shuffles
-    (and AQE splits skewed partitions).
+    A bigger table is written and comes back without a hint: its joins shuffle, and AQE
+    splits skewed partitions. Only rows up to the limit are ever brought to the driver.
     """
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return df
+    width = max(1, len(df.schema)) * 16
+    most = (limit_mb << 20) // width
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most or rows.nbytes > limit_mb << 20:
+        return settle(df, "helper")
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))

@@ -81,17 +81,22 @@ def write_day_table(df: DataFrame, path: str, mode: str = "ignore") -> DataFrame
     still splits a day that is much bigger than the others.
     """
     df.hint("rebalance", "day").write.mode(mode).partitionBy("day").parquet(path)
-    return read_day_table(df.sparkSession, path, day_type=df.schema["day"].dataType)
+    return read_day_table(df.sparkSession, path, day_type=df.schema["day"].dataType, empty=df.schema)
 
 
 def read_day_table(spark: SparkSession, path: str, days: Iterable | None = None,
-                   day_type: T.DataType = T.StringType()) -> DataFrame:
-    """Read a day table; ``days`` prunes partitions, and absent days contribute no rows."""
+                   day_type: T.DataType = T.StringType(), empty: T.StructType | None = None) -> DataFrame:
+    """Read a day table; ``days`` prunes partitions, and absent days contribute no rows.
+
+    Days that were appended later may have further columns. A table that was written
+    without rows has no files to tell its columns: ``empty`` states them."""
     try:
-        found = spark.read.parquet(path).schema
+        found = spark.read.option("mergeSchema", True).parquet(path).schema
     except AnalysisException as error:
         if _is_missing(error):
             raise FileNotFoundError(f"no day table at {path}") from error
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA" and empty is not None:
+            return spark.read.schema(empty).parquet(path)
         raise
     # The type of a partition column is only guessed from folder names, so state it.
     fields = [T.StructField("day", day_type) if f.name == "day" else f for f in found.fields]
@@ -99,6 +104,15 @@ def read_day_table(spark: SparkSession, path: str, days: Iterable | None = None,
     return table if days is None else table.where(F.col("day").isin(list(days)))
 
 
+def days_in(spark: SparkSession, path: str) -> set:
+    """The days that a day table holds; none if there is no such table. Only folder names are read."""
+    try:
+        table = read_day_table(spark, path, empty=T.StructType([T.StructField("day", T.StringType())]))
+    except FileNotFoundError:
+        return set()
+    return {row["day"] for row in table.select("day").distinct().collect()}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header line and no index; white space in cells is kept."""
     df.write.mode(mode).options(
@@ -123,14 +137,3 @@ def day_of(path: Column, names: Mapping[str, str] = DAY_FILES) -> Column:
     pairs = [F.lit(x) for day, name in names.items() for x in (name, day)]
     return F.try_element_at(F.create_map(*pairs), F.regexp_extract(path, r"([^/]+)$", 1))
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a file scan out over all cores when the scan has fewer splits
-    than that (few small or unsplittable files). A big scan is left as it is.
-
-    Meant for a scan, before any operator that shuffles.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, F.monotonically_increasing_id())

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def save_scaler(scaler: DataFrame, path: str, mode: str = "overwrite") -> None:
-    scaler.coalesce(1).write.mode(mode).parquet(path)
+    scaler.repartition(1).write.mode(mode).parquet(path)
 
 
 def load_scaler(spark: SparkSession, path: str) -> DataFrame:

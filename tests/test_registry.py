@@ -1,6 +1,5 @@
-"""Named queries next to their SQL, on the smallest tables. DRIFTFLOW_ALL=1 runs all of them."""
+"""All named queries next to their SQL, on the smallest tables."""
 
-import os
 import sys
 from pathlib import Path
 
@@ -11,24 +10,23 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 
 import __spark_entry__ as contract  # noqa: E402
 import check  # noqa: E402
+from driftflow.registry.oracles import ORACLES  # noqa: E402
+from driftflow.registry.queries import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-FEW = ["clean_labels", "csv_roundtrip", "ingest_sample_clean", "cap_sample", "scaler_fit", "histogram_window",
-       "feature_drift", "active_window_drift_events", "training_pool_counts", "balance_vectors", "confusion_metrics"]
-MODELS = {"static_forest", "static_mlp", "adaptive_forest", "adaptive_mlp"}
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the given tables are not here")
 
 
-def test_every_query_but_the_models_has_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == MODELS
-    assert set(contract.oracle_sql()) <= set(contract.queries())
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 def test_flagship(spark):
     assert contract.entry(spark).columns == ["day", "mean_psi", "mean_wd"]
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()) if os.environ.get("DRIFTFLOW_ALL") else FEW)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
-    got = check.spark_rows(contract.queries()[name](spark, SF))
-    assert check.compare(got, check.sql_rows(check.connect(SF), contract.oracle_sql()[name])) is None
+    got = check.spark_rows(QUERIES[name](spark, SF))
+    assert check.compare(got, check.sql_rows(check.connect(SF), ORACLES[name])) is None

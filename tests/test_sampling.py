@@ -78,7 +78,7 @@ def test_too_many_groups_to_broadcast(spark, monkeypatch):
     table = groups(spark, {"a": 30, "b": 12, "c": 7})
     want = taken(sampling.sample_fraction(table, 0.5, ["g"], F.col("id")))
     small = sampling.small_table
-    monkeypatch.setattr(sampling, "small_table", lambda df: small(df, limit=1))
+    monkeypatch.setattr(sampling, "small_table", lambda df: small(df, limit_mb=0))
     got = taken(sampling.sample_fraction(table, 0.5, ["g"], F.col("id")))
     assert {g: sorted(x) for g, x in got.items()} == {g: sorted(x) for g, x in want.items()}
 

@@ -1,7 +1,10 @@
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from driftflow.operators import cleaning
 from driftflow.plans import ingest
+from driftflow.session import discard, fresh_path
 from driftflow.sources import days as D
 from driftflow.sources import state
 
@@ -68,10 +71,46 @@ def test_fraction_by_day(spark):
     assert [r[0] for r in df.select(ingest.day_fraction(F.col("day"))).collect()] == [0.15, 0.30]
 
 
-def test_spread_only_touches_small_scans(spark, tmp_path):
-    path = str(tmp_path / "p")
-    spark.range(100).coalesce(1).write.parquet(path)
-    few = D.spread(spark.read.parquet(path))
-    assert few.rdd.getNumPartitions() == 8 and few.count() == 100
-    many = spark.range(0, 100, 1, 20)
-    assert D.spread(many) is many
+
+ALL_ROWS = {"target_rows": None, "default_fraction": None, "fractions": {}}
+
+
+def test_later_days_are_added(spark, tmp_path):
+    header = "Dur,Timestamp,Label"
+    files = {d: write_day(tmp_path / f"{d}.csv", header, [f"{i},t,Benign" for i in range(n)]) for d, n in (("d1", 3), ("d2", 4))}
+    out = str(tmp_path / "out")
+    assert ingest.ingest_days(spark, files, out, **ALL_ROWS).count() == 7
+    files["d3"] = write_day(tmp_path / "d3.csv", header + ",Src", ["9,t,Bot,1", "8,t,Bot,2"])
+    files["d0"] = write_day(tmp_path / "d0.csv", "Other,Timestamp,Label", ["1,t,Bot"])
+    table = ingest.ingest_days(spark, files, out, **ALL_ROWS)
+    assert {r["day"]: r["count"] for r in table.groupBy("day").count().collect()} == {"d0": 1, "d1": 3, "d2": 4, "d3": 2}
+    assert table.select("row_id").distinct().count() == 10
+    assert set(table.columns) == {"day", "row_id", "label", "Dur", "Src", "Other"}
+    files["d4"] = str(tmp_path / "absent.csv")
+    assert ingest.ingest_days(spark, files, out, **ALL_ROWS).count() == 10
+
+
+def test_an_absent_feature_raises(spark):
+    df = spark.createDataFrame([("d1", 1.0, 2.0), ("d2", None, 2.0)], "day string, a double, b double")
+    assert cleaning.require_features(df, ["b"]) is df
+    with pytest.raises(ValueError, match=r"day d2: \['a'\]"):
+        cleaning.require_features(df, ["a", "b"])
+    with pytest.raises(ValueError, match="c"):
+        cleaning.require_features(df, ["c"])
+
+
+def test_an_empty_day_table_says_so(spark, tmp_path):
+    path = str(tmp_path / "t")
+    empty = D.write_day_table(D.empty_day_table(spark, ["x"]), path, "overwrite")
+    assert not D.is_populated(empty) and set(empty.columns) == {"day", "x", "label"}
+    assert D.days_in(spark, path) == set() and D.days_in(spark, str(tmp_path / "no")) == set()
+    part = spark.createDataFrame([("d1", 1.0, "Bot")], "day string, x double, label string")
+    assert D.is_populated(D.write_day_table(part, path, "append")) and D.days_in(spark, path) == {"d1"}
+
+
+def test_a_table_is_taken_out_again(spark):
+    path = fresh_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    discard(spark, path)
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
