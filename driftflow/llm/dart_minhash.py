@@ -10,7 +10,7 @@ coordinate look at twice the ranks.
 Bands of the signature put texts into buckets. Equal word sequences are one node from the
 start. Within a bucket nodes are compared with its first and last node; what is linked is a
 component. Buckets that still hold several components are compared block by block inside
-tasks, by signatures, and likely pairs from different components follow. Every link is
+tasks, where signatures choose the pairs of different components worth a look. Every link is
 verified by the exact similarity of the two shingle sets. A pair inside one component needs
 no link of its own. Bands of 4 in 128 coordinates miss a pair of similarity 0.8 with
 probability 5e-8.
@@ -34,10 +34,10 @@ SHINGLE = 5
 SIMILAR = 0.8
 COORDINATES = 128
 ROWS = 4
-BLOCK = 512
+BLOCK = 256
 # Signatures of pairs at the wanted similarity agree in less than this below it with probability 1e-5.
 SLACK = 0.15
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -157,16 +157,34 @@ def _verify(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 
 def _inside(similar: float):
-    """Likely pairs from different components among the signatures of one bucket's two blocks."""
+    """Links between different components among the nodes of one bucket's two blocks.
+
+    Signatures tell which pairs are worth a look; their sets are compared here, so that no pair leaves the
+    task but a link."""
+    scaled = round(similar * 1000)
+
     def run(table: pa.Table) -> pa.Table:
-        rows, roots = (table.column(c).to_numpy() for c in ("row", "root"))
-        block, two = table.column("block").to_numpy(), table.column("two")[0].as_py()
+        table = table.combine_chunks()
+        rows, roots, block = (table.column(c).to_numpy() for c in ("row", "root", "block"))
+        two = table.column("two")[0].as_py()
         sig = np.stack([np.frombuffer(x, np.uint16) for x in table.column("signature").to_pylist()])
+        sets = table.column("items").combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+        items = [np.sort(sets.flatten().to_numpy()[a:b]) for a, b in zip(ends, ends[1:])]
+        size = np.diff(ends)
         found = [[], []]
         for i in np.flatnonzero(block == block.min()):
-            others = np.flatnonzero((roots != roots[i]) & (np.arange(len(rows)) > i if not two else block != block[i]))
-            agree = (sig[others] == sig[i]).mean(axis=1) if len(others) else np.zeros(0)
-            for j in others[agree >= similar - SLACK]:
+            others = np.flatnonzero((roots != roots[i]) & (block != block[i] if two else np.arange(len(rows)) > i))
+            near = np.minimum(size[others], size[i]) * 1000 >= np.maximum(size[others], size[i]) * scaled
+            others = others[near]
+            others = others[(sig[others] == sig[i]).mean(axis=1) >= similar - SLACK]
+            if not len(others):
+                continue
+            theirs = np.concatenate([items[j] for j in others])
+            at = np.minimum(np.searchsorted(items[i], theirs), size[i] - 1)
+            starts = np.concatenate([[0], np.cumsum(size[others])[:-1]])
+            shared = np.add.reduceat((items[i][at] == theirs).astype(np.int64), starts)
+            for j in others[shared * 1000 >= (size[others] + size[i] - shared) * scaled]:
                 found[0].append(max(rows[i], rows[j]))
                 found[1].append(min(rows[i], rows[j]))
         return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
@@ -199,8 +217,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE, coun
     spokes = members.select(F.col("row").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b")
     spokes = spokes.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     roots = components(links)
-    links = settle(links.unionByName(_verify(_apart(spokes, roots), sets, similar)), "links")
-    roots = components(links)
+    links, roots = _more(links, roots, _verify(_apart(spokes, roots), sets, similar))
 
     # Buckets that still hold several components.
     rooted = _rooted(members.select("row", "bucket"), roots)
@@ -208,19 +225,28 @@ def classes(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE, coun
         F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
     ).where("r0 < r1").select("bucket", "blocks")
     block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    dealt = rooted.join(open_, "bucket").join(wanted.select("row", "signature"), "row").withColumn("block", block)
+    known = wanted.select("row", "signature").join(sets, "row")
+    dealt = rooted.join(open_, "bucket").join(known, "row").withColumn("block", block)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "row", "root", "signature", "block", "bucket", F.least("block", "other").alias("one"),
+        "row", "root", "signature", "items", "block", "bucket", F.least("block", "other").alias("one"),
         F.greatest("block", "other").alias("last"), (F.col("block") != F.col("other")).alias("two"))
-    likely = dealt.groupBy("bucket", "one", "last").applyInArrow(_inside(similar), "a long, b long").distinct()
-    links = settle(links.unionByName(_verify(likely, sets, similar)), "links")
-    roots = components(links)
+    inside = dealt.groupBy("bucket", "one", "last").applyInArrow(_inside(similar), "a long, b long")
+    links, roots = _more(links, roots, inside.distinct())
     node = made.join(nodes.select("name1", "name2", F.col("row").alias("node")), ["name1", "name2"])
     node = node.select("row", "doc_id", "th", "node")
     return node.join(roots.withColumnRenamed("root", "_root"), "node", "left").select(
         "row", "doc_id", "th", "node", F.coalesce("_root", "node").alias("root"))
 
 
+def _more(links: DataFrame, roots: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and roots after further links, if there are any."""
+    found = settle(found, "links")
+    if found.isEmpty():
+        return links, roots
+    links = links.unionByName(found)
+    return links, components(links)
+
+
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
 

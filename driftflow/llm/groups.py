@@ -29,10 +29,14 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has long columns ``a, b``. Each round is written, so a lost executor repeats one round at most.
     """
     links = settle(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
-    while True:
+    while _open(links):
         links = settle(_star(_star(links, True), False), "links")
-        now = tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == seen:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _open(links: DataFrame) -> bool:
+    """Whether a node has two links, or a root is itself linked to a smaller one."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("up")).distinct())
+    counts = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("root"))
+    return not counts.where("up > 1 OR (up = 1 AND root = 0)").isEmpty()
