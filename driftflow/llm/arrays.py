@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
-_PIECE_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+_PIECE_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -43,16 +43,15 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse (mod 2**64), at least ``n`` of each."""
-    size = 1 << max(16, (n - 1).bit_length())
+    size = 1 << max(20, (n - 1).bit_length())
     if size not in _powers:
         tables = []
         for base in (_BASE, _BASE_INVERSE):
             table = np.full(size, base)
             table[0] = 1
             tables.append(np.cumprod(table, dtype=np.uint64))
-        if size > _PIECE_BYTES * 2:
+        if size > 1 << 21:  # for a very long word or text; not kept
             return tables[0], tables[1]
-        _powers.clear()
         _powers[size] = (tables[0], tables[1])
     return _powers[size]
 
