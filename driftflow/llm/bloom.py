@@ -9,6 +9,7 @@ pass more, which costs time in that join and nothing else.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,3 +40,10 @@ def contains(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     for spot in (keys & np.uint64((1 << bits) - 1), keys >> np.uint64(64 - bits)):
         out &= (table[spot >> np.uint64(5)] >> (spot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
     return out
+
+
+def passes(filter_: Broadcast, key: Column) -> Column:
+    """Whether the filter passes a long key, for use in ``where``."""
+    def run(keys: pa.Array) -> pa.Array:
+        return pa.array(contains(filter_.value, keys.to_numpy().view(np.uint64)))
+    return F.arrow_udf(run, "boolean")(key)

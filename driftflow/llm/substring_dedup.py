@@ -9,9 +9,10 @@ their ends can the surroundings change a symbol.
 
 A window of ``length`` words is searched by one of the second-level symbols inside it that
 its surroundings can't change (the one of most words, then of smallest hash) together with
-the symbols beside it. Equal windows choose the same one. Windows without such a symbol
-(long runs of one word) are compared without that help. Windows whose symbol is in two
-documents or more are compared by symbol and by a hash of all their words, 128 bits in all.
+the symbols beside it. Equal windows choose the same one. A window without such a symbol
+(long runs of one word) is searched by all its words. Windows whose symbol is in two
+documents or more are compared by a hash of all their words and digits of the symbol's, 80
+bits in all.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from driftflow.session import settle
 LENGTH = 13
 LAST_ID = (1 << 63) - 1
 KEYS = pa.schema([("ord", pa.int64()), ("mark", pa.int64())])
-WINDOWS = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("mark", pa.int64()), ("name", pa.int64())])
+WINDOWS = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("name", pa.int64()), ("tag", pa.int16())])
 _PAIR = [np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC3A5C85C97CB3127)]
 
 
@@ -95,44 +96,45 @@ def anchors(words: arrays.Words, hashes: np.ndarray, length: int = LENGTH) -> tu
         better = live[rank[place[live]] > best[live]]
         best[better] = rank[place[better]]
         chosen[better] = place[better]
-    out = np.where(chosen >= 0, mark[chosen] | np.uint64(1), np.uint64(0))
-    return start, out
+    return start, np.where(chosen >= 0, mark[chosen], np.uint64(0))
 
 
 def _rows(batch: pa.RecordBatch, length: int):
     words = arrays.Words(batch.column("text"))
     hashes = words.hashes()
     start, mark = anchors(words, hashes, length)
-    return words, hashes, start, mark, words.text_of()[start]
+    name = arrays.grams(hashes, length)[start] if len(start) else mark
+    return words, start, np.where(mark == 0, name, mark), name, words.text_of()[start]
 
 
 def _marks(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.chunks(batches):
-            _, _, _, mark, row = _rows(batch, length)
+            _, _, mark, _, row = _rows(batch, length)
             if not len(mark):
                 continue
             fresh = np.ones(len(mark), bool)
             fresh[1:] = (mark[1:] != mark[:-1]) | (row[1:] != row[:-1])
-            fresh &= mark != 0
             ids = batch.column("ord").to_numpy()[row[fresh]]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(arrays.signed(mark[fresh]))], schema=KEYS)
     return run
 
 
-def _candidates(length: int, shared):
+def _candidates(length: int, *filters):
+    """Windows whose mark and, with a second filter, whose name pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.chunks(batches):
-            words, hashes, start, mark, row = _rows(batch, length)
+            words, start, mark, name, row = _rows(batch, length)
+            keep = np.ones(len(mark), bool)
+            for filter_, keys in zip(filters, (mark, name)):
+                keep &= bloom.contains(filter_.value, keys)
+            start, mark, name, row = (x[keep] for x in (start, mark, name, row))
             if not len(mark):
                 continue
-            keep = bloom.contains(shared.value, mark) | (mark == 0)
-            start, mark, row = start[keep], mark[keep], row[keep]
-            name = arrays.grams(hashes, length)[start]
             yield pa.RecordBatch.from_arrays([
                 pa.array(batch.column("ord").to_numpy()[row]), pa.array(batch.column("th").to_numpy()[row]),
-                pa.array((start - words.first[row]).astype(np.int32)),
-                pa.array(arrays.signed(mark)), pa.array(arrays.signed(name))], schema=WINDOWS)
+                pa.array((start - words.first[row]).astype(np.int32)), pa.array(arrays.signed(name)),
+                pa.array((mark >> np.uint64(20)).astype(np.uint16).view(np.int16))], schema=WINDOWS)
     return run
 
 
@@ -150,9 +152,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     marks = texts.select("ord", "text").mapInArrow(_marks(length), "ord long, mark long")
     shared = marks.groupBy("mark").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b")
     shared = bloom.build(shared, "mark")
-    windows = settle(texts.mapInArrow(_candidates(length, shared), "ord long, th long, at int, mark long, name long"), "windows")
-    firsts = windows.groupBy("mark", "name").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last")
-    return windows.join(firsts.drop("last"), ["mark", "name"]).where("ord > first").select("ord", "th", "at")
+    shape = "ord long, th long, at int, name long, tag short"
+    windows = texts.mapInArrow(_candidates(length, shared), shape)
+    firsts = windows.groupBy("name", "tag").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    firsts = settle(firsts.where("first < last").drop("last"), "firsts")
+    # The windows are made anew rather than kept: they are several times as long as what is repeated.
+    again = texts.mapInArrow(_candidates(length, shared, bloom.build(firsts, "name")), shape)
+    return again.join(firsts, ["name", "tag"]).where("ord > first").select("ord", "th", "at")
 
 
 def _kept(length: int):
@@ -190,10 +196,13 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A word goes if a window over it also starts in a document of smaller id; windows are judged on the
     input. Null ids are the largest; a null text has no words."""
     found = repeated_windows(docs, length).groupBy("ord", "th").agg(F.collect_set("at").alias("at"))
+    found = settle(found, "repeats")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("ord"),
                        F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = rows.join(found, ["ord", "th"], "left").select("row", "text", "at")
+    # Only texts that may have lost words are shuffled to meet their windows.
+    touched = bloom.passes(bloom.build(found.select("th").distinct(), "th"), F.col("th"))
+    joined = rows.where(touched).join(found, ["ord", "th"], "left").select("row", "text", "at")
+    clean = rows.where(~touched).select("row", "text", F.lit(None).cast("array<int>").alias("at"))
     shape = T.StructType([joined.schema["row"]]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    return joined.mapInArrow(_kept(length), shape)
-
+    return joined.mapInArrow(_kept(length), shape).unionByName(clean.mapInArrow(_kept(length), shape))
