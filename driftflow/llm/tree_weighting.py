@@ -26,10 +26,11 @@ from driftflow.llm import arrays
 from driftflow.session import settle
 
 DEPTH = 5
-CONTEXTS = 40_000
+CONTEXTS = 24_000
 FREQUENT = 1 << 18
 START, END = 0xFE, 0xFF
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
+_BLOCK = 1024
 GRAM, TOKEN = 0, 1
 
 
@@ -88,11 +89,7 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log probability that the Krichevsky-Trofimov estimate gives to these counts in any order."""
-    out = np.empty_like(zeros)
-    for low in range(0, len(out), 1024):
-        a, b = zeros[low:low + 1024], ones[low:low + 1024]
-        out[low:low + 1024] = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - np.log(np.pi)
-    return out
+    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - np.log(np.pi)
 
 
 def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,18 +132,26 @@ class TreeModel:
     @classmethod
     def of_counts(cls, d: np.ndarray, context: np.ndarray, code: np.ndarray, n: np.ndarray, depth: int) -> TreeModel:
         """``n`` of every symbol (the last byte of ``code``) after every kept context of ``d`` bytes."""
-        names, counts = [], []
+        names, tables = [], []
         for level in range(depth + 1):
             rows = d == level
             name, place = np.unique(context[rows], return_inverse=True)
-            if level == 0 and not len(name):
-                name = np.zeros(1, np.int64)
-            table = np.zeros((len(name), 256))
-            np.add.at(table, (place, code[rows] & 255), n[rows])
-            names.append(name)
-            counts.append(table)
+            names.append(name if len(name) or level else np.zeros(1, np.int64))
+            tables.append((place, code[rows] & 255, n[rows].astype(np.float64)))
+
+        def dense(level: int, low: int, high: int) -> np.ndarray:
+            """Counts of the 256 symbols for some contexts of a level; their rows are in order."""
+            place, symbol, count = tables[level]
+            a, b = np.searchsorted(place, (low, high))
+            out = np.zeros((high - low, 256))
+            out[place[a:b] - low, symbol[a:b]] = count[a:b]
+            return out
+
+        def blocks(level: int):
+            return ((low, min(low + _BLOCK, len(names[level]))) for low in range(0, len(names[level]), _BLOCK))
+
         base = np.concatenate([[0], np.cumsum([len(x) for x in names])])
-        ways = np.full((base[-1], 256), -1, np.int32)
+        ways = np.full((base[depth], 256), -1, np.int32)  # the longest contexts lead nowhere
         parents: list[np.ndarray] = [np.zeros(1, np.int64)]
         for level in range(1, depth + 1):
             # The oldest byte of a context leads to it from the context without that byte.
@@ -154,40 +159,49 @@ class TreeModel:
             ways[base[level - 1] + parent, names[level] >> 8 * (level - 1)] = base[level] + np.arange(len(names[level]))
             parents.append(parent)
         # From the longest contexts to none: the weight of stopping at a context, of its own against its children's.
-        weighted, stop, rest = None, [None] * (depth + 1), [None] * (depth + 1)
+        # ``stop`` and ``on`` add up to 1; ``rest`` is what the children that were not kept predict together.
+        weighted, stop, on, rest = None, [None] * depth, [None] * depth, [None] * depth
         for level in range(depth, -1, -1):
-            zeros, ones = _decisions(counts[level])
-            own = _log_kt(zeros, ones)
-            if level == depth:
-                weighted = own
-                continue
-            below = np.zeros_like(own)
-            np.add.at(below, parents[level + 1], weighted)
-            other = counts[level].copy()
-            np.add.at(other, parents[level + 1], -counts[level + 1])
-            left = tuple(_decisions(np.maximum(other, 0)))
-            below += _log_kt(*left)
-            weighted = np.logaddexp(own, below) - np.log(2)
-            stop[level] = np.exp(own - np.log(2) - weighted)
-            rest[level] = (left[1] + 0.5) / (left[0] + left[1] + 1)
+            size = len(names[level])
+            now = np.empty((size, 255))
+            if level < depth:
+                below, other = np.zeros((size, 255)), np.zeros((size, 256))
+                for low, high in blocks(level + 1):
+                    np.add.at(below, parents[level + 1][low:high], weighted[low:high])
+                    np.add.at(other, parents[level + 1][low:high], -dense(level + 1, low, high))
+                stop[level], on[level], rest[level] = (np.empty((size, 255), np.float32) for _ in range(3))
+            for low, high in blocks(level):
+                counts = dense(level, low, high)
+                own = _log_kt(*_decisions(counts))
+                if level == depth:
+                    now[low:high] = own
+                    continue
+                zeros, ones = _decisions(np.maximum(counts + other[low:high], 0))
+                split = below[low:high] + _log_kt(zeros, ones)
+                now[low:high] = np.logaddexp(own, split) - np.log(2)
+                stop[level][low:high] = np.exp(own - np.log(2) - now[low:high])
+                on[level][low:high] = np.exp(split - np.log(2) - now[low:high])
+                rest[level][low:high] = (ones + 0.5) / (zeros + ones + 1)
+            weighted = now
+        del weighted, now
         # And back: what a context predicts is mixed from all those above it.
         logs = np.empty((base[-1], 256), np.float32)
-        mixed, share = np.zeros((1, 255)), np.ones((1, 255))
+        mixed, share = np.zeros((1, 255), np.float32), np.ones((1, 255), np.float32)
         for level in range(depth + 1):
             if level:
                 mixed, share = mixed[parents[level]], share[parents[level]]
-            zeros, ones = _decisions(counts[level])
-            own = (ones + 0.5) / (zeros + ones + 1)
-            if level == depth:
-                final = mixed + share * own
-            else:
-                mixed = mixed + share * stop[level] * own
-                share = share * (1 - stop[level])
-                final = mixed + share * rest[level]
-            for low in range(0, len(final), 1024):
-                logs[base[level] + low:][:len(final[low:low + 1024])] = _symbol_logs(np.clip(final[low:low + 1024], 1e-12, 1 - 1e-12))
-        # The longest contexts lead nowhere.
-        return cls(depth, ways[:base[depth]].ravel(), logs.ravel())
+            for low, high in blocks(level):
+                zeros, ones = _decisions(dense(level, low, high))
+                own = (ones + 0.5) / (zeros + ones + 1)
+                part = slice(low, high)
+                if level == depth:
+                    final = mixed[part] + share[part] * own
+                else:
+                    mixed[part] += share[part] * stop[level][part] * own
+                    share[part] *= on[level][part]
+                    final = mixed[part] + share[part] * rest[level][part].astype(np.float64)
+                logs[base[level] + low:base[level] + high] = _symbol_logs(np.clip(final, 1e-12, 1 - 1e-12))
+        return cls(depth, ways.ravel(), logs.ravel())
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """Log10 probability of each text and its end."""
