@@ -6,11 +6,16 @@ each holds a Krichevsky-Trofimov estimate, and all depths are mixed by the weigh
 counts give them. A text is its bytes with A-Z in lower case, then an end symbol; before it
 stand start symbols (two bytes that UTF-8 never uses).
 
-Learning counts what follows each context, over all texts, in Spark. The ``contexts`` most
-frequent contexts are kept; the others are taken together as one further child of the longest
-kept context above them. So a model has a bounded size however large the corpus is, which
-makes it small enough for the driver to compute the mixture, and for every task to hold the
-finished table of log probabilities (about 1.5 KB a context).
+Learning counts what follows each context, over all texts, in Spark, and keeps every context.
+The runs of ``depth + 1`` symbols that are to be scored but were never learned from are added
+with a count of 0, which changes no weight. Contexts that agree in their last ``depth - 2`` bytes
+are mixed in one task, which holds at most 65,793 of them; the driver mixes the shorter contexts
+(at most as many, with the weights summed by Spark). A second pass gives each run its log
+probability, and a text is scored by adding up those of its runs: frequent runs are looked up in
+a table of bounded size, the others by a join.
+
+``TreeModel`` is the bounded form for those who ask for it by ``contexts``: the most frequent
+contexts, and the others taken together as one further child of the longest kept one above them.
 """
 
 from __future__ import annotations
@@ -26,11 +31,14 @@ from driftflow.llm import arrays
 from driftflow.session import settle
 
 DEPTH = 5
-CONTEXTS = 24_000
+CONTEXTS = 24_000  # of the bounded model
+DEEPEST = 5
 FREQUENT = 1 << 18
+FREQUENT_RUNS = 1 << 21
 START, END = 0xFE, 0xFF
 _CHUNK = 2 << 20
 _BLOCK = 1024
+_RUNS = 1 << 16
 GRAM, TOKEN = 0, 1
 
 
@@ -50,14 +58,20 @@ def _symbols(column: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray, np.n
     return out, np.flatnonzero(predicted), np.concatenate([[0], np.cumsum(size + 1)])
 
 
+def _codes(column: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The run of ``depth + 1`` symbols at each place to be predicted, as a number, and each text's first place."""
+    symbols, at, first = _symbols(column, depth)
+    code = np.zeros(len(at), np.uint64)
+    for k in range(depth, -1, -1):
+        code = (code << np.uint64(8)) | symbols[at - k]
+    return code, first
+
+
 def _count(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.chunks(batches, limit=_CHUNK):
             column = batch.column("text")
-            symbols, at, _ = _symbols(column, depth)
-            code = np.zeros(len(at), np.uint64)
-            for k in range(depth, -1, -1):
-                code = (code << np.uint64(8)) | symbols[at - k]
+            code, _ = _codes(column, depth)
             words = arrays.Words(column, arrays.LOWER)
             for kind, keys in ((GRAM, code), (TOKEN, words.hashes())):
                 found, n = np.unique(keys, return_counts=True)
@@ -220,35 +234,172 @@ class TreeModel:
         return np.add.reduceat(out, first[:-1]) if len(first) > 1 else np.zeros(0)
 
 
-def _score(model, words):
-    """Per text: its score, its words, and what the frequent words add; the others are listed."""
+def _decided(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight binary nodes that each run decides, each as ``context * 256 + node``, and the decisions (rows)."""
+    level, symbol = np.arange(8), (code & 255)[:, None]
+    return (code >> 8 << 8)[:, None] | (1 << level) + (symbol >> 8 - level), symbol >> 7 - level & 1
+
+
+def _rise(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None, high: int, low: int):
+    """Mix nodes of contexts of ``high`` bytes, and of those above them down to ``low`` bytes.
+
+    ``below``: sum of the children's log weights, None for the longest contexts. Returns for each length
+    the place of the node above, the estimate, and the weights of stopping and going on; and what is known
+    of the nodes of contexts of ``low - 1`` bytes: their names, counts, and ``below``."""
+    levels = []
+    for size in range(high, low - 1, -1):
+        own = _log_kt(zeros, ones)
+        one = (ones + 0.5) / (zeros + ones + 1)
+        if below is None:
+            weight, stop, on = own, None, None
+        else:
+            weight = np.logaddexp(own, below) - np.log(2)
+            stop, on = (np.exp(x - np.log(2) - weight) for x in (own, below))
+        # The oldest byte is the highest one; above no context there is one place for all.
+        node, up = np.unique(node & ((1 << 8 * size) - 1) if size else np.zeros_like(node), return_inverse=True)
+        zeros, ones, below = (np.bincount(up, x, len(node)) for x in (zeros, ones, weight))
+        levels.append((up, one, stop, on))
+    return levels, (node, zeros, ones, below)
+
+
+def _fall(levels: list, mixed: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """And back: the mixture down to the nodes that ``_rise`` began with, and the share left to their children."""
+    for up, one, stop, on in reversed(levels):
+        mixed, share = mixed[up], share[up]
+        if stop is None:
+            return mixed + share * one, np.zeros_like(share)
+        mixed, share = mixed + share * stop * one, share * on
+    return mixed, share
+
+
+def _families(batches: Iterator[pa.RecordBatch], mask: int) -> Iterator[pa.Table]:
+    """Rows, sorted by the last bytes of the context, in pieces that don't part contexts which agree in them."""
+    held, rows, limit = [], 0, _RUNS
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < limit:
+            continue
+        table = pa.Table.from_batches(held)
+        family = table["key"].to_numpy() >> 8 & mask
+        cut = int(np.searchsorted(family, family[-1]))
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+        rows -= cut
+        limit = max(_RUNS, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _mix(depth: int, least: int, above=None):
+    """Without ``above``: the nodes of contexts of ``least - 1`` bytes. With it (their mixtures): the runs' log10 probabilities."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _families(batches, (1 << 8 * least) - 1):
+            code, n = table["key"].to_numpy(), table["n"].to_numpy()
+            nodes, bit = _decided(code)
+            node, place = np.unique(nodes.ravel(), return_inverse=True)
+            n = np.repeat(n, 8)
+            ones = np.bincount(place, n * bit.ravel(), len(node))
+            zeros = np.bincount(place, n, len(node)) - ones
+            levels, over = _rise(node, zeros, ones, None, depth, least)
+            if above is None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in over], names=["node", "zeros", "ones", "below"])
+                continue
+            names, mixed, share = above.value
+            at = np.searchsorted(names, over[0])
+            one = np.clip(_fall(levels, mixed[at], share[at])[0], 1e-12, 1 - 1e-12)[place].reshape(-1, 8)
+            logs = np.log10(np.where(bit == 1, one, 1 - one)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(code), table["seen"].combine_chunks(), pa.array(logs.astype(np.float32))], names=["key", "seen", "log"])
+    return run
+
+
+def run_logs(runs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``key, seen, log``: log10 probability of the last symbol of every run after the others, all contexts kept.
+
+    ``runs``: ``key, n, seen``, each key once; ``n`` is how often it was learned from, 0 for those only to be scored."""
+    if depth > DEEPEST:
+        raise ValueError(f"a depth over {DEEPEST} needs a bounded model: give contexts")
+    least = max(0, depth - 2)
+    family = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * least) - 1))
+    dealt = runs.select("key", "n", "seen", family.alias("family")).repartition("family").sortWithinPartitions("family")
+    if least:
+        over = dealt.mapInArrow(_mix(depth, least), "node long, zeros double, ones double, below double")
+        top = over.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow().sort_by("node")
+        node, *rest = (top[c].to_numpy() for c in ("node", "zeros", "ones", "below"))
+        above = (node, *_fall(_rise(node, *rest, least - 1, 0)[0], np.zeros(1), np.ones(1)))
+    else:
+        above = (np.zeros(1, np.int64), np.zeros(1), np.ones(1))
+    return settle(dealt.mapInArrow(_mix(depth, least, runs.sparkSession.sparkContext.broadcast(above)),
+                                   "key long, seen long, log float"), "run-logs")
+
+
+def _least_seen(runs: DataFrame, most: int) -> int:
+    """The least power of 2 that at most ``most`` runs have been seen as often as."""
+    bits = runs.groupBy(F.length(F.bin("seen")).alias("bits")).count().collect()
+    least, total = 1 << 62, 0
+    for row in sorted(bits, reverse=True):
+        total += row["count"]
+        if total > most:
+            break
+        least = 1 << row["bits"] - 1
+    return least
+
+
+def _places(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key is in a sorted table, and whether it is there."""
+    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+    return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
+
+
+def _added(column: pa.Array, depth: int, known: np.ndarray, logs: np.ndarray):
+    """Per text the sum over the runs in the table; the others, each once for a text, how often, and how many a text has."""
+    code, first = _codes(column, depth)
+    found, place = np.unique(code, return_inverse=True)
+    keys = arrays.signed(found)
+    at, hit = _places(keys, known)
+    each = np.where(hit, logs[at].astype(np.float64), 0.0) if len(known) else np.zeros(len(keys))
+    spots = np.flatnonzero(~hit[place])
+    pair, times = np.unique((np.searchsorted(first, spots, "right") - 1) * len(found) + place[spots], return_counts=True)
+    n = np.bincount(pair // len(found), minlength=len(first) - 1)
+    return np.add.reduceat(each[place], first[:-1]), keys[pair % len(found)], times, n
+
+
+def _score(depth, model, words, whole):
+    """Per text: its score, its words, and what the frequent words and runs add; the others are listed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = TreeModel(*model.value)
+        tree = None if whole else TreeModel(*model.value)
         known, logs = words.value
         for batch in arrays.chunks(batches):
             column = batch.column("text")
             found = arrays.Words(column, arrays.LOWER)
             keys = arrays.signed(found.hashes())
-            at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-            hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+            at, hit = _places(keys, known)
             text, n = found.text_of(), batch.num_rows
             rare = keys[~hit]
+            if whole:
+                score, runs, times, each = _added(column, depth, *model.value)
+            else:
+                score, runs, times, each = tree.score(column), keys[:0], keys[:0], np.zeros(n, np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("held_out"), pa.array(found.count.astype(np.int64)),
                 pa.array(np.bincount(text[hit], minlength=n)),
-                pa.array(np.bincount(text[hit], logs[at[hit]], minlength=n), pa.float64()), pa.array(tree.score(column)),
-                arrays.lists(rare, np.bincount(text[~hit], minlength=n), pa.int64())],
-                names=["doc_id", "held_out", "words", "known", "logs", "score", "rare"])
+                pa.array(np.bincount(text[hit], logs[at[hit]], minlength=n), pa.float64()), pa.array(score),
+                arrays.lists(rare, np.bincount(text[~hit], minlength=n), pa.int64()),
+                arrays.lists(runs, each, pa.int64()), arrays.lists(times, each, pa.int64())],
+                names=["doc_id", "held_out", "words", "known", "logs", "score", "rare", "runs", "times"])
     return run
 
 
-def score(docs: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, contexts: int | None = None) -> DataFrame:
     """Learn from the rows of ``docs`` (``doc_id, text, held_out``) that are not held out, and score all.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. A null text is an
     empty one: its one token is the end. ``base_score`` counts words over all rows learned from: those
     that make up one part in ``FREQUENT`` or more are looked up in a table of that size at most, the
-    others by a join.
+    others by a join; so are the runs of ``score``, ``FREQUENT_RUNS`` in the table at most. Every context is kept, or the
+    ``contexts`` most frequent ones if that is given.
     """
     spark = docs.sparkSession
     train = docs.where("NOT held_out")
@@ -259,16 +410,36 @@ def score(docs: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS) -> Data
     n, distinct = totals[0] + ends, totals[1] + (ends > 0)
     top = tokens.where(F.col("n") * FREQUENT >= n).toArrow().sort_by("token")
     table = (top["token"].to_numpy(), np.log10(top["n"].to_numpy() + 1.0))
-    tree = TreeModel.fit(counts.where(F.col("kind") == GRAM).select("key", "n"), depth, contexts)
+    learned = counts.where(F.col("kind") == GRAM).select("key", "n")
     send = spark.sparkContext.broadcast
+    whole = contexts is None
+    if whole:
+        others = count(docs.where(F.coalesce("held_out", F.lit(True))), depth).where(F.col("kind") == GRAM)
+        runs = learned.withColumn("seen", F.col("n")).unionByName(
+            others.select("key", F.lit(0).cast("long").alias("n"), F.col("n").alias("seen")))
+        runs = settle(runs.groupBy("key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")), "runs")
+        logs_of = run_logs(runs, depth)
+        often = F.col("seen") >= _least_seen(logs_of, FREQUENT_RUNS)
+        seen = logs_of.where(often).select("key", "log").toArrow().sort_by("key")
+        model = send((seen["key"].to_numpy(), seen["log"].to_numpy()))
+    else:
+        tree = TreeModel.fit(learned, depth, contexts)
+        model = send((tree.depth, tree.ways, tree.logs))
     made = docs.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        _score(send((tree.depth, tree.ways, tree.logs)), send(table)),
-        "doc_id long, held_out boolean, words long, known long, logs double, score double, rare array<long>")
+        _score(depth, model, send(table), whole),
+        "doc_id long, held_out boolean, words long, known long, logs double, score double, rare array<long>, "
+        "runs array<long>, times array<long>")
     made = settle(made.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = made.select("row", F.explode("rare").alias("token")).groupBy("row", "token").count()
     met = rare.join(tokens, "token").groupBy("row").agg(
         F.sum("count").alias("more"), F.sum(F.col("count") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    joined = made.drop("rare").join(met, "row", "left")
+    joined = made.drop("rare", "runs", "times").join(met, "row", "left")
+    if whole:
+        told = made.select("row", F.explode(F.arrays_zip("runs", "times")).alias("r")).select(
+            "row", F.col("r.runs").alias("key"), "r.times")
+        added = told.join(logs_of.where(~often), "key").groupBy("row").agg(
+            F.sum(F.col("times") * F.col("log").cast("double")).alias("more_score"))
+        joined = joined.join(added, "row", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     size = F.col("words") + 1
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.log10(F.lit(ends + 1.0))
     return joined.select(

@@ -140,3 +140,31 @@ def test_what_was_learned_scores_better_than_noise(spark):
     held = out[out.held_out & (out.doc_id < 100)]
     assert held.score.mean() > out[out.doc_id >= 100].score.mean() / 3
     assert -held.score.sum() / sum(len(t) + 1 for t in text[:20]) < 0.35
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 3])
+def test_scores_against_the_recursion(spark, depth, monkeypatch):
+    learned, others = ["abab abba", "Ab", "", "cé"], ["abac", "zé x", "abab"]
+    rows = [(i, t, False) for i, t in enumerate(learned)] + [(10 + i, t, True) for i, t in enumerate(others)]
+    frame, plain = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), Plain(learned, depth)
+    for frequent in (1, 20, 1 << 20):  # no run, some and all of them in the table
+        monkeypatch.setattr(tree, "FREQUENT_RUNS", frequent)
+        got = {r.doc_id: r.score for r in tree.score(frame, depth).collect()}
+        for i, text, _ in rows:
+            data = bytes([tree.START] * depth) + text.lower().encode() + bytes([tree.END])
+            want = sum(plain.log(data[k - depth:k], data[k]) for k in range(depth, len(data)))
+            assert got[i] == pytest.approx(want, abs=1e-4)
+
+
+def test_no_context_is_left_out(spark, monkeypatch):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    texts = ["".join(rng.choice(letters) for _ in range(3000)) for _ in range(20)]
+    frame = spark.createDataFrame([(i, t, i >= 18) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    counts = tree.count(frame.where("NOT held_out"), 3).where(F.col("kind") == tree.GRAM).select("key", "n")
+    model = tree.TreeModel.fit(counts, 3, 1_000_000)
+    assert len(model.logs) // 256 > 24_000
+    monkeypatch.setattr(tree, "FREQUENT_RUNS", 10_000)
+    monkeypatch.setattr(tree, "_RUNS", 500)
+    got = {r.doc_id: r.score for r in tree.score(frame, 3).collect()}
+    assert np.allclose([got[i] for i in range(20)], model.score(pa.array(texts)), rtol=1e-6)
