@@ -17,6 +17,8 @@ from driftflow.session import settle
 
 # Below this the language is a guess between all that were learned.
 LEAST_SURE = 0.25
+# A line of more words is a repeat by itself, whatever lines are around it.
+LONG_LINE = 50
 WEIGHTS = [3, 1, 2]
 LAST_ID = (1 << 63) - 1
 
@@ -38,9 +40,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the runs of lines that were there before; ``n_chars``, if there, is counted anew.
+    """Texts without the runs of lines, and the lines of more than ``LONG_LINE`` words, that were there before; ``n_chars``, if there, is counted anew.
     A document of which nothing is left goes; a null, empty or blank text stays as it is."""
-    out = line_dedup.dedup(docs).where("n_removed = 0 OR n_removed < n_lines")
+    out = line_dedup.dedup(docs, long_line=LONG_LINE).where("n_removed = 0 OR n_removed < n_lines")
     new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

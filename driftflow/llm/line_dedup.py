@@ -9,6 +9,9 @@ document. Runs are judged on the input, not on what is left of it.
 The smallest line hash of every run is its fingerprint, so equal runs share one. Only runs
 whose fingerprint is at two places or more are compared; each is matched with the first place
 it has, and matches that continue each other up and down are joined to one repeat.
+
+With ``long_line``, a line of more words than that is a run by itself as well: it goes if it
+stood earlier, whatever is around it.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftflow.llm.mixing import WORD
 from driftflow.session import settle
 
 BLANKS = " \t\r"
@@ -65,10 +69,26 @@ def repeats(docs: DataFrame, run: int = 2) -> DataFrame:
     ).select("ord", "th", "low", "high", "ord0", "th0", (F.col("low") - F.col("shift")).alias("low0"))
 
 
-def dedup(docs: DataFrame, run: int = 2) -> DataFrame:
+def long_repeats(docs: DataFrame, long_line: int) -> DataFrame:
+    """Lines of more than ``long_line`` words that stood earlier: ``ord, th, at``."""
+    bare = F.filter(F.transform(F.split("text", "\n"), _bare), lambda x: x != "")
+    named = F.transform(bare, lambda x, i: F.struct(
+        i.alias("at"), F.when(F.regexp_count(x, F.lit(WORD)) > long_line, F.xxhash64(x)).alias("name")))
+    lines = _key(docs).dropDuplicates(["ord", "th"]).select(
+        "ord", "th", F.inline(F.filter(named, lambda x: x["name"].isNotNull())))
+    lines = settle(lines, "long-lines")
+    place = F.struct("ord", "th", "at")
+    first = lines.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("_last")).where("first < _last")
+    return lines.join(first, "name").where(place > F.col("first")).select("ord", "th", "at")
+
+
+def dedup(docs: DataFrame, run: int = 2, long_line: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` as a struct ``row``, with ``n_lines`` (not blank), ``n_removed``, ``kept`` (the text left)."""
     gone = F.flatten(F.collect_list(F.sequence("low", "high")))
-    gone = repeats(docs, run).groupBy("ord", "th").agg(F.array_distinct(gone).alias("gone"))
+    spans = repeats(docs, run).select("ord", "th", "low", "high")
+    if long_line is not None:
+        spans = spans.union(long_repeats(docs, long_line).select("ord", "th", "at", "at"))
+    gone = spans.groupBy("ord", "th").agg(F.array_distinct(gone).alias("gone"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
     keys = whole.select("row", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("ord"),
                         F.xxhash64("text").alias("th"))

@@ -57,3 +57,43 @@ def test_odd_rows(odd, clashing, nothing):
 def test_a_line_repeated_very_often_stays_once(spark):
     out = line_dedup.dedup(spark.createDataFrame([(1, "\n".join(["same"] * 500))], "doc_id long, text string")).first()
     assert (out.n_lines, out.n_removed, out.kept) == (500, 499, "same")
+
+
+def brute_long(docs, least):
+    """``brute`` with two lines, and every line of more than ``least`` words a run by itself."""
+    distinct = sorted({(LAST if i is None else i, t) for i, t in docs if t is not None})
+    first, pairs = {}, {}
+    places = {key: [x.strip(" \t\r") for x in key[1].split("\n") if x.strip(" \t\r")] for key in distinct}
+    for key in distinct:
+        for p, line in enumerate(places[key]):
+            first.setdefault(line, (key, p))
+            pairs.setdefault(tuple(places[key][p:p + 2]), (key, p))
+    out = []
+    for key in distinct:
+        lines, gone = places[key], set()
+        for p, line in enumerate(lines):
+            if len(line.split()) > least and first[line] != (key, p):
+                gone.add(p)
+            if p + 1 < len(lines) and pairs[tuple(lines[p:p + 2])] != (key, p):
+                gone |= {p, p + 1}
+        out.append((key[0], len(lines), len(gone), "\n".join(x for p, x in enumerate(lines) if p not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_long_lines_are_runs_by_themselves(spark, rng):
+    kinds = ["a", "b", "c d", "e f g", "h i j k", "l m n o", "p q r s t"]
+    docs = [(i, "\n".join(rng.choice(kinds) for _ in range(rng.randrange(1, 8)))) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for least in (2, 3):
+        assert rows(line_dedup.dedup(frame, long_line=least)) == brute_long(docs, least)
+
+
+def test_the_pipeline_removes_a_long_line_with_other_neighbours(spark):
+    import corpus_pipeline
+
+    line = " ".join(f"w{i}" for i in range(51))
+    docs = [(1, f"one\n{line}\ntwo"), (2, f"three\n{line}\nfour"), (3, line), (4, "one"), (5, line.rsplit(" ", 1)[0]), (6, line.rsplit(" ", 1)[0])]
+    out = corpus_pipeline.repeated_lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    want = dict(docs) | {2: "three\nfour"}
+    del want[3]
+    assert {r.doc_id: r.text for r in out.collect()} == want
