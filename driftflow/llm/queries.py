@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftflow.llm import chat, dart_minhash, decontamination, edit_embedding, language, line_dedup, mixing, ordinal, substring_dedup, tree_weighting
+from driftflow.llm import (
+    alignment, chat, dart_minhash, decontamination, edit_embedding, euclidean_lsh, language, line_dedup, mixing, ordinal,
+    resampling, substring_dedup, tree_weighting,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +76,19 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("rate.tail_probability") >= 0.5).alias("selected"))
 
 
+def op11_euclidean_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return euclidean_lsh.link(table(spark, sf_dir, "embeddings")).drop("row")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -84,6 +100,9 @@ QUERIES = {
     "op8_tree_weighting": op8_tree_weighting,
     "op9_language_id": op9_language_id,
     "op10_ordinal_quality": op10_ordinal_quality,
+    "op11_euclidean_lsh": op11_euclidean_lsh,
+    "op12_resampling": op12_resampling,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES = {
@@ -170,5 +189,61 @@ SELECT conv_id, count(*) FILTER (WHERE role = 'assistant' OR i = n) AS n_example
        sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(prefix) FILTER (WHERE role = 'assistant' OR i = n)::BIGINT AS formatted_chars
 FROM upto GROUP BY conv_id
+""",
+    "op11_euclidean_lsh": r"""
+WITH RECURSIVE
+v AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e,
+         coalesce(len(list_filter(embedding, lambda x: x <> 0)) > 0
+                  AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding), false) AS usable
+  FROM embeddings),
+links AS MATERIALIZED (
+  SELECT a.r AS i, b.r AS j FROM v a JOIN v b ON a.r <> b.r AND a.usable AND b.usable AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(i, j) AS (SELECT r, r FROM v UNION SELECT reach.i, links.j FROM reach JOIN links ON reach.j = links.i),
+least AS (SELECT i, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.j GROUP BY i),
+counts AS (SELECT i, count(*) AS n FROM links GROUP BY i)
+SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, l.component_id, v.vec_id IS NOT DISTINCT FROM l.component_id AS kept
+FROM v JOIN least l ON l.i = v.r LEFT JOIN counts c ON c.i = v.r
+""",
+    "op12_resampling": r"""
+WITH tables AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t
+  FROM range(256) r(i)),
+texts AS (
+  SELECT 0 AS side, row_number() OVER () AS r, doc_id AS id, text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+cut AS (
+  SELECT side, r, id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+  FROM texts),
+words AS (SELECT side, r, unnest(words) AS word FROM cut),
+bytes AS (
+  SELECT word, list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT) AS b
+  FROM (SELECT DISTINCT word FROM words)),
+buckets AS (
+  SELECT word, xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295)) % 10000 AS bucket
+  FROM bytes, tables),
+counts AS (
+  SELECT b.bucket, count(*) FILTER (WHERE w.side = 0) AS s, count(*) FILTER (WHERE w.side = 1) AS t
+  FROM words w JOIN buckets b USING (word) GROUP BY b.bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE
+                                 / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT AS gain
+  FROM counts),
+sums AS (
+  SELECT w.r, sum(g.gain)::BIGINT AS total FROM words w JOIN buckets b USING (word) JOIN gains g USING (bucket)
+  WHERE w.side = 0 GROUP BY w.r),
+scored AS (
+  SELECT c.r, c.id AS doc_id, len(c.words) AS n_features,
+         CASE WHEN len(c.words) = 0 THEN 0 ELSE (total - ((total % len(c.words)) + len(c.words)) % len(c.words)) // len(c.words) END AS weight,
+         floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(c.id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS noise
+  FROM cut c LEFT JOIN sums USING (r) WHERE c.side = 0),
+ranked AS (
+  SELECT r, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS LAST, r) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, s.n_features::BIGINT AS n_features, s.weight::BIGINT AS weight, (s.weight + s.noise)::BIGINT AS score,
+       CASE WHEN k.rank <= 10 * k.n // 100 THEN k.rank END AS rank
+FROM scored s LEFT JOIN ranked k USING (r)
 """,
 }

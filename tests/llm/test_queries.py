@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the given tables
 
 
 def test_every_operator_and_the_pipeline_are_named():
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
