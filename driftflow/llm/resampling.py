@@ -45,7 +45,10 @@ SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 def features(column: pa.Array, grams: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of 1, 2, ... ``grams`` words: the text and the bucket of every run, by text."""
-    parts = pc.split_pattern_regex(pc.ascii_lower(column.cast(pa.large_string()).fill_null("")), pattern=SEPARATORS)
+    data, ends = arrays.text_bytes(column)
+    # A copy of its own: the kernel for lower case goes wrong on a slice of a longer column.
+    texts = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(np.ascontiguousarray(ends)), pa.py_buffer(data.copy()))
+    parts = pc.split_pattern_regex(pc.ascii_lower(texts), pattern=SEPARATORS)
     cut = pc.list_flatten(parts)
     solid = pc.not_equal(cut, "")
     text = pc.list_parent_indices(parts).filter(solid).to_numpy().astype(np.int64)

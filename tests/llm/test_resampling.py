@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,12 @@ def test_targeted_texts_are_drawn(spark, rng):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = resampling.resample(docs, docs.where("doc_id % 10 = 0").limit(20))
     assert out.where("rank IS NOT NULL AND doc_id % 10 = 0").count() > 80
+
+
+def test_slices_of_a_column(rng):
+    texts = ["Ünï " * rng.randrange(30) + "Wörds É" for _ in range(300)] + [None]
+    column = pa.array(texts)
+    for at, n in ((0, 301), (100, 150), (250, 51), (300, 1), (0, 0)):
+        (text, bucket), = resampling.features(column.slice(at, n), 1, 10_000)
+        want = [(i, zlib.crc32(w.encode()) % 10_000) for i, t in enumerate(texts[at:at + n]) for w in words(t)]
+        assert list(zip(text.tolist(), bucket.tolist())) == want
