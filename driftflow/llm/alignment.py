@@ -5,16 +5,22 @@ special tokens are plain text. Token ends that both share cut a text into groups
 pair of an A and a B token whose bytes overlap is a link. The count of a pair of ids is the
 number of documents that hold it linked.
 
-The first pass cuts and aligns chunks of whole texts and writes, for each, its tokens and its
-distinct pairs with the number of documents of each. Distinct pairs of all chunks get a number
-from a minimal perfect hash: pairs are dealt to ``BLOCKS`` blocks by a hash, and in each block
-a cascade of bit vectors gives every pair its own slot, with no slot left over. Pairs are
-counted in dense vectors indexed by that hash, one for a block and a bounded piece of its
-rows; the vectors of a block are then added up, ``FAN_IN`` at a time. Every slot carries its
-pair, so that a pair is verified when it is looked up. The second pass aligns the written
-tokens again and looks up the count of every link: in a table sent to all tasks while it is
-small (``MOST_SENT`` pairs), and beyond that by taking each chunk's pairs to the blocks and
-their counts back to the chunk.
+Both tokenizers cut a text at a blank after another character, whatever is around it, so a
+text is a row of segments (blanks and the characters up to the next one) that can be cut and
+aligned once for all the places they are at. Where that does not hold - characters whose class
+regular expression engines may see differently, other white space before several blanks,
+files of another make - the whole text is one segment.
+
+The first pass writes chunks of whole texts: the tokens of their distinct segments, the
+segments of each text, and the chunk's distinct pairs with the number of documents of each.
+Distinct pairs of all chunks get a number from a minimal perfect hash: pairs are dealt to
+``BLOCKS`` blocks, and in each block a cascade of bit vectors gives every pair its own slot,
+with no slot left over. Pairs are counted in dense vectors indexed by that hash, one for a
+block and a bounded piece of its rows; the vectors of a block are then added up, ``FAN_IN`` at
+a time. Every slot carries its pair, so that a pair is verified when it is looked up. The
+second pass aligns the written tokens again and looks up the count of every link: in a table
+sent to all tasks while it is small (``MOST_SENT`` pairs), and beyond that by taking each
+chunk's pairs to the blocks and their counts back to the chunk.
 
 A block never holds more than its share of all pairs that two vocabularies can make, and a
 common pair is one row in a chunk, so neither grows with its frequency.
@@ -33,7 +39,6 @@ import math
 import os
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
@@ -57,15 +62,16 @@ MOST_SENT = 1_000_000
 _PRIME = 1_000_003
 _CHUNK = 2 << 20
 _MARK = "▁"
-_CACHED = 200_000
+_CACHED = 100_000
 
-# --- fixed values: the published byte-level pattern, and the characters it leaves as they are ---
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# --- fixed values: bytes that a byte-level vocabulary writes as the character of the same number ---
 PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 # --- end of fixed values ---
 
 # Characters on whose class any two regular expression engines agree.
 _ODD = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏぁ-ゖァ-ヺ一-龥가-힣]")
+# White space that goes on behind other white space than blanks.
+_LOOSE = re.compile("[\t\n\r](?:  | +$)")
 _SEGMENT = re.compile(" +[^ ]+| +$")
 
 
@@ -75,168 +81,120 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in PLAIN_BYTES} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class ByteTokens:
-    """Tokens of A. Texts of common characters go through the faster of two libraries if the file allows it."""
+class Cutter:
+    """Both tokenizers, and what they have made of segments before."""
 
-    def __init__(self, path: str):
+    def __init__(self, path_a: str, path_b: str):
+        import sentencepiece
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        with open(path, encoding="utf-8") as file:
+        self.a = Tokenizer.from_file(path_a)
+        self.a.encode_special_tokens = True
+        with open(path_a, encoding="utf-8") as file:
             said = json.load(file)
-        added = {t["content"]: t["id"] for t in said["added_tokens"]}
+        added = {t["content"] for t in said["added_tokens"]}
         chars = byte_of_char()
-        entries = {i: t for t, i in self.whole.get_vocab().items()}
-        self.bytes = [b""] * (max(entries) + 1)
+        entries = {i: t for t, i in self.a.get_vocab().items()}
+        self.bytes_a = [b""] * (max(entries) + 1)
         for i, token in entries.items():
-            self.bytes[i] = token.encode() if token in added else bytes(chars[c] for c in token)
-        self.fast = self._fast(said, added)
-
-    def _fast(self, said: dict, added: dict):
-        """Ids are ranks if every merge makes the entry after the one before; else there is no fast way."""
-        import tiktoken
-        model, split = said["model"], said["pre_tokenizer"]
-        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        vocab = {t: i for t, i in model["vocab"].items() if t not in added}
-        first = len(vocab) - len(merges)
-        plain = all(vocab.get(a + b) == first + i for i, (a, b) in enumerate(merges)) and first == 256
-        if not plain or said["normalizer"] or split != {"type": "ByteLevel", "add_prefix_space": False,
-                                                        "trim_offsets": split.get("trim_offsets"), "use_regex": True}:
-            return None
-        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={self.bytes[i]: i for i in vocab.values()},
-                                 special_tokens={})
-
-    def encode(self, text: str) -> list[int]:
-        if self.fast is not None and not _ODD.search(text):
-            return self.fast.encode_ordinary(" " + text)
-        return self.whole.encode(" " + text, add_special_tokens=False).ids
-
-
-class _Segments(dict):
-    """Ids of a run of blanks and the characters after it, kept for the next time."""
-
-    def __init__(self, model, blank: int):
-        super().__init__()
-        self.model, self.blank = model, blank
-
-    def __missing__(self, segment: str) -> tuple[int, ...]:
-        ids = (self.blank,) if segment == " " else tuple(self.model.encode(segment[1:]))
-        if len(segment) < 64:
-            if len(self) >= _CACHED:
-                self.clear()
-            self[segment] = ids
-        return ids
-
-
-class PieceTokens:
-    """Tokens of B. If no piece has a blank after another character, words are cut one by one and remembered."""
-
-    def __init__(self, path: str):
-        import sentencepiece
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = self.model.get_piece_size()
-        pieces = [self.model.id_to_piece(i) for i in range(n)]
-        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(_MARK, " ").encode()
-                      for i, p in enumerate(pieces)]
-        apart = all(_MARK not in p.lstrip(_MARK) for p in pieces)
+            self.bytes_a[i] = token.encode() if token in added else bytes(chars[c] for c in token)
+
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode()
+                        for i, p in enumerate(pieces)]
+        self.blank = self.b.piece_to_id(_MARK)
+        self.lengths = [np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b)]
+        # No piece has a blank after another character, and blanks and marks stay as they are.
         probe = " b  a\n\tb ﬁ Ａ "
-        plain = b"".join(self.bytes[i] for i in self.model.encode(probe)) == b" " + probe.encode()
-        blank = self.model.piece_to_id(_MARK)
-        self.segments = _Segments(self.model, blank) if apart and plain and self.bytes[blank] == b" " else None
-
-    def encode(self, text: str) -> list[int]:
-        if self.segments is None or _MARK in text:
-            return self.model.encode(text)
-        return list(chain.from_iterable(map(self.segments.__getitem__, _SEGMENT.findall(" " + text))))
+        plain = all(_MARK not in p.lstrip(_MARK) for p in pieces) and self.bytes_b[self.blank] == b" " and (
+            b"".join(self.bytes_b[i] for i in self.b.encode(probe)) == b" " + probe.encode())
+        split = said["pre_tokenizer"] or {}
+        self.apart = plain and said["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+        self.known: dict[str, tuple | None] = {}
+
+    def segments(self, text: str | None) -> list[str]:
+        """Segments of the text with a blank before it; none for a text without tokens."""
+        if not text or _MARK in text:
+            return []
+        if not self.apart or _ODD.search(text) or _LOOSE.search(text):
+            return [" " + text]
+        return _SEGMENT.findall(" " + text)
+
+    def cut(self, segments: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of both tokenizers for each segment; None if either does not spell it."""
+        fresh = [s for s in segments if s not in self.known]
+        if len(self.known) + len(fresh) > _CACHED:
+            self.known = {}
+            fresh = segments
+        made = {}
+        if fresh:
+            two = self.b.encode([s[1:] for s in fresh], num_threads=1)
+            for s, x, ids_b in zip(fresh, self.a.encode_batch(fresh, add_special_tokens=False), two):
+                ids_a, spelt = x.ids, s.encode()
+                if s == " ":
+                    ids_b = [self.blank]
+                right = all(b"".join(map(t.__getitem__, ids)) == spelt for t, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
+                made[s] = (ids_a, ids_b) if right else None
+        out = [made[s] if s in made else self.known[s] for s in segments]
+        self.known.update((s, ids) for s, ids in made.items() if len(s) < 64)
+        return out
 
 
-_loaded: dict[tuple[str, str], tuple[ByteTokens, PieceTokens]] = {}
+_loaded: dict[tuple[str, str], Cutter] = {}
 
 
-def tokenizers(path_a: str, path_b: str) -> tuple[ByteTokens, PieceTokens]:
-    """Both tokenizers, read once in a worker."""
+def cutter(path_a: str, path_b: str) -> Cutter:
+    """The two tokenizers, read once in a worker."""
     if (path_a, path_b) not in _loaded:
-        _loaded[path_a, path_b] = ByteTokens(path_a), PieceTokens(path_b)
+        _loaded[path_a, path_b] = Cutter(path_a, path_b)
     return _loaded[path_a, path_b]
 
 
-def cut(text: str | None, a: ByteTokens, b: PieceTokens) -> tuple[list[int], list[int]]:
-    """Ids of both tokenizers; none if either does not spell the text."""
-    if not text or _MARK in text:
-        return [], []
-    spelt = b" " + text.encode()
-    ids_b = b.encode(text)
-    if b"".join(map(b.bytes.__getitem__, ids_b)) != spelt:
-        return [], []
-    ids_a = a.encode(text)
-    if b"".join(map(a.bytes.__getitem__, ids_a)) != spelt:
-        return [], []
-    return ids_a, ids_b
-
-
-@dataclass
 class Aligned:
-    """Tokens of several texts one after the other. Both sides of a text have equally many bytes, so one
+    """Tokens of several segments one after the other. Both sides of a segment have equally many bytes, so one
     running sum of lengths serves all of them."""
 
-    a: np.ndarray
-    b: np.ndarray
-    n_a: np.ndarray
-    n_b: np.ndarray
-    lengths_a: np.ndarray
-    lengths_b: np.ndarray
-    group_a: np.ndarray = field(init=False)
-    group_b: np.ndarray = field(init=False)
-    doc_a: np.ndarray = field(init=False)
-
-    def __post_init__(self):
-        self.ends_a, self.ends_b = np.cumsum(self.lengths_a[self.a]), np.cumsum(self.lengths_b[self.b])
+    def __init__(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, lengths: list[np.ndarray]):
+        self.a, self.b, self.n_a, self.n_b = a, b, n_a, n_b
+        self.size_a, self.size_b = map(len, lengths)
+        self.ends_a, self.ends_b = np.cumsum(lengths[0][a]), np.cumsum(lengths[1][b])
         common = np.intersect1d(self.ends_a, self.ends_b, assume_unique=True)
         self.group_a = np.searchsorted(common, self.ends_a, "left")
         self.group_b = np.searchsorted(common, self.ends_b, "left")
-        self.doc_a = np.repeat(np.arange(len(self.n_a)), self.n_a)
-        last = np.cumsum(self.n_a)
-        ends = np.concatenate([[-1], self.group_a])[last]
+        ends = np.concatenate([[-1], self.group_a])[np.cumsum(n_a)]
         self.n_groups = np.diff(np.concatenate([[-1], ends]))
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the A and the B token of every link, by A token."""
+        """How many links each segment has, and the pair of ids (as one number) of every link, by segment."""
         starts = np.concatenate([[0], self.ends_a[:-1]]) if len(self.a) else self.ends_a
         low = np.searchsorted(self.ends_b, starts, "right")
         n = np.searchsorted(self.ends_b, self.ends_a, "left") - low + 1
         at_a = np.repeat(np.arange(len(self.a)), n)
         at_b = np.arange(len(at_a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        return at_a, at_b
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The document and the pair of ids (as one number) of every link."""
-        at_a, at_b = self.links()
-        return self.doc_a[at_a], self.a[at_a].astype(np.int64) * len(self.lengths_b) + self.b[at_b]
-
-    def digests(self, spell: np.ndarray) -> list[str]:
-        """Digest of the groups of each text. ``spell`` has the text of a token and the mark after it, by
-        ``3 * id + mark``, those of B after those of A."""
-        size_a, size_b = len(self.a), len(self.b)
-        order_a = np.arange(size_a) + np.searchsorted(self.group_b, self.group_a, "left")
-        order_b = np.arange(size_b) + np.searchsorted(self.group_a, self.group_b, "right")
-        code = np.empty(size_a + size_b, np.int64)
-        for ids, group, order, shift, mark in ((self.a, self.group_a, order_a, 0, 1),
-                                               (self.b, self.group_b, order_b, 3 * len(self.lengths_a), 2)):
+        through = np.concatenate([[0], np.cumsum(n)])[np.cumsum(self.n_a)]
+        return np.diff(np.concatenate([[0], through])), self.a[at_a] * self.size_b + self.b[at_b]
+
+    def spelt(self) -> list[str]:
+        """The groups of each segment as ``a1,a2|b1;a3|b2,b3``."""
+        marks = [",", "|", ";"]
+        order_a = np.arange(len(self.a)) + np.searchsorted(self.group_b, self.group_a, "left")
+        order_b = np.arange(len(self.b)) + np.searchsorted(self.group_a, self.group_b, "right")
+        said = np.empty(2 * (len(self.a) + len(self.b)), object)
+        for ids, group, order, mark in ((self.a, self.group_a, order_a, 1), (self.b, self.group_b, order_b, 2)):
             last = np.ones(len(group), bool)
             last[:-1] = group[1:] != group[:-1]
-            code[order] = shift + 3 * ids.astype(np.int64) + mark * last
-        ends = np.cumsum(self.n_a + self.n_b)
-        out = []
-        for start, end in zip(ends - self.n_a - self.n_b, ends):
-            # The mark after a text's last group is not part of it.
-            said = "".join(spell[code[start:end]].tolist())[:-1]
-            out.append(hashlib.sha256(said.encode()).hexdigest() if said else "")
-        return out
+            said[2 * order] = list(map(str, ids.tolist()))
+            said[2 * order + 1] = [marks[mark * x] for x in last.tolist()]
+        ends = np.cumsum(2 * (self.n_a + self.n_b)).tolist()
+        # The mark after a segment's last group is not part of it.
+        return ["".join(said[a:b - 1].tolist()) for a, b in zip([0, *ends], ends)]
 
 
-def _spelling(n_a: int, n_b: int) -> np.ndarray:
-    return np.array([f"{i}{mark}" for n in (n_a, n_b) for i in range(n) for mark in ",|;"], object)
+def _expanded(values_of: np.ndarray, n: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Positions ``starts[i] .. starts[i] + n[i]`` for every i in ``values_of``."""
+    n, starts = n[values_of], starts[values_of]
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
 
 
 def _kind(size: int) -> type:
@@ -247,33 +205,50 @@ def _unpacked(cell, size: int) -> np.ndarray:
     return np.frombuffer(cell.as_buffer(), _kind(size)).astype(np.int64)
 
 
+class _Places(dict):
+    """Numbers things in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = len(self)
+        return self[key]
+
+
 def _cut_chunks(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = tokenizers(path_a, path_b)
-        lengths = [np.array([len(x) for x in t.bytes]) for t in (a, b)]
+        cut = cutter(path_a, path_b)
         for batch in arrays.chunks(batches, limit=_CHUNK):
-            rows = [cut(t, a, b) for t in batch.column("text").to_pylist()]
-            n_a, n_b = (np.array([len(r[k]) for r in rows], np.int64) for k in (0, 1))
-            flat = [np.fromiter(chain.from_iterable(r[k] for r in rows), np.int64, int(n.sum())) for k, n in ((0, n_a), (1, n_b))]
-            doc, pair = Aligned(*flat, n_a, n_b, *lengths).pairs()
-            # Every pair once for each document, then counted.
-            held = np.unique(pair * batch.num_rows + doc) // batch.num_rows
+            places = _Places()
+            rows = [list(map(places.__getitem__, cut.segments(t))) for t in batch.column("text").to_pylist()]
+            ids = cut.cut(list(places))
+            wrong = {i for i, x in enumerate(ids) if x is None}
+            if wrong:
+                rows = [[] if wrong.intersection(r) else r for r in rows]
+            n_a, n_b = (np.array([len(x[k]) if x else 0 for x in ids], np.int64) for k in (0, 1))
+            flat = [np.fromiter(chain.from_iterable(x[k] for x in ids if x), np.int64, int(n.sum())) for k, n in ((0, n_a), (1, n_b))]
+            n_segments = np.array([len(r) for r in rows], np.int64)
+            segment = np.fromiter(chain.from_iterable(rows), np.int64, int(n_segments.sum()))
+            # Every segment once for each document, every pair once for each document, then counted.
+            doc = np.repeat(np.arange(len(rows)), n_segments)
+            doc, once = np.divmod(np.unique(doc * max(len(ids), 1) + segment), max(len(ids), 1))
+            n_links, pair = Aligned(*flat, n_a, n_b, cut.lengths).links()
+            at = _expanded(once, n_links, np.cumsum(n_links) - n_links)
+            held = np.unique(pair[at] * len(rows) + np.repeat(doc, n_links[once])) // len(rows)
             pair, docs = np.unique(held, return_counts=True)
-            packed = [x.astype(_kind(len(n))).tobytes() for x, n in zip(flat, lengths)]
+            packed = [x.astype(_kind(n)).tobytes() for x, n in zip([*flat, segment], [*map(len, cut.lengths), len(ids)])]
             yield pa.RecordBatch.from_arrays([
                 pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                *[pa.array([n.tolist()], pa.list_(pa.int32())) for n in (n_a, n_b)],
+                *[pa.array([n.tolist()], pa.list_(pa.int32())) for n in (n_segments, n_a, n_b)],
                 *[pa.array([x], pa.binary()) for x in packed],
                 pa.array([pair], pa.list_(pa.int64())), pa.array([docs], pa.list_(pa.int32()))],
-                names=["doc_ids", "n_a", "n_b", "a", "b", "pairs", "docs"])
+                names=["doc_ids", "n_segments", "n_a", "n_b", "a", "b", "segments", "pairs", "docs"])
     return run
 
 
 def chunked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Chunks of whole texts with their tokens and pairs, written."""
+    """Chunks of whole texts with their segments, tokens and pairs, written."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = texts.mapInArrow(_cut_chunks(path_a, path_b), "doc_ids array<long>, n_a array<int>, n_b array<int>, "
-                            "a binary, b binary, pairs array<long>, docs array<int>")
+    made = texts.mapInArrow(_cut_chunks(path_a, path_b), "doc_ids array<long>, n_segments array<int>, n_a array<int>, "
+                            "n_b array<int>, a binary, b binary, segments binary, pairs array<long>, docs array<int>")
     return settle(made.withColumn("chunk", F.monotonically_increasing_id()), "token-chunks")
 
 
@@ -439,31 +414,39 @@ class AllCounts:
 def _results(path_a: str, path_b: str, best, found):
     """The second pass. ``found`` is the table of all counts, or None where each chunk brings its own (``counts``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = tokenizers(path_a, path_b)
-        lengths = [np.array([len(x) for x in t.bytes]) for t in (a, b)]
-        spell = _spelling(len(lengths[0]), len(lengths[1]))
-        most = best.value
+        lengths, most = cutter(path_a, path_b).lengths, best.value
         for batch in batches:
             for i in range(batch.num_rows):
                 cell = {name: batch.column(name)[i] for name in batch.schema.names}
-                ids_a, ids_b = (_unpacked(cell[k], len(n)) for k, n in zip("ab", lengths))
-                n_a, n_b = (cell[k].values.to_numpy().astype(np.int64) for k in ("n_a", "n_b"))
-                made = Aligned(ids_a, ids_b, n_a, n_b, *lengths)
-                doc, pair = made.pairs()
+                n_segments, n_a, n_b = (cell[k].values.to_numpy().astype(np.int64) for k in ("n_segments", "n_a", "n_b"))
+                ids = [_unpacked(cell[k], len(n)) for k, n in (*zip("ab", lengths), ("segments", n_a))]
+                made = Aligned(*ids[:2], n_a, n_b, lengths)
+                n_links, pair = made.links()
                 look = found.value if found is not None else OwnCounts(
                     cell["pairs"].values.to_numpy(), cell["counts"].values.to_numpy())
                 count = look(pair)
-                n = len(n_a)
-                sums = np.zeros(n, np.int64)
-                np.add.at(sums, doc, count)
                 top = count == most[pair // len(lengths[1])]
-                columns = [n_a, n_b, made.n_groups, np.bincount(doc, minlength=n), np.bincount(doc[top], minlength=n), sums]
+                # Numbers of each segment, then of the documents they are in.
+                columns = [n_a, n_b, made.n_groups, n_links, *[_sums(x, n_links) for x in (top.astype(np.int64), count)]]
+                columns = [_sums(x[ids[2]], n_segments) for x in columns]
+                said = made.spelt()
+                ends = np.cumsum(n_segments).tolist()
+                whole = ids[2].tolist()
+                digests = [hashlib.sha256(";".join(map(said.__getitem__, whole[a:b])).encode()).hexdigest() if a < b else ""
+                           for a, b in zip([0, *ends], ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [cell["doc_ids"].values, *[pa.array(c.astype(np.int64)) for c in columns], pa.array(made.digests(spell), pa.string())],
+                    [cell["doc_ids"].values, *[pa.array(c) for c in columns], pa.array(digests, pa.string())],
                     names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
     return run
 
 
+def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the next ``n[0]``, ``n[1]``, ... values."""
+    through = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(n)
+    return through[ends] - through[ends - n]
+
+
 _OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -483,8 +466,7 @@ def align(docs: DataFrame, path_a: str = f"{FOLDER}/{FILE_A}", path_b: str = f"{
     spark = docs.sparkSession
     chunks = chunked(docs, path_a, path_b)
     rows = _rows(chunks, blocks)
-    size_b = len(tokenizers(path_a, path_b)[1].bytes)
-    size_a = len(tokenizers(path_a, path_b)[0].bytes)
+    size_a, size_b = map(len, cutter(path_a, path_b).lengths)
     table = perfect_hash(rows)
     total = chunks.agg(F.sum(F.size("pairs"))).first()[0] or 0
     parts = max(1, math.ceil(total / blocks / rows_per_task))
@@ -507,5 +489,5 @@ def align(docs: DataFrame, path_a: str = f"{FOLDER}/{FILE_A}", path_b: str = f"{
         "chunk", F.col("found.pair").alias("pairs"), F.col("found.count").alias("counts"))
     whole = chunks.drop("pairs", "docs").join(back, "chunk", "left")
     none = F.array().cast("array<long>")
-    return whole.select("doc_ids", "n_a", "n_b", "a", "b", F.coalesce("pairs", none).alias("pairs"),
+    return whole.select("doc_ids", "n_segments", "n_a", "n_b", "a", "b", "segments", F.coalesce("pairs", none).alias("pairs"),
                         F.coalesce("counts", none).alias("counts")).mapInArrow(_results(path_a, path_b, best, None), _OUT)

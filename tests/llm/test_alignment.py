@@ -71,15 +71,22 @@ def short(spark, odd):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
 
 
-def test_cached_words_are_the_tokens_of_whole_texts():
-    a, b = al.tokenizers(A, B)
-    assert a.fast is not None and b.segments is not None
+def test_segments_are_cut_as_in_the_whole_text():
+    cut = al.cutter(A, B)
+    assert cut.apart
     rng = random.Random(3)
-    letters = "abcdeXYZ éßñ  \n\t.,'-1290 \u0085ſ日あ🙂"
-    for text in TEXTS + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]:
-        assert a.encode(text) == a.whole.encode(" " + text, add_special_tokens=False).ids, repr(text)
+    letters = "abcdeXYZ éßñ  \n\t\r.,'-1290 \u0085\u00a0ſ日あ🙂"
+    plain = letters[:letters.index("\u0085")]
+    texts = TEXTS + ["".join(rng.choice(x) for _ in range(rng.randrange(1, 60))) for x in (letters, plain, plain) for _ in range(2000)]
+    split = 0
+    for text in texts:
+        segments = cut.segments(text)
+        split += len(segments) > 1
         if al._MARK not in text:
-            assert b.encode(text) == b.model.encode(text), repr(text)
+            ids = cut.cut(segments)
+            assert [i for x in ids for i in x[0]] == cut.a.encode(" " + text, add_special_tokens=False).ids, repr(text)
+            assert [i for x in ids for i in x[1]] == cut.b.encode(text), repr(text)
+    assert split > 2000
 
 
 @pytest.mark.parametrize("settings", [{}, {"most_sent": 0}, {"most_sent": 0, "blocks": 3, "rows_per_task": 20}, {"blocks": 2, "rows_per_task": 5}])
