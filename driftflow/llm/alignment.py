@@ -60,11 +60,11 @@ FAN_IN = 16
 MOST_SENT = 1_000_000
 # Pairs are dealt to blocks by their rest by this prime.
 _PRIME = 1_000_003
-_CHUNK = 2 << 20
+_CHUNK = 4 << 20
 _MARK = "▁"
-_CACHED = 100_000
 
-# --- fixed values: bytes that a byte-level vocabulary writes as the character of the same number ---
+# --- fixed values: the published byte-level pattern, and the bytes written as the character of the same number ---
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 # --- end of fixed values ---
 
@@ -82,7 +82,7 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Cutter:
-    """Both tokenizers, and what they have made of segments before."""
+    """Both tokenizers."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -111,7 +111,16 @@ class Cutter:
             b"".join(self.bytes_b[i] for i in self.b.encode(probe)) == b" " + probe.encode())
         split = said["pre_tokenizer"] or {}
         self.apart = plain and said["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
-        self.known: dict[str, tuple | None] = {}
+        self.fast = self._ranked(said["model"], added) if self.apart else None
+
+    def _ranked(self, model: dict, added: set):
+        """The same tokenizer in a library that is faster, if ids are ranks: every merge makes the next entry."""
+        import tiktoken
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        vocab = {t: i for t, i in model["vocab"].items() if t not in added}
+        ranked = len(vocab) == 256 + len(merges) and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={self.bytes_a[i]: i for i in vocab.values()},
+                                 special_tokens={}) if ranked else None
 
     def segments(self, text: str | None) -> list[str]:
         """Segments of the text with a blank before it; none for a text without tokens."""
@@ -121,25 +130,54 @@ class Cutter:
             return [" " + text]
         return _SEGMENT.findall(" " + text)
 
-    def cut(self, segments: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of both tokenizers for each segment; None if either does not spell it."""
-        fresh = [s for s in segments if s not in self.known]
-        if len(self.known) + len(fresh) > _CACHED:
-            self.known = {}
-            fresh = segments
-        made = {}
-        if fresh:
-            two = self.b.encode([s[1:] for s in fresh], num_threads=1)
-            for s, x, ids_b in zip(fresh, self.a.encode_batch(fresh, add_special_tokens=False), two):
-                ids_a, spelt = x.ids, s.encode()
-                if s == " ":
-                    ids_b = [self.blank]
-                right = all(b"".join(map(t.__getitem__, ids)) == spelt for t, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
-                made[s] = (ids_a, ids_b) if right else None
-        out = [made[s] if s in made else self.known[s] for s in segments]
-        self.known.update((s, ids) for s, ids in made.items() if len(s) < 64)
+    def _encode_a(self, text: str) -> list[int]:
+        if self.fast is not None:
+            return self.fast.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def _joined(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Ids and their number in each segment, for both sides, from all segments as one text."""
+        text = "".join(segments)
+        spelt, out = text.encode(), []
+        ends = np.cumsum([len(s.encode()) for s in segments])
+        # B is faster word by word than on a long text.
+        each = self.b.encode([s[1:] for s in segments], num_threads=1)
+        for table, lengths, ids in ((self.bytes_a, self.lengths[0], self._encode_a(text)),
+                                    (self.bytes_b, self.lengths[1], list(chain.from_iterable(each)))):
+            if b"".join(map(table.__getitem__, ids)) != spelt:
+                return None
+            ids = np.array(ids, np.int64)
+            through = np.cumsum(lengths[ids])
+            at = np.searchsorted(through, ends)
+            if (through[at] != ends).any():
+                return None
+            out.append((ids, np.diff(np.concatenate([[-1], at]))))
         return out
 
+    def cut(self, segments: list[str]) -> tuple[list[str], set[int], list[tuple[np.ndarray, np.ndarray]]]:
+        """Distinct segments in the order used here, those of them that either side does not spell (they have no
+        ids), and for both sides the ids and their number in each segment."""
+        plain = [s for s in segments if len(s) > 1 and s.rfind(" ") == 0] if self.apart else []
+        if _ODD.search("".join(plain)):
+            plain = [s for s in plain if not _ODD.search(s)]
+        joined = self._joined(plain) if plain else None
+        if joined is None:
+            plain, joined = [], [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+        done = set(plain)
+        others = [s for s in segments if s not in done]
+        if not others:
+            return plain, set(), joined
+        made = [[x.ids for x in self.a.encode_batch(others, add_special_tokens=False)],
+                [[self.blank] if s == " " and self.apart else x for s, x in zip(others, self.b.encode([s[1:] for s in others], num_threads=1))]]
+        wrong = {i for i, s in enumerate(others) if any(
+            b"".join(map(table.__getitem__, ids[i])) != s.encode() for table, ids in zip((self.bytes_a, self.bytes_b), made))}
+        out = []
+        for (ids, n), more in zip(joined, made):
+            more = [[] if i in wrong else x for i, x in enumerate(more)]
+            out.append((np.concatenate([ids, np.fromiter(chain.from_iterable(more), np.int64)]),
+                        np.concatenate([n, np.array([len(x) for x in more], np.int64)])))
+        return plain + others, {len(plain) + i for i in wrong}, out
+
 
 _loaded: dict[tuple[str, str], Cutter] = {}
 
@@ -159,7 +197,8 @@ class Aligned:
         self.a, self.b, self.n_a, self.n_b = a, b, n_a, n_b
         self.size_a, self.size_b = map(len, lengths)
         self.ends_a, self.ends_b = np.cumsum(lengths[0][a]), np.cumsum(lengths[1][b])
-        common = np.intersect1d(self.ends_a, self.ends_b, assume_unique=True)
+        at = np.searchsorted(self.ends_b, self.ends_a)
+        common = self.ends_a[self.ends_b[at] == self.ends_a]
         self.group_a = np.searchsorted(common, self.ends_a, "left")
         self.group_b = np.searchsorted(common, self.ends_b, "left")
         ends = np.concatenate([[-1], self.group_a])[np.cumsum(n_a)]
@@ -175,20 +214,32 @@ class Aligned:
         through = np.concatenate([[0], np.cumsum(n)])[np.cumsum(self.n_a)]
         return np.diff(np.concatenate([[0], through])), self.a[at_a] * self.size_b + self.b[at_b]
 
-    def spelt(self) -> list[str]:
-        """The groups of each segment as ``a1,a2|b1;a3|b2,b3``."""
-        marks = [",", "|", ";"]
+    def spelt(self, words: np.ndarray) -> list[str]:
+        """The groups of each segment as ``a1,a2|b1;a3|b2,b3``; ``words`` has the ids of A and then of B, each
+        with the four marks that can follow it (:func:`marked`)."""
         order_a = np.arange(len(self.a)) + np.searchsorted(self.group_b, self.group_a, "left")
         order_b = np.arange(len(self.b)) + np.searchsorted(self.group_a, self.group_b, "right")
-        said = np.empty(2 * (len(self.a) + len(self.b)), object)
-        for ids, group, order, mark in ((self.a, self.group_a, order_a, 1), (self.b, self.group_b, order_b, 2)):
+        code = np.empty(len(self.a) + len(self.b), np.int64)
+        for ids, group, order, shift, mark in ((self.a, self.group_a, order_a, 0, 1), (self.b, self.group_b, order_b, self.size_a, 2)):
             last = np.ones(len(group), bool)
             last[:-1] = group[1:] != group[:-1]
-            said[2 * order] = list(map(str, ids.tolist()))
-            said[2 * order + 1] = [marks[mark * x] for x in last.tolist()]
-        ends = np.cumsum(2 * (self.n_a + self.n_b)).tolist()
-        # The mark after a segment's last group is not part of it.
-        return ["".join(said[a:b - 1].tolist()) for a, b in zip([0, *ends], ends)]
+            code[order] = (shift + ids) * 4 + mark * last
+        n = self.n_a + self.n_b
+        final = np.cumsum(n)[n > 0] - 1
+        code[final] += 1  # a line end in place of the mark after a segment's last group
+        lines = iter("".join(words[code].tolist()).split("\n"))
+        return [next(lines) if x else "" for x in (n > 0).tolist()]
+
+
+def marked(sizes: list[int]) -> np.ndarray:
+    return np.array([f"{i}{mark}" for n in sizes for i in range(n) for mark in (",", "|", ";", "\n")], object)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
 
 
 def _expanded(values_of: np.ndarray, n: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -219,22 +270,25 @@ def _cut_chunks(path_a: str, path_b: str):
         for batch in arrays.chunks(batches, limit=_CHUNK):
             places = _Places()
             rows = [list(map(places.__getitem__, cut.segments(t))) for t in batch.column("text").to_pylist()]
-            ids = cut.cut(list(places))
-            wrong = {i for i, x in enumerate(ids) if x is None}
-            if wrong:
-                rows = [[] if wrong.intersection(r) else r for r in rows]
-            n_a, n_b = (np.array([len(x[k]) if x else 0 for x in ids], np.int64) for k in (0, 1))
-            flat = [np.fromiter(chain.from_iterable(x[k] for x in ids if x), np.int64, int(n.sum())) for k, n in ((0, n_a), (1, n_b))]
+            order, wrong, ((a, n_a), (b, n_b)) = cut.cut(list(places))
+            moved = np.empty(len(places), np.int64)
+            moved[[places[x] for x in order]] = np.arange(len(places))
             n_segments = np.array([len(r) for r in rows], np.int64)
-            segment = np.fromiter(chain.from_iterable(rows), np.int64, int(n_segments.sum()))
-            # Every segment once for each document, every pair once for each document, then counted.
+            segment = moved[np.fromiter(chain.from_iterable(rows), np.int64, int(n_segments.sum()))]
             doc = np.repeat(np.arange(len(rows)), n_segments)
-            doc, once = np.divmod(np.unique(doc * max(len(ids), 1) + segment), max(len(ids), 1))
-            n_links, pair = Aligned(*flat, n_a, n_b, cut.lengths).links()
+            if wrong:
+                void = np.zeros(len(rows), bool)
+                void[doc[np.isin(segment, list(wrong))]] = True
+                n_segments = np.where(void, 0, n_segments)
+                doc, segment = doc[~void[doc]], segment[~void[doc]]
+            # Every segment once for each document, every pair once for each document, then counted.
+            doc, once = np.divmod(_distinct(doc * max(len(order), 1) + segment), max(len(order), 1))
+            n_links, pair = Aligned(a, b, n_a, n_b, cut.lengths).links()
             at = _expanded(once, n_links, np.cumsum(n_links) - n_links)
-            held = np.unique(pair[at] * len(rows) + np.repeat(doc, n_links[once])) // len(rows)
-            pair, docs = np.unique(held, return_counts=True)
-            packed = [x.astype(_kind(n)).tobytes() for x, n in zip([*flat, segment], [*map(len, cut.lengths), len(ids)])]
+            held = _distinct(pair[at] * len(rows) + np.repeat(doc, n_links[once])) // len(rows)
+            pair = _distinct(held)
+            docs = np.diff(np.searchsorted(held, np.append(pair, np.iinfo(np.int64).max)))
+            packed = [x.astype(_kind(n)).tobytes() for x, n in zip([a, b, segment], [*map(len, cut.lengths), len(order)])]
             yield pa.RecordBatch.from_arrays([
                 pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                 *[pa.array([n.tolist()], pa.list_(pa.int32())) for n in (n_segments, n_a, n_b)],
@@ -397,7 +451,8 @@ class AllCounts:
                            np.array(row["counts"], np.int64)) for row in table.to_pylist()}
 
     def __call__(self, pairs: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(pairs, return_inverse=True)
+        distinct = _distinct(pairs)
+        back = np.searchsorted(distinct, pairs)
         block = distinct % _PRIME % self.blocks
         order = np.argsort(block, kind="stable")
         ends = np.searchsorted(block[order], np.arange(self.blocks + 1))
@@ -415,6 +470,7 @@ def _results(path_a: str, path_b: str, best, found):
     """The second pass. ``found`` is the table of all counts, or None where each chunk brings its own (``counts``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, most = cutter(path_a, path_b).lengths, best.value
+        words = marked(list(map(len, lengths)))
         for batch in batches:
             for i in range(batch.num_rows):
                 cell = {name: batch.column(name)[i] for name in batch.schema.names}
@@ -429,7 +485,7 @@ def _results(path_a: str, path_b: str, best, found):
                 # Numbers of each segment, then of the documents they are in.
                 columns = [n_a, n_b, made.n_groups, n_links, *[_sums(x, n_links) for x in (top.astype(np.int64), count)]]
                 columns = [_sums(x[ids[2]], n_segments) for x in columns]
-                said = made.spelt()
+                said = made.spelt(words)
                 ends = np.cumsum(n_segments).tolist()
                 whole = ids[2].tolist()
                 digests = [hashlib.sha256(";".join(map(said.__getitem__, whole[a:b])).encode()).hexdigest() if a < b else ""
