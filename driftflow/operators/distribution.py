@@ -1,15 +1,14 @@
 """Value distributions of many features at once, in long form.
 
-Long form is one row per value, ``(day, feature, value, n)``: either every row for
-itself with n = 1 (:func:`melt`) or equal values of a day counted
-(:func:`value_counts`). All features and days go through one plan. Two things keep a
-feature from being sorted as a whole in one task:
-
-* equal values are counted before they are shuffled, so a value that a third of the
-  rows share travels as one row per task;
-* big features are cut into value ranges ("buckets") at sampled cut points. Cut
-  points only decide how the work is split, never the result, and they are fixed
-  before the plan runs.
+Long form is one row per value, ``(day, feature, value, n)``: every row for itself with
+n = 1 (:func:`melt`), or equal values of a day counted (:func:`value_counts`). All features
+and days go through one plan, and a melted table is never shuffled as a whole just to be
+counted: it is laid over a grid of cut points where it lies, and only the counts move.
+
+A grid has the quantiles of a mergeable sketch, which is built map-side, and every value that
+many rows share with its next double, so that such a value has a range of its own and its
+rows are known by their number. Cut points steer the work, never the result, and they are
+fixed before the plan runs.
 """
 
 from __future__ import annotations
@@ -22,13 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftflow.session import local_table, small_table
+from driftflow.session import local_table, settle, small_table
 
-ROWS_PER_BUCKET = 50_000
-MAX_BUCKETS = 1024
+ROWS_PER_BUCKET = 500_000
+# Quantiles a grid is made from, at least: a value that more than 2 in so many rows share is told apart.
+QUANTILES = 256
 SAMPLE_PER_BUCKET = 200
 
-# Ascending cut points per feature, at most MAX_BUCKETS - 1 of them.
+# Ascending cut points per feature.
 Cuts = dict[str, list[float]]
 
 
@@ -46,75 +46,93 @@ def value_counts(long: DataFrame) -> DataFrame:
 
 
 def value_cuts(long: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = 42) -> Cuts:
-    """Cut points that split each feature into ranges of about ``rows_per_bucket`` rows,
-    from the quantiles of a row sample. A feature where one range is enough has none.
-    """
+    """Cut points that split each feature into ranges of about ``rows_per_bucket`` rows, and give every value
+    that many rows share a range of its own. A feature where one range is enough has none.
+
+    The quantiles come from sketches that are merged from those of all tasks; of a long table they see a
+    sample of ``SAMPLE_PER_BUCKET`` values for each quantile."""
     rows = {r["feature"]: r["count"] for r in long.groupBy("feature").count().collect()}
-    buckets = {f: min(MAX_BUCKETS, math.ceil(n / rows_per_bucket)) for f, n in rows.items()}
+    buckets = {f: math.ceil(n / rows_per_bucket) for f, n in rows.items()}
     buckets = {f: k for f, k in buckets.items() if k > 1}
     if not buckets:
         return {}
-    finest = max(buckets.values())
+    finest = max(QUANTILES, *buckets.values())
     shares = [i / finest for i in range(1, finest)]
     fractions = {f: min(1.0, SAMPLE_PER_BUCKET * finest / rows[f]) for f in buckets}
     found = (
         long.sampleBy("feature", fractions, seed).groupBy("feature")
         .agg(F.percentile_approx("value", shares, 10 * finest).alias("cuts")).collect()
     )
-    thinned = {r["feature"]: r["cuts"][:: finest // buckets[r["feature"]]] for r in found}
-    return {f: sorted(set(cuts)) for f, cuts in thinned.items()}
+    return {r["feature"]: _grid(r["cuts"], finest // buckets[r["feature"]]) for r in found}
 
 
-def cuts_table(spark: SparkSession, cuts: Cuts) -> DataFrame:
-    schema = pa.schema([("feature", pa.string()), ("cuts", pa.list_(pa.float64()))])
-    return F.broadcast(local_table(spark, cuts.items(), schema))
+def _grid(quantiles: list[float], step: int) -> list[float]:
+    """Every ``step``-th quantile, and both ends of each value that two quantiles in a row agree on."""
+    shared = {a for a, b in zip(quantiles, quantiles[1:]) if a == b}
+    return sorted({*quantiles[step - 1::step], *shared, *(math.nextafter(v, math.inf) for v in shared)})
 
 
-def _steps(edges: str, count: int) -> str:
-    """SQL: how many of the first ``count`` ascending edges are at or below the value."""
-    return " + ".join(["0", *[f"CASE WHEN get({edges}, {i}) <= value THEN 1 ELSE 0 END" for i in range(count)]])
+def cuts_table(spark: SparkSession, cuts: Cuts) -> DataFrame:
+    """``feature, cuts, single, shared``: whether a bucket holds one value only, for buckets 0 to the number of
+    cuts, and the values of those."""
+    rows = []
+    for feature, points in cuts.items():
+        single = [False, *(math.nextafter(a, math.inf) == b for a, b in zip(points, points[1:])), False]
+        rows.append((feature, points, single, [v for v, x in zip(points, single[1:]) if x]))
+    schema = pa.schema([("feature", pa.string()), ("cuts", pa.list_(pa.float64())), ("single", pa.list_(pa.bool_())),
+                        ("shared", pa.list_(pa.float64()))])
+    return F.broadcast(local_table(spark, rows, schema))
+
+
+def with_place(table: DataFrame, points: str, most: int, into: str) -> DataFrame:
+    """Add ``into``: how many of the ascending ``points`` (an array of at most ``most``) are at or below ``value``.
+
+    Halves the array in one column after the other, so it takes log2 steps however many points there are. A
+    filter by the new column would be pushed below them and repeat them all; filter by something else."""
+    step = 1 << max(most, 1).bit_length() - 1
+    table = table.withColumn(into, F.lit(0))
+    while step:
+        table = table.withColumn(into, F.expr(
+            f"IF(get(`{points}`, `{into}` + {step - 1}) <= value, `{into}` + {step}, `{into}`)"))
+        step //= 2
+    return table
 
 
 def with_bucket(long: DataFrame, cuts: Cuts) -> DataFrame:
-    """Add ``bucket``, the number of cut points at or below the value.
-
-    Looked up in two steps: among every ``block``-th cut point, then inside that block.
-    """
+    """Add ``bucket``, the number of cut points at or below the value, and ``single``: whether that bucket has
+    one value only."""
     if not cuts:
-        return long.withColumn("bucket", F.lit(0))
-    most = max(len(c) for c in cuts.values())
-    block = math.isqrt(most) + 1
-    blocks = -(-most // block)
-    table = [(f, [c[i * block] for i in range(1, blocks) if i * block < len(c)],
-              [c[i * block:(i + 1) * block] for i in range(blocks)]) for f, c in cuts.items()]
-    schema = pa.schema([("feature", pa.string()), ("_heads", pa.list_(pa.float64())),
-                        ("_blocks", pa.list_(pa.list_(pa.float64())))])
-    lookup = F.broadcast(local_table(long.sparkSession, table, schema))
-    return (
-        long.join(lookup, "feature", "left")
-        .withColumn("_block", F.expr(_steps("_heads", blocks - 1)))
-        .withColumn("_inside", F.expr("get(_blocks, _block)"))
-        .withColumn("bucket", F.expr(f"_block * {block} + {_steps('_inside', block)}"))
-        .drop("_heads", "_blocks", "_block", "_inside")
-    )
+        return long.withColumns({"bucket": F.lit(0), "single": F.lit(False)})
+    lookup = cuts_table(long.sparkSession, cuts).select("feature", F.col("cuts").alias("_cuts"), F.col("shared").alias("_shared"))
+    placed = with_place(long.join(F.broadcast(lookup), "feature", "left"), "_cuts", max(map(len, cuts.values())), "bucket")
+    # Told from the value, not from the bucket: a filter by it then takes none of the steps above with it.
+    single = F.coalesce(F.array_contains("_shared", F.col("value")), F.lit(False))
+    return placed.withColumn("single", single).drop("_cuts", "_shared")
+
 
+def bucket_counts(long: DataFrame, cuts: Cuts) -> DataFrame:
+    """``(day, feature, bucket, single, n)``, run once: days times features times buckets, whatever the rows."""
+    counts = with_bucket(long, cuts).groupBy("day", "feature", "bucket", "single").agg(F.sum("n").alias("n"))
+    return settle(counts, "bucket-counts")
 
-def quantile_edges(counts: DataFrame, bins: int = 10, by: Sequence[str] = (),
-                   cuts: Cuts | None = None) -> DataFrame:
+
+def quantile_edges(counts: DataFrame, bins: int = 10, by: Sequence[str] = (), cuts: Cuts | None = None,
+                   groups: DataFrame | None = None, daily: DataFrame | None = None) -> DataFrame:
     """Exact percentiles 0, 100/bins, ..., 100 with linear interpolation, as the array
     ``edges``, one row per ``(by, feature)``.
 
-    Percentile k needs the values of ranks floor(k (n-1) / bins) and the next one.
-    With cut points, a count per bucket tells which of them hold such a rank; only the
-    values in those (at most two per percentile) are shuffled and ranked. Ranks are
-    found with integer arithmetic, so the result does not depend on rounding.
+    ``groups`` (``day`` and the columns of ``by``) tells which groups a day belongs to; without it ``by``
+    are columns of ``counts``. Percentile k needs the values of ranks floor(k (n-1) / bins) and the next one.
+    With cut points, a count per bucket (``daily``, of :func:`bucket_counts`) tells which of them hold such a
+    rank; only the values in those (at most two per percentile) are shuffled and ranked, once for a day.
+    Ranks are found with integer arithmetic, so the result does not depend on rounding.
     """
     group = [*by, "feature"]
     cuts = value_cuts(counts) if cuts is None else cuts
     if cuts:
-        ranked = _ranked_in_buckets(with_bucket(counts, cuts), group, bins)
+        ranked = _ranked_in_buckets(counts, group, bins, cuts, groups, daily)
     else:
-        values = counts.groupBy(*group, "value").agg(F.sum("n").alias("n"))
+        values = (counts if groups is None else counts.join(groups, "day")).groupBy(*group, "value").agg(F.sum("n").alias("n"))
         ranked = values.withColumns({
             "through": F.sum("n").over(W.partitionBy(*group).orderBy("value")),
             "total": F.sum("n").over(W.partitionBy(*group))})
@@ -152,15 +170,28 @@ def _holding_ranks(spans: DataFrame, bins: int) -> DataFrame:
         f"(_high <= {bins} AND (_high * (total - 1) + {bins - 1}) div {bins} < through)").drop("_low", "_high")
 
 
-def _ranked_in_buckets(counts: DataFrame, group: list[str], bins: int) -> DataFrame:
+def _ranked_in_buckets(counts: DataFrame, group: list[str], bins: int, cuts: Cuts, groups: DataFrame | None,
+                       daily: DataFrame | None) -> DataFrame:
     place = W.partitionBy(*group).orderBy("bucket")
-    spans = counts.groupBy(*group, "bucket").agg(F.sum("n").alias("n")).withColumns({
+    placed = with_bucket(counts, cuts).drop("single")
+    if groups is None:
+        sums, days = placed, []
+    else:
+        sums, days = (daily if daily is not None else bucket_counts(counts, cuts)).join(groups, "day"), ["day"]
+    spans = sums.groupBy(*group, "bucket").agg(F.sum("n").alias("n")).withColumns({
         "through": F.sum("n").over(place), "total": F.sum("n").over(W.partitionBy(*group))})
     # At most 2 (bins + 1) buckets per group, and a row per group: comparisons x features.
     needed = small_table(_holding_ranks(spans, bins).select(
         *group, "bucket", "total", (F.col("through") - F.col("n")).alias("before")))
-    values = counts.join(needed, [*group, "bucket"]).groupBy(*group, "bucket", "before", "total", "value").agg(
-        F.sum("n").alias("n"))
+    if groups is None:
+        values = placed.join(needed, [*group, "bucket"])
+    else:
+        # Once for a day, then for each group the day is in.
+        some = small_table(needed.select("feature", "bucket").distinct())
+        values = placed.join(small_table(groups.select("day").distinct()), "day", "left_semi").join(some, ["feature", "bucket"])
+        values = values.groupBy(*days, "feature", "bucket", "value").agg(F.sum("n").alias("n"))
+        values = values.join(groups, "day").join(needed, [*group, "bucket"])
+    values = values.groupBy(*group, "bucket", "before", "total", "value").agg(F.sum("n").alias("n"))
     inside = F.sum("n").over(W.partitionBy(*group, "bucket").orderBy("value"))
     return values.withColumn("through", F.col("before") + inside)
 
@@ -194,10 +225,24 @@ def with_bin(counts: DataFrame, edges: DataFrame, bins: int = 10, closed: bool =
         *on, "slice(edges, 2, greatest(size(edges) - 2, 0)) AS _inner",
         "if(size(edges) >= 2, get(edges, 0), NULL) AS _low",
         "if(size(edges) >= 2, get(edges, size(edges) - 1), NULL) AS _high")
-    bin_ = _steps("_inner", bins - 1)
+    table = with_place(counts.join(small_table(lookup), list(on)), "_inner", bins - 1, "bin")
     if closed:
-        bin_ = f"CASE WHEN value < _low OR value > _high THEN NULL ELSE {bin_} END"
-    return counts.join(small_table(lookup), list(on)).withColumn("bin", F.expr(bin_)).drop("_inner", "_low", "_high")
+        table = table.withColumn("bin", F.expr("IF(value < _low OR value > _high, NULL, bin)"))
+    return table.drop("_inner", "_low", "_high")
+
+
+def point_counts(long: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(day, feature, at, on, n)``: rows whose greatest edge at or below the value is ``at`` (null: below all),
+    and whether the value is that edge; over the edges of all comparisons of a feature together.
+
+    Every row is looked up once, however many comparisons its day is in; only the counts move."""
+    merged = edges.groupBy("feature").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("edges")))).alias("_points"))
+    merged = small_table(merged)
+    most = merged.agg(F.max(F.size("_points"))).first()[0] or 0
+    placed = with_place(long.join(merged, "feature"), "_points", most, "_place")
+    at = F.get("_points", F.col("_place") - 1)
+    return placed.groupBy("day", "feature", F.when(F.col("_place") > 0, at).alias("at"),
+                          F.coalesce(F.col("value") == at, F.lit(False)).alias("on")).agg(F.sum("n").alias("n"))
 
 
 def histogram(counts: DataFrame, edges: DataFrame, by: Sequence[str] = (), bins: int = 10,

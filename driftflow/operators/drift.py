@@ -4,8 +4,10 @@
 (:func:`timeline.baseline_pairs`, :func:`timeline.window_pairs`). It has a few rows
 per day and is broadcast when it is small.
 
-``cuts`` are the cut points of :func:`distribution.value_cuts`. They are looked up when
-not given; pass them to several measures of the same table to look them up once.
+Tables are in the long form of :mod:`distribution`, melted or counted. ``cuts`` are the cut
+points of :func:`distribution.value_cuts` and ``daily`` the counts of
+:func:`distribution.bucket_counts`. They are looked up when not given; pass them to several
+measures of the same table to look them up once.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftflow.operators import distribution as D
-from driftflow.session import settle, small_table
+from driftflow.session import small_table
 
 BINS = 10
 EMPTY_SHARE = 1e-4
@@ -42,49 +44,58 @@ def _psi(binned: DataFrame, bins: int) -> DataFrame:
     )
 
 
-def open_psi_edges(counts: DataFrame, pairs: DataFrame, bins: int = BINS, cuts: D.Cuts | None = None) -> DataFrame:
+def open_psi_edges(counts: DataFrame, pairs: DataFrame, bins: int = BINS, cuts: D.Cuts | None = None,
+                   daily: DataFrame | None = None) -> DataFrame:
     """Edges per feature from the rows of all base days together."""
-    cuts = D.value_cuts(counts) if cuts is None else cuts
     base_days = small_table(pairs.where("side = 'base'").select("day").distinct())
-    percentiles = D.quantile_edges(counts.join(base_days, "day"), bins, cuts=cuts)
+    percentiles = D.quantile_edges(counts, bins, cuts=cuts, groups=base_days, daily=daily)
     return percentiles.withColumn("edges", D.open_edges(F.col("edges")))
 
 
-def psi_open(counts: DataFrame, pairs: DataFrame, bins: int = BINS, cuts: D.Cuts | None = None) -> DataFrame:
+def psi_open(counts: DataFrame, pairs: DataFrame, bins: int = BINS, cuts: D.Cuts | None = None,
+             daily: DataFrame | None = None) -> DataFrame:
     """PSI with open-ended bins; all comparisons share one base.
 
     Values are binned and summed where they lie; only the sums move.
     """
-    edges = open_psi_edges(counts, pairs, bins, cuts)
-    daily = D.with_bin(counts, edges, bins).groupBy("day", "feature", "bin").agg(F.sum("n").alias("n"))
-    return _psi(daily.join(pairs, "day"), bins)
+    edges = open_psi_edges(counts, pairs, bins, cuts, daily)
+    found = D.with_bin(counts, edges, bins).groupBy("day", "feature", "bin").agg(F.sum("n").alias("n"))
+    return _psi(found.join(pairs, "day"), bins)
 
 
-def window_psi_edges(counts: DataFrame, pairs: DataFrame, bins: int = BINS, cuts: D.Cuts | None = None) -> DataFrame:
+def window_psi_edges(counts: DataFrame, pairs: DataFrame, bins: int = BINS, cuts: D.Cuts | None = None,
+                     daily: DataFrame | None = None) -> DataFrame:
     """Edges per comparison and feature from the rows of that comparison's base days."""
-    cuts = D.value_cuts(counts) if cuts is None else cuts
-    base = counts.join(pairs.where("side = 'base'").select("day", "cmp"), "day")
-    percentiles = D.quantile_edges(base, bins, by=["cmp"], cuts=cuts)
+    base = pairs.where("side = 'base'").select("day", "cmp")
+    percentiles = D.quantile_edges(counts, bins, by=["cmp"], cuts=cuts, groups=base, daily=daily)
     return percentiles.withColumn("edges", D.window_edges(F.col("edges")))
 
 
-def psi_window(counts: DataFrame, pairs: DataFrame, bins: int = BINS, cuts: D.Cuts | None = None) -> DataFrame:
-    """PSI with closed bins and a base of its own for every comparison."""
-    edges = window_psi_edges(counts, pairs, bins, cuts)
-    rows = counts.join(pairs, "day")
-    binned = D.with_bin(rows, edges, bins, closed=True, on=("cmp", "feature"))
+def psi_window(counts: DataFrame, pairs: DataFrame, bins: int = BINS, cuts: D.Cuts | None = None,
+               daily: DataFrame | None = None) -> DataFrame:
+    """PSI with closed bins and a base of its own for every comparison.
+
+    Values are counted by day between the edges of all comparisons; a comparison's bins are sums of these.
+    """
+    edges = small_table(window_psi_edges(counts, pairs, bins, cuts, daily))
+    parts = D.point_counts(counts, edges).join(pairs, "day").join(edges, ["cmp", "feature"])
+    inner = "size(filter(slice(edges, 2, greatest(size(edges) - 2, 0)), e -> e <= at))"
+    high = "get(edges, size(edges) - 1)"
+    out = f"size(edges) >= 2 AND (at IS NULL OR at < get(edges, 0) OR at > {high} OR (at = {high} AND NOT on))"
+    binned = parts.withColumn("bin", F.expr(f"IF({out}, NULL, coalesce({inner}, 0))"))
     return _psi(binned.groupBy("cmp", "side", "feature", "bin").agg(F.sum("n").alias("n")), bins)
 
 
-def wasserstein(counts: DataFrame, pairs: DataFrame, cuts: D.Cuts | None = None) -> DataFrame:
+def wasserstein(counts: DataFrame, pairs: DataFrame, cuts: D.Cuts | None = None, daily: DataFrame | None = None) -> DataFrame:
     """Wasserstein-1 distance ``(cmp, feature, wasserstein)``: the area between the two
     empirical distribution functions.
 
-    Values are laid out by (feature, bucket). With cut
-    points every bucket integrates its own range: it opens at its lower cut point with
-    the number of rows below it and closes at its upper one, both added as rows of the
-    day tables, so no bucket waits for another. Base days are repeated for the
-    comparisons they serve only after the shuffle.
+    Values are laid out by (feature, bucket) in one shuffle. With cut points every bucket
+    integrates its own range: it opens at its lower cut point with the number of rows below
+    it and closes at its upper one, both from the counts per bucket and added as rows of the
+    day tables, so no bucket waits for another. A bucket of one value opens with its own rows
+    too, and these stay where they are. Base days are repeated for the comparisons they serve
+    only after the shuffle.
     """
     cuts = D.value_cuts(counts) if cuts is None else cuts
     sides = {side: F.when(F.col("side") == side, F.col("n")).otherwise(0) for side in SIDES}
@@ -94,11 +105,11 @@ def wasserstein(counts: DataFrame, pairs: DataFrame, cuts: D.Cuts | None = None)
         rows = rows.withColumns({f"{side}_all": F.sum(n).over(whole) for side, n in sides.items()})
         group = ["cmp", "feature"]
     else:
-        counts = D.with_bucket(counts, cuts)
-        per_bucket = counts.groupBy("day", "feature", "bucket").agg(F.sum("n").alias("n"))
-        ends = _bucket_ends(per_bucket, D.cuts_table(counts.sparkSession, cuts))
-        rows = counts.unionByName(ends).repartition("feature", "bucket").join(
-            small_table(_side_sizes(per_bucket, pairs)), ["day", "feature"])
+        daily = D.bucket_counts(counts, cuts) if daily is None else daily
+        ends = _bucket_ends(daily, D.cuts_table(counts.sparkSession, cuts))
+        moved = D.with_bucket(counts, cuts).where("NOT single").select("day", "feature", "bucket", "value", "n")
+        rows = moved.unionByName(ends).repartition("feature", "bucket").join(
+            small_table(_side_sizes(daily, pairs)), ["day", "feature"])
         group = ["cmp", "feature", "bucket"]
     place = W.partitionBy(*group).orderBy("value")
     so_far = place.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -111,28 +122,28 @@ def wasserstein(counts: DataFrame, pairs: DataFrame, cuts: D.Cuts | None = None)
     )
 
 
-def _side_sizes(per_bucket: DataFrame, pairs: DataFrame) -> DataFrame:
+def _side_sizes(daily: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs times features with the number of rows on either side."""
     whole = W.partitionBy("cmp", "feature")
     sizes = {f"{side}_all": F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).over(whole)
              for side in SIDES}
-    totals = per_bucket.groupBy("day", "feature").agg(F.sum("n").alias("n"))
+    totals = daily.groupBy("day", "feature").agg(F.sum("n").alias("n"))
     return totals.join(pairs, "day").withColumns(sizes).drop("n")
 
 
-def _bucket_ends(per_bucket: DataFrame, cuts: DataFrame) -> DataFrame:
+def _bucket_ends(daily: DataFrame, cuts: DataFrame) -> DataFrame:
     """Opening and closing rows ``(day, feature, bucket, value, n)`` of every bucket."""
     counts = F.map_from_entries(F.collect_list(F.struct("bucket", "n")))
     held = (
-        per_bucket.groupBy("day", "feature").agg(counts.alias("_held"))
+        daily.groupBy("day", "feature").agg(counts.alias("_held"))
         .join(cuts, "feature")
-        .select("day", "feature", "_held", "cuts",
+        .select("day", "feature", "_held", "cuts", "single",
                 F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("_place"))
-        .select("day", "feature", "cuts", "_place",
+        .select("day", "feature", "cuts", "_place", F.get("single", F.col("_place")).alias("_single"),
                 F.coalesce(F.try_element_at("_held", F.col("_place")), F.lit(0)).alias("_n"))
     )
-    before = F.sum("_n").over(W.partitionBy("day", "feature").orderBy("_place")) - F.col("_n")
-    ends = held.withColumn("_before", before)
+    through = F.sum("_n").over(W.partitionBy("day", "feature").orderBy("_place"))
+    ends = held.withColumn("_before", through - F.when(F.col("_single"), 0).otherwise(F.col("_n")))
     opening = ends.where("_place > 0").select(
         "day", "feature", F.col("_place").alias("bucket"),
         F.get("cuts", F.col("_place") - 1).alias("value"), F.col("_before").alias("n"))
@@ -146,18 +157,19 @@ def feature_drift(df: DataFrame, features: Sequence[str], pairs: DataFrame, clos
                   bins: int = BINS, rows_per_bucket: int = D.ROWS_PER_BUCKET) -> DataFrame:
     """``(cmp, feature, psi, wasserstein)`` for all comparisons and features.
 
-    ``closed`` takes the window form of PSI with a base per comparison. The value
-    counts are written once; both measures read them.
+    ``closed`` takes the window form of PSI with a base per comparison. The wide table is
+    read several times and melted on the way; nothing of its size is written. Of its values,
+    only those that few rows share are shuffled, once.
     """
-    counts = settle(D.value_counts(D.melt(df, features)), "value-counts")
-    return drift_of_counts(counts, pairs, closed, bins, rows_per_bucket)
+    return drift_of_counts(D.melt(df, features), pairs, closed, bins, rows_per_bucket)
 
 
 def drift_of_counts(counts: DataFrame, pairs: DataFrame, closed: bool = False, bins: int = BINS,
                     rows_per_bucket: int = D.ROWS_PER_BUCKET) -> DataFrame:
     cuts = D.value_cuts(counts, rows_per_bucket)
-    psi = (psi_window if closed else psi_open)(counts, pairs, bins, cuts)
-    return psi.join(wasserstein(counts, pairs, cuts), ["cmp", "feature"])
+    daily = D.bucket_counts(counts, cuts) if cuts else None
+    psi = (psi_window if closed else psi_open)(counts, pairs, bins, cuts, daily)
+    return psi.join(wasserstein(counts, pairs, cuts, daily), ["cmp", "feature"])
 
 
 def mean_drift(drift: DataFrame) -> DataFrame:

@@ -246,67 +246,66 @@ def _scaled_lineitem(spark, sf):
     return scaling.project(scaler.scale(table), scaler.features, ["day"]), days, scaler.features
 
 
-def _scaled_counts(spark, sf):
+def _scaled_long(spark, sf):
     table, days, features = _scaled_lineitem(spark, sf)
-    return settle(distribution.value_counts(distribution.melt(table, features)), "value-counts"), days
+    return distribution.melt(table, features), days
 
 
 @query
 def quantile_edges(spark, sf):
-    counts, days = _scaled_counts(spark, sf)
-    edges = distribution.quantile_edges(counts, by=["day"])
+    long, _ = _scaled_long(spark, sf)
+    edges = distribution.quantile_edges(long, by=["day"])
     return edges.select("day", "feature", F.posexplode("edges").alias("k", "edge"))
 
 
 @query
 def quantile_edges_bucketed(spark, sf):
-    """The same from rows that are not counted first, in small value ranges."""
-    table, days, features = _scaled_lineitem(spark, sf)
-    long = distribution.melt(table, features)
+    """The same in small value ranges."""
+    long, _ = _scaled_long(spark, sf)
     edges = distribution.quantile_edges(long, by=["day"], cuts=distribution.value_cuts(long, SMALL_BUCKET))
     return edges.select("day", "feature", F.posexplode("edges").alias("k", "edge"))
 
 
 @query
 def histogram_open(spark, sf):
-    counts, days = _scaled_counts(spark, sf)
-    edges = drift.open_psi_edges(counts, timeline.baseline_pairs(days))
-    return distribution.histogram(counts, edges, ["day"])
+    long, days = _scaled_long(spark, sf)
+    edges = drift.open_psi_edges(long, timeline.baseline_pairs(days))
+    return distribution.histogram(long, edges, ["day"])
 
 
 @query
 def histogram_window(spark, sf):
     """Closed bins: edges from the baseline, values beyond them in no bin."""
-    counts, days = _scaled_counts(spark, sf)
-    base = counts.join(F.broadcast(days.where("role = 'baseline'").select("day")), "day", "left_semi")
+    long, days = _scaled_long(spark, sf)
+    base = long.join(F.broadcast(days.where("role = 'baseline'").select("day")), "day", "left_semi")
     edges = distribution.quantile_edges(base)
     edges = edges.withColumn("edges", distribution.window_edges(F.col("edges")))
-    return distribution.histogram(counts, edges, ["day"], closed=True)
+    return distribution.histogram(long, edges, ["day"], closed=True)
 
 
 @query
 def psi_open(spark, sf):
-    counts, days = _scaled_counts(spark, sf)
-    return _round(drift.psi_open(counts, timeline.baseline_pairs(days)), "psi")
+    long, days = _scaled_long(spark, sf)
+    return _round(drift.psi_open(long, timeline.baseline_pairs(days)), "psi")
 
 
 @query
 def psi_window(spark, sf):
-    counts, days = _scaled_counts(spark, sf)
-    return _round(drift.psi_window(counts, timeline.window_pairs(days)), "psi")
+    long, days = _scaled_long(spark, sf)
+    return _round(drift.psi_window(long, timeline.window_pairs(days)), "psi")
 
 
 @query
 def wasserstein(spark, sf):
-    counts, days = _scaled_counts(spark, sf)
-    return _round(drift.wasserstein(counts, timeline.baseline_pairs(days)), "wasserstein")
+    long, days = _scaled_long(spark, sf)
+    return _round(drift.wasserstein(long, timeline.baseline_pairs(days)), "wasserstein")
 
 
 @query
 def wasserstein_bucketed(spark, sf):
-    counts, days = _scaled_counts(spark, sf)
-    cuts = distribution.value_cuts(counts, SMALL_BUCKET)
-    return _round(drift.wasserstein(counts, timeline.baseline_pairs(days), cuts), "wasserstein")
+    long, days = _scaled_long(spark, sf)
+    cuts = distribution.value_cuts(long, SMALL_BUCKET)
+    return _round(drift.wasserstein(long, timeline.baseline_pairs(days), cuts), "wasserstein")
 
 
 @query

@@ -89,6 +89,28 @@ def test_buckets_hold_what_lies_between_their_cuts(spark):
         assert r["bucket"] == want
 
 
+def test_places_take_log_steps(spark):
+    """A thousand cut points are eleven short columns, in the plan and in the code made of it."""
+    long = long_table(spark, {1: {"x": rng.random(500)}})
+    cuts = {"x": sorted(set(rng.random(1000).tolist()))}
+    placed = D.with_bucket(long, cuts)
+    plan = placed.where("NOT single").groupBy("bucket").agg(F.sum("n"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("if ((get(") <= 2 * 11 and len(plan) < 40_000
+    assert all(r["bucket"] == sum(c <= r["value"] for c in cuts["x"]) for r in placed.collect())
+
+
+def test_values_that_many_share_have_buckets_of_their_own(spark):
+    """Their rows are counted and stay where they are; only the others are shuffled."""
+    values = np.r_[np.repeat([1.0, 2.0, 3.0], 300), rng.random(100) * 4]
+    long = long_table(spark, {1: {"x": values}, 2: {"x": values[::2]}})
+    cuts = D.value_cuts(long, 50)
+    daily = D.bucket_counts(long, cuts)
+    assert {r["n"] for r in daily.where("single AND day = 1").collect()} == {300}
+    assert D.with_bucket(long, cuts).where("NOT single").count() == 150
+    got = drift.wasserstein(long, pairs(spark), cuts, daily).first()["wasserstein"]
+    assert got == pytest.approx(wd_by_hand(values, values[::2]), abs=1e-12)
+
+
 def test_identical_shifted_and_two_point(spark):
     base = {"same": [1, 2, 3, 4], "moved": [1, 2, 3, 4], "two": [0, 1]}
     test = {"same": [4, 3, 2, 1], "moved": [3, 4, 5, 6], "two": [0, 0, 1, 1, 1]}
