@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftflow.operators import cleaning, sampling
 from driftflow.session import discard, fresh_path, settle
 from driftflow.sources import days as D
+from driftflow.sources.ledger import DayLedger
 
 TARGET_ROWS = 200_000
 
@@ -48,36 +49,35 @@ def sample_days(raw: DataFrame, key: Column, target_rows: int | None = TARGET_RO
 
 def ingest_days(spark: SparkSession, files: Mapping[str, str], out: str, target_rows: int | None = TARGET_ROWS,
                 fractions: Mapping[str, float] | None = None, default_fraction: float | None = FRACTION) -> DataFrame:
-    """Every day of ``files`` that ``{out}/clean`` does not hold yet is sampled, cleaned and appended to it.
+    """Every day of ``files`` that the ledger of ``{out}/clean`` does not name yet is sampled, cleaned and added.
 
-    Days with the same columns go through one plan. Their raw rows are written with a number
-    for as long as that takes: written numbers are the same on every read, so the samples
-    drawn by them are too. Since a small day holds copies, the clean rows are numbered anew,
-    from the last number in use on. With ``target_rows`` and ``default_fraction`` None and no
-    ``fractions`` all rows are kept.
+    Days with the same columns go through one plan and are committed together; days are done once their entry
+    is in the ledger, whether rows of them are left or not, and a run that dies before loads them again. Raw
+    rows are written with a number for as long as that takes: written numbers are the same on every read, so
+    the samples drawn by them are too. Since a small day holds copies, the clean rows are numbered anew, from
+    the last number in use on. With ``target_rows`` and ``default_fraction`` None and no ``fractions`` all
+    rows are kept.
     """
-    path = f"{out}/clean"
-    done = D.days_in(spark, path)
+    ledger = DayLedger(spark, f"{out}/clean")
+    done = ledger.days()
     todo = {day: file for day, file in files.items() if day not in done}
     try:
-        groups = D.read_day_groups(spark, todo, chunked=True) if todo else []
+        groups = D.day_groups(spark, todo, chunked=True) if todo else []
     except FileNotFoundError:
         if not done:
             raise
         groups = []
     whole = default_fraction is None and fractions is not None and not fractions
-    for group in groups:
+    for days, group in groups:
         rows = fresh_path(spark, "raw")
         D.with_row_id(group).write.parquet(rows)
-        raw = spark.read.parquet(rows)
+        raw = spark.read.schema(D.with_row_id(group).schema).parquet(rows)
         default = 1.0 if default_fraction is None else default_fraction
         part = None if whole else day_fraction(F.col("day"), fractions, default)
         sampled = sample_days(raw, F.col("row_id"), target_rows, part, without=("day", "chunk", "row_id"))
         features = cleaning.feature_names(sampled, ["day", "row_id", "Label", "Timestamp"])
         table = cleaning.clean(sampled.drop("row_id"), features)
-        last = D.read_day_table(spark, path).agg(F.max("row_id")).first()[0] if done else None
-        numbered = D.with_row_id(table).withColumn("row_id", F.col("row_id") + F.lit(-1 if last is None else last) + 1)
-        D.write_day_table(numbered, path, "append")
-        done = done | set(todo)
+        numbered = D.with_row_id(table).withColumn("row_id", F.col("row_id") + F.lit(ledger.last_row_id()) + 1)
+        ledger.append(numbered, days)
         discard(spark, rows)
-    return D.read_day_table(spark, path)
+    return ledger.read()

@@ -1,8 +1,8 @@
 """The whole run over one project folder, stage by stage.
 
 Each stage reads the tables of the stages before it and keeps its own result there:
-``clean``, ``scaler``, ``balanced`` and ``history_anchor`` as Parquet, the result tables
-as CSV.
+``clean``, ``balanced`` and ``history_anchor`` as day tables with a ledger, ``scaler`` as
+Parquet, the result tables as CSV.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from driftflow.operators.timeline import WINDOW, timeline
 from driftflow.plans import adaptive_experiment, ingest, static_drift, static_experiment
 from driftflow.sources import days as D
 from driftflow.sources import state
+from driftflow.sources.ledger import DayLedger
 
 # Column names of the result tables.
 DRIFT_COLUMNS = {"day": "Day", "mean_psi": "Mean_PSI", "mean_wd": "Mean_WD"}
@@ -44,13 +45,16 @@ class Project:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def _table(self, name: str) -> DayLedger:
+        return DayLedger(self.spark, self.path(name))
+
     def load(self, files: Mapping[str, str], target_rows: int | None = ingest.TARGET_ROWS, **options) -> DataFrame:
         """Fetch, sample and clean the day files that are not loaded yet. ``target_rows=None,
         default_fraction=None, fractions={}`` keeps all rows."""
         return ingest.ingest_days(self.spark, files, self.folder, target_rows, **options)
 
     def clean(self) -> DataFrame:
-        return D.read_day_table(self.spark, self.path("clean"))
+        return self._table("clean").read()
 
     def fit_baseline(self) -> MinMax:
         """Retained features and their bounds from the baseline days; kept as a table."""
@@ -64,24 +68,23 @@ class Project:
 
     def balance(self, target: int = balancing.TARGET, days: Sequence[str] | None = None) -> DataFrame:
         """Balance all days, or the named ones, in one plan; days already balanced are kept."""
-        scaler, path = self.scaler(), self.path("balanced")
+        scaler, balanced = self.scaler(), self._table("balanced")
         wanted = {r["day"] for r in self.days.collect()} if days is None else set(days)
-        done = D.days_in(self.spark, path)
-        if wanted - done:
-            todo = require_features(self.clean().where(F.col("day").isin(sorted(wanted - done))), scaler.features)
-            D.write_day_table(balancing.balance_days(todo, scaler, target, F.col("row_id")), path, "append")
+        todo = sorted((wanted & self._table("clean").days()) - balanced.days())
+        if todo:
+            rows = require_features(self.clean().where(F.col("day").isin(todo)), scaler.features)
+            balanced.append(balancing.balance_days(rows, scaler, target, F.col("row_id")), todo)
         return self.balanced()
 
     def balanced(self) -> DataFrame:
-        return D.read_day_table(self.spark, self.path("balanced"))
+        return self._table("balanced").read()
 
     def history_anchor(self) -> DataFrame:
         """The anchor rows of every day that leaves the window; days that are not in it yet are added."""
-        path, calendar = self.path("history_anchor"), self.days.collect()
+        anchor, balanced, calendar = self._table("history_anchor"), self._table("balanced"), self.days.collect()
         last = max(r["ord"] for r in calendar)
-        left = {r["day"] for r in calendar if r["ord"] <= last - WINDOW} - D.days_in(self.spark, path)
-        rows = self.balanced().where(F.col("day").isin(sorted(left)))
-        return D.write_day_table(training.history_anchor(rows, F.col("row_key")), path, "append")
+        left = sorted(({r["day"] for r in calendar if r["ord"] <= last - WINDOW} & balanced.days()) - anchor.days())
+        return anchor.append(training.history_anchor(balanced.read(left), F.col("row_key")), left) if left else anchor.read()
 
     def _checked(self) -> DataFrame:
         return require_features(self.clean(), self.scaler().features)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import csv
 import logging
+import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftflow.session import local_table, small_table
+
 log = logging.getLogger(__name__)
 
 # Day keys, in time order, with the file each day is published as.
@@ -37,34 +44,91 @@ def _is_missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
-def read_day_groups(spark: SparkSession, files: Mapping[str, str], chunked: bool = False) -> list[DataFrame]:
-    """Every existing day file as text columns with trimmed names, plus ``day``; one
-    table per set of columns, since days may differ in theirs.
-
-    A day without a file is skipped with a warning. ``chunked`` adds ``chunk``, the
-    offset of the file split a row was read from.
-    """
-    groups: dict[tuple[str, ...], list[DataFrame]] = {}
+def _existing(spark: SparkSession, files: Mapping[str, str]) -> dict[str, str]:
+    """The day files that exist. Every folder is listed once, however many files are asked for."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    by_folder: dict[str, dict[str, list[str]]] = {}
     for day, path in files.items():
+        place = path_of(path)
+        by_folder.setdefault(place.getParent().toString(), {}).setdefault(place.getName(), []).append(day)
+    found = set()
+    for folder, names in by_folder.items():
+        place = path_of(folder)
         try:
-            raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-        except AnalysisException as error:
-            if not _is_missing(error):
+            listed = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatusIterator(place)
+            while listed.hasNext():
+                found.update(names.get(listed.next().getPath().getName(), ()))
+        except Py4JJavaError as error:
+            if "FileNotFoundException" not in str(error.java_exception.getClass().getName()):
                 raise
-            log.warning("no file for day %s at %s, skipped", day, path)
-            continue
-        extra = [F.col("_metadata.file_block_start").alias("chunk")] if chunked else []
-        table = raw.select(F.lit(day).alias("day"), *extra,
-                           *[F.col(f"`{name}`").alias(name.strip()) for name in raw.columns])
-        groups.setdefault(tuple(sorted(table.columns)), []).append(table)
-    if not groups:
+    for day in files:
+        if day not in found:
+            log.warning("no file for day %s at %s, skipped", day, files[day])
+    return {day: path for day, path in files.items() if day in found}
+
+
+def _plain_path(path: str) -> str:
+    """Without the slashes that stand for no host, and with the characters that a URL can't hold as they are."""
+    return unquote(re.sub(r"^(\w+):/+(?=/)", r"\1:", path))
+
+
+def _header_names(line: str) -> list[str]:
+    """Column names of a header line; names that are empty or there twice are told apart by their place."""
+    names = next(csv.reader([line], skipinitialspace=False), [])
+    seen = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if seen.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
+def _headers(spark: SparkSession, files: Mapping[str, str]) -> list[tuple[str, str, str]]:
+    """``(file, day, first line)`` of every file, in one job. A day may be a folder of files."""
+    lines = spark.read.text(list(files.values())).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("place"))
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "place").alias("line")).collect()
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    days = {}
+    for day, path in files.items():
+        place = fs_path(path)
+        days[_plain_path(place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString())] = day
+    out = []
+    for row in first:
+        plain = _plain_path(row["file"])
+        day = days.get(plain) or days.get(plain.rsplit("/", 1)[0])
+        if day is not None:
+            out.append((row["file"], day, row["line"]))
+    return sorted(out)
+
+
+def day_groups(spark: SparkSession, files: Mapping[str, str], chunked: bool = False) -> list[tuple[list[str], DataFrame]]:
+    """Every existing day file as text columns with trimmed names, plus ``day``, and the days in it; one table
+    per set of columns, since days may differ in theirs.
+
+    A day without a file is skipped with a warning. One job reads the first lines of all files; files with the
+    same header are then one scan. ``chunked`` adds ``chunk``, the offset of the file split a row was read from.
+    """
+    there = _existing(spark, files)
+    if not there:
         raise FileNotFoundError(f"none of the day files exists: {sorted(files.values())}")
-    return [reduce(DataFrame.unionByName, tables) for tables in groups.values()]
+    by_header: dict[tuple[str, ...], list[tuple[str, str]]] = {}
+    for file, day, line in _headers(spark, there):
+        by_header.setdefault(tuple(_header_names(line)), []).append((file, day))
+    groups: dict[tuple[str, ...], list[tuple[list[str], DataFrame]]] = {}
+    for header, found in by_header.items():
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+        raw = spark.read.schema(schema).option("header", True).csv([unquote(file) for file, _ in found])
+        days = small_table(local_table(spark, found, pa.schema([("_file", pa.string()), ("day", pa.string())])))
+        extra = [F.col("_metadata.file_block_start").alias("chunk")] if chunked else []
+        table = raw.select(F.col("_metadata.file_path").alias("_file"), *extra,
+                           *[F.col(f"`{name}`").alias(name.strip()) for name in header]).join(days, "_file")
+        table = table.select("day", *[f"`{c}`" for c in table.columns if c not in ("_file", "day")])
+        groups.setdefault(tuple(sorted(table.columns)), []).append((sorted({day for _, day in found}), table))
+    return [(sorted({d for days, _ in parts for d in days}), reduce(DataFrame.unionByName, [t for _, t in parts]))
+            for parts in groups.values()]
 
 
 def read_day_files(spark: SparkSession, files: Mapping[str, str], chunked: bool = False) -> DataFrame:
     """All day files as one table; a column a day does not have is null there."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read_day_groups(spark, files, chunked))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [t for _, t in day_groups(spark, files, chunked)])
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:

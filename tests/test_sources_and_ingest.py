@@ -7,6 +7,7 @@ from driftflow.plans import ingest
 from driftflow.session import discard, fresh_path
 from driftflow.sources import days as D
 from driftflow.sources import state
+from driftflow.sources.ledger import DayLedger
 
 
 def write_day(path, header, rows):
@@ -114,3 +115,69 @@ def test_a_table_is_taken_out_again(spark):
     discard(spark, path)
     with pytest.raises(AnalysisException):
         spark.read.parquet(path)
+
+
+def test_a_run_that_dies_leaves_no_half_days(spark, tmp_path):
+    """A batch without an entry, a half-written entry, and a batch whose writing failed are not there."""
+    files = {d: write_day(tmp_path / f"{d}.csv", "Dur,Timestamp,Label", [f"{i},t,Benign" for i in range(n)]) for d, n in (("d1", 3), ("d2", 4))}
+    out = str(tmp_path / "out")
+    assert ingest.ingest_days(spark, {"d1": files["d1"]}, out, **ALL_ROWS).count() == 3
+    half = tmp_path / "out/clean/rows/batch=dead/day=d2"
+    half.mkdir(parents=True)
+    spark.createDataFrame([(1.0, "Bot", 77)], "Dur double, label string, row_id long").write.mode("overwrite").parquet(str(half))
+    (tmp_path / "out/clean/ledger/.00000001-dead.json").write_text('{"number": 1, "batch": "dead", "days": ["d2"]')
+    (tmp_path / "out/clean/ledger/00000002-dead.json").write_text('{"number": 2, "batch": "dead", "days": ["d')
+    ledger = DayLedger(spark, f"{out}/clean")
+    assert ledger.days() == {"d1"} and ledger.read().count() == 3
+    failing = spark.range(10).selectExpr("'d2' AS day", "IF(id > 8, raise_error('gone'), 1.0D) AS Dur", "'Bot' AS label", "id AS row_id")
+    with pytest.raises(Exception, match="gone"):
+        ledger.append(failing, ["d2"])
+    assert ledger.days() == {"d1"}
+    table = ingest.ingest_days(spark, files, out, **ALL_ROWS)
+    assert {r["day"]: r["count"] for r in table.groupBy("day").count().collect()} == {"d1": 3, "d2": 4}
+    assert table.where("label = 'Bot'").isEmpty() and sorted(r["row_id"] for r in table.select("row_id").collect())[:3] == [0, 1, 2]
+    assert ledger.last_row_id() == max(r["row_id"] for r in table.select("row_id").collect())
+
+
+def test_a_group_of_days_that_cleans_to_nothing(spark, tmp_path):
+    """The other group is loaded, and neither day is loaded again."""
+    files = {"a": write_day(tmp_path / "a.csv", "Dur,Timestamp,Label", ["1,t,what"]),
+             "b": write_day(tmp_path / "b.csv", "Dur,Src,Timestamp,Label", ["1,2,t,Benign"])}
+    out = str(tmp_path / "out")
+    table = ingest.ingest_days(spark, files, out, **ALL_ROWS)
+    assert [(r["day"], r["Dur"], r["Src"]) for r in table.collect()] == [("b", 1.0, 2.0)]
+    assert DayLedger(spark, f"{out}/clean").days() == {"a", "b"}
+    alone = ingest.ingest_days(spark, {"a": files["a"]}, str(tmp_path / "alone"), **ALL_ROWS)
+    assert alone.count() == 0 and {"day", "Dur", "label"} <= set(alone.columns)
+
+
+def test_many_headers_in_one_job(spark, tmp_path):
+    """Files with two headers, one of them padded, in two folders; some are absent, one is empty, one is a folder."""
+    (tmp_path / "more files").mkdir()
+    files = {}
+    for i in range(40):
+        files[f"d{i}"] = str((tmp_path / "more files" if i % 2 else tmp_path) / f"day {i}.csv")
+        if i % 5 < 3:
+            header, row = (" A ,B,Label", f"{i},x,Benign") if i % 3 else ("B,A,Label", f"x,{i},Benign")
+            write_day(tmp_path / files[f"d{i}"], header, [row] * (i % 4))
+    (tmp_path / "empty.csv").write_text("")
+    files["empty"] = str(tmp_path / "empty.csv")
+    D.write_csv(spark.range(5).selectExpr("id AS A", "'y' AS B", "'Bot' AS Label").repartition(3), str(tmp_path / "folder"))
+    files["folder"] = str(tmp_path / "folder")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    groups = D.day_groups(spark, files)
+    jobs = len(tracker.getJobIdsForGroup("headers"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert jobs <= 8
+    (days, table), = groups
+    assert set(days) == {f"d{i}" for i in range(40) if i % 5 < 3} | {"folder"}
+    got = {}
+    for r in table.collect():
+        got.setdefault(r["day"], []).append((r["A"], r["B"]))
+    assert got.pop("folder") and sorted(got) == sorted(f"d{i}" for i in range(40) if i % 5 < 3 and i % 4)
+    assert all(v == [(d[1:], "x")] * (int(d[1:]) % 4) for d, v in got.items())
+
+
+def test_header_names():
+    assert D._header_names('a, b ,"c,d",,a') == ["a0", " b ", "c,d", "_c3", "a4"]
