@@ -18,7 +18,7 @@ from driftflow.operators.sampling import (
     SEED, cap_rows, draws, group_sizes, number_rows, salt_of_draw, salted, with_salts,
 )
 from driftflow.operators.scaling import MinMax
-from driftflow.session import small_table
+from driftflow.session import settle, small_table
 
 TARGET = 100_000
 GROUP = ("day", "label")
@@ -52,7 +52,10 @@ def synthesize_minority(scaled: DataFrame, features: Sequence[str], target: int,
     by, features = list(by), list(features)
     classes = class_counts(scaled, by).where(F.col("n") < target).withColumn("_wanted", target - F.col("n"))
     poor = small_table(with_salts(classes, "n", "_wanted"))
-    pool = salted(number_rows(scaled.join(poor.select(*by, "_salts"), by), by, key, seed))
+    # Written once, since both rows of a pair come from it: fewer than ``target`` rows of a class.
+    pool = settle(number_rows(scaled.join(poor.select(*by, "_salts"), by).select(
+        *by, "_salts", key.alias("_row"), *_quoted(features)), by, F.col("_row"), seed, most=target), "pool")
+    pool = salted(pool)
     parts = [F.col(c) for c in by] + [F.col("draw")]
 
     def pick(which: str) -> Column:

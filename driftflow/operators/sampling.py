@@ -3,10 +3,12 @@
 Rows are ordered by ``md5(key ':' seed)``, then by the key, and the first ones of
 each group are taken. ``key`` has to tell the rows of a group apart.
 
-No group is ever sorted as a whole. The hash spreads a group evenly over 4096
-buckets (its first three hex digits). One aggregate counts the buckets, the counts
-tell in which bucket the last taken row lies, and only that bucket is ranked. The
-result is a threshold per group; taking the sample is then a plain filter.
+No group is ever sorted as a whole. The hash spreads a group evenly over buckets, by its
+first hex digits. One aggregate counts the buckets, and the counts tell in which of them the
+last taken row lies. That bucket is split by its next digits, round by round, until it is
+small enough to be ranked (``ROWS_PER_RANK``), so a group of any size takes a few passes, each
+over a small part of the one before. The result is a threshold per group; taking the sample
+is then a plain filter.
 """
 
 from __future__ import annotations
@@ -21,12 +23,24 @@ from driftflow.functions import scalars as S
 from driftflow.session import small_table
 
 SEED = 42
-BUCKET_DIGITS = 3
+# Hex digits by which a bucket is split in a round.
+DIGITS = 3
+# Rows that are ranked in one task; a key that repeats more often than that can't be split.
+ROWS_PER_RANK = 100_000
+HASH_DIGITS = 32
 
 
-def _hashed(df: DataFrame, key: Column, seed: int) -> DataFrame:
+def _hashed(df: DataFrame, key: Column, seed: int, digits: int | None = None) -> DataFrame:
     table = df.withColumns({"_hash": S.hash_text(key, seed), "_key": key.cast("string")})
-    return table.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
+    return table.withColumn("_bucket", F.substring("_hash", 1, digits or DIGITS))
+
+
+def digits_for(rows: int) -> int:
+    """Hex digits that spread a group of that many rows over buckets of at most about ``ROWS_PER_RANK``."""
+    digits = DIGITS
+    while rows > ROWS_PER_RANK << 4 * digits:
+        digits += 1
+    return digits
 
 
 def group_sizes(df: DataFrame, by: Sequence[str], name: str = "n") -> DataFrame:
@@ -37,22 +51,20 @@ def _thresholds(hashed: DataFrame, by: list[str], size: Callable[[Column], Colum
     """Per group: hash and key of the last row to take. Groups with nothing to take are absent."""
     rows = hashed.select(*by, "_hash", "_key", "_bucket")
     buckets = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    so_far = W.partitionBy(*by).orderBy("_bucket")
-    last = (
-        buckets
-        .withColumn("_before", F.sum("_n").over(so_far) - F.col("_n"))
-        .withColumn("_wanted", size(F.sum("_n").over(W.partitionBy(*by))).cast("bigint"))
-        .where("_before < _wanted")
-        .groupBy(*by)
-        .agg(F.max("_bucket").alias("_bucket"), F.max("_before").alias("_before"),
-             F.first("_wanted").alias("_wanted"), F.max_by("_n", "_bucket").alias("_n"))
-        .select(*by, "_bucket",
-                F.least(F.col("_wanted") - F.col("_before"), F.col("_n")).alias("_room"))
-    )
+    wanted = size(F.sum("_n").over(W.partitionBy(*by))).cast("bigint")
+    last = small_table(_last_bucket(buckets.withColumnsRenamed({"_bucket": "_prefix"}).withColumn("_wanted", wanted), by))
+    digits = DIGITS
+    while digits < HASH_DIGITS and not last.where(F.col("_n") > ROWS_PER_RANK).isEmpty():
+        digits += DIGITS
+        inside = _inside(rows, last.where(F.col("_n") > ROWS_PER_RANK), by)
+        split = inside.groupBy(*by, F.substring("_hash", 1, digits).alias("_prefix"), F.col("_room").alias("_wanted")).agg(
+            F.count(F.lit(1)).alias("_n"))
+        small = last.where(F.col("_n") <= ROWS_PER_RANK).select(*by, "_prefix", "_room", "_n")
+        last = small_table(small.unionByName(_last_bucket(split, by)))
     order = W.partitionBy(*by).orderBy("_hash", "_key")
     place = F.struct("_hash", "_key")
     return (
-        rows.join(small_table(last), [*by, "_bucket"])
+        _inside(rows, last, by)
         .withColumns({"_rank": F.row_number().over(order), "_next": F.lead(place).over(order)})
         .where("_rank = _room")
         .select(*by, place.alias("_last"),
@@ -62,6 +74,27 @@ def _thresholds(hashed: DataFrame, by: list[str], size: Callable[[Column], Colum
     )
 
 
+def _last_bucket(buckets: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, _prefix, _room, _n)``: the bucket that holds the last of the ``_wanted`` rows, how many of its rows
+    are taken, and how many it has."""
+    so_far = W.partitionBy(*by).orderBy("_prefix")
+    return (
+        buckets.withColumn("_before", F.sum("_n").over(so_far) - F.col("_n"))
+        .where("_before < _wanted")
+        .groupBy(*by)
+        .agg(F.max("_prefix").alias("_prefix"), F.max("_before").alias("_before"),
+             F.first("_wanted").alias("_wanted"), F.max_by("_n", "_prefix").alias("_n"))
+        .select(*by, "_prefix", F.least(F.col("_wanted") - F.col("_before"), F.col("_n")).alias("_room"), "_n")
+    )
+
+
+def _inside(rows: DataFrame, last: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of those buckets, whatever their number of digits. They meet by their first digits, so that a join
+    that is not broadcast is spread too."""
+    first = last.withColumn("_bucket", F.substring("_prefix", 1, DIGITS))
+    return rows.join(first, [*by, "_bucket"]).where("startswith(_hash, _prefix)")
+
+
 def take_per_group(df: DataFrame, by: Sequence[str], key: Column, size: Callable[[Column], Column],
                    seed: int = SEED) -> DataFrame:
     """Per group of ``by`` the first ``size(rows in the group)`` rows in hash order.
@@ -98,7 +131,7 @@ def sample_with_replacement(df: DataFrame, rows: int, by: Sequence[str], key: Co
     by = list(by)
     sizes = group_sizes(df, by, "_size").where(F.col("_size") < rows)
     short = small_table(with_salts(sizes.withColumn("_wanted", F.lit(rows).cast("bigint")), "_size", "_wanted"))
-    pool = salted(number_rows(df.join(short, by), by, key, seed))
+    pool = salted(number_rows(df.join(short, by), by, key, seed, most=rows))
     drawn = draws(short, by, "_wanted").withColumn(
         "_index", 1 + F.pmod(S.hash_number(*[F.col(c) for c in by], F.col("draw"), seed), F.col("_size")))
     return (
@@ -113,14 +146,17 @@ def cap_rows(df: DataFrame, rows: int, by: Sequence[str], key: Column, seed: int
 
 
 def number_rows(df: DataFrame, by: Sequence[str], key: Column, seed: int = SEED,
-                into: str = "_index") -> DataFrame:
+                into: str = "_index", most: int | None = None) -> DataFrame:
     """Number the rows of each group 1..n in hash order.
 
     Ranks run inside a hash bucket and start from the number of rows in the buckets
-    before it, so a big group is spread over many tasks.
+    before it, so a big group is spread over many tasks. ``most`` says how many rows a group
+    has at most, where that is known; else they are counted.
     """
     by = list(by)
-    hashed = _hashed(df, key, seed)
+    if most is None:
+        most = group_sizes(df, by, "_size").agg(F.max("_size")).first()[0] or 0
+    hashed = _hashed(df, key, seed, digits_for(most))
     buckets = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = buckets.select(
         *by, "_bucket",

@@ -91,3 +91,29 @@ def test_salts_spread_the_draws_and_change_nothing(spark, monkeypatch):
     assert {r["g"]: r["_salts"] for r in sampling.with_salts(sizes, "n", "wanted").collect()} == {"one": 20, "few": 7}
     got = taken(sampling.sample_with_replacement(table, 40, ["g"], F.col("id")))
     assert {g: sorted(x) for g, x in got.items()} == {g: sorted(x) for g, x in want.items()}
+
+
+@pytest.mark.parametrize("per_rank", [1, 3, 50])
+def test_buckets_are_split_until_they_can_be_ranked(spark, monkeypatch, per_rank):
+    """Every number of rounds gives the same rows, for groups of several sizes in one call."""
+    monkeypatch.setattr(sampling, "ROWS_PER_RANK", per_rank)
+    monkeypatch.setattr(sampling, "DIGITS", 1)
+    table = groups(spark, {"a": 900, "b": 40, "c": 1})
+    got = taken(sampling.take_per_group(table, ["g"], F.col("id"), lambda n: F.floor(n * 0.4)))
+    assert sorted(got["a"]) == sorted(in_hash_order(900)[:360]) and sorted(got["b"]) == sorted(in_hash_order(40)[:16])
+    assert "c" not in got
+    rows = sampling.number_rows(table.where("g = 'a'"), ["g"], F.col("id")).collect()
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["_index"])] == in_hash_order(900)
+
+
+def test_digits_follow_the_rows():
+    assert [sampling.digits_for(n) for n in (0, 10 ** 6, 10 ** 9, 10 ** 12)] == [3, 3, 4, 6]
+
+
+def test_a_group_of_many_million_rows(spark, monkeypatch):
+    """17 million keys in one group: two rounds, and nothing larger than a bucket is ever ranked."""
+    monkeypatch.setattr(sampling, "ROWS_PER_RANK", 1_000)
+    table = spark.range(17_000_000).select(F.lit("g").alias("g"), "id")
+    hashed = sampling._hashed(table, F.col("id"), 42)
+    last = sampling._thresholds(hashed, ["g"], lambda n: F.lit(5_000_000)).first()["_last"]
+    assert hashed.where(F.struct("_hash", "_key") <= F.struct(F.lit(last["_hash"]), F.lit(last["_key"]))).count() == 5_000_000
