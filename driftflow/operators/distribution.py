@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from driftflow.session import local_table, settle, small_table
 
-ROWS_PER_BUCKET = 500_000
+ROWS_PER_BUCKET = 50_000
 # Quantiles a grid is made from, at least: a value that more than 2 in so many rows share is told apart.
 QUANTILES = 256
 SAMPLE_PER_BUCKET = 200
@@ -46,30 +46,36 @@ def value_counts(long: DataFrame) -> DataFrame:
 
 
 def value_cuts(long: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = 42) -> Cuts:
-    """Cut points that split each feature into ranges of about ``rows_per_bucket`` rows, and give every value
-    that many rows share a range of its own. A feature where one range is enough has none.
-
-    The quantiles come from sketches that are merged from those of all tasks; of a long table they see a
-    sample of ``SAMPLE_PER_BUCKET`` values for each quantile."""
-    rows = {r["feature"]: r["count"] for r in long.groupBy("feature").count().collect()}
+    """Cut points that split each feature into ``QUANTILES`` ranges, or as many more as it takes for about
+    ``rows_per_bucket`` rows in each, and give every value that many rows share a range of its own. A feature
+    with no more rows than that has none.
+
+    One pass counts the rows and takes ``QUANTILES`` quantiles, from sketches that are merged from those of all
+    tasks. Only features that need more ranges than that are looked at again, for as many quantiles as they
+    have ranges, in a sample of ``SAMPLE_PER_BUCKET`` values for each."""
+    first = long.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("rows"), F.percentile_approx("value", _shares(QUANTILES), 4 * QUANTILES).alias("at")).collect()
+    rows = {r["feature"]: r["rows"] for r in first}
     buckets = {f: math.ceil(n / rows_per_bucket) for f, n in rows.items()}
     buckets = {f: k for f, k in buckets.items() if k > 1}
-    if not buckets:
-        return {}
-    finest = max(QUANTILES, *buckets.values())
-    shares = [i / finest for i in range(1, finest)]
-    fractions = {f: min(1.0, SAMPLE_PER_BUCKET * finest / rows[f]) for f in buckets}
-    found = (
-        long.sampleBy("feature", fractions, seed).groupBy("feature")
-        .agg(F.percentile_approx("value", shares, 10 * finest).alias("cuts")).collect()
-    )
-    return {r["feature"]: _grid(r["cuts"], finest // buckets[r["feature"]]) for r in found}
+    quantiles = {r["feature"]: r["at"] for r in first}
+    finest = max(buckets.values(), default=0)
+    if finest > QUANTILES:
+        fractions = {f: min(1.0, SAMPLE_PER_BUCKET * finest / rows[f]) for f, k in buckets.items() if k > QUANTILES}
+        finer = long.sampleBy("feature", fractions, seed).groupBy("feature").agg(
+            F.percentile_approx("value", _shares(finest), 10 * finest).alias("at"))
+        quantiles |= {r["feature"]: r["at"] for r in finer.collect()}
+    return {f: _grid(quantiles[f]) for f in buckets}
+
+
+def _shares(n: int) -> list[float]:
+    return [i / n for i in range(1, n)]
 
 
-def _grid(quantiles: list[float], step: int) -> list[float]:
-    """Every ``step``-th quantile, and both ends of each value that two quantiles in a row agree on."""
+def _grid(quantiles: list[float]) -> list[float]:
+    """The quantiles, and with each value that two of them agree on the next double."""
     shared = {a for a, b in zip(quantiles, quantiles[1:]) if a == b}
-    return sorted({*quantiles[step - 1::step], *shared, *(math.nextafter(v, math.inf) for v in shared)})
+    return sorted({*quantiles, *(math.nextafter(v, math.inf) for v in shared)})
 
 
 def cuts_table(spark: SparkSession, cuts: Cuts) -> DataFrame:

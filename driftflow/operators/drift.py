@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftflow.operators import distribution as D
-from driftflow.session import small_table
+from driftflow.session import settle, small_table, spread
 
 BINS = 10
 EMPTY_SHARE = 1e-4
@@ -157,11 +157,13 @@ def feature_drift(df: DataFrame, features: Sequence[str], pairs: DataFrame, clos
                   bins: int = BINS, rows_per_bucket: int = D.ROWS_PER_BUCKET) -> DataFrame:
     """``(cmp, feature, psi, wasserstein)`` for all comparisons and features.
 
-    ``closed`` takes the window form of PSI with a base per comparison. The wide table is
-    read several times and melted on the way; nothing of its size is written. Of its values,
-    only those that few rows share are shuffled, once.
+    ``closed`` takes the window form of PSI with a base per comparison. The features are
+    written once, as they are, for the passes that follow; they are melted on the way, and of
+    the values only those that few rows share are shuffled, once.
     """
-    return drift_of_counts(D.melt(df, features), pairs, closed, bins, rows_per_bucket)
+    features = list(features)
+    wide = settle(spread(df.select("day", *[F.col(f"`{f}`") for f in features])), "features")
+    return drift_of_counts(D.melt(wide, features), pairs, closed, bins, rows_per_bucket)
 
 
 def drift_of_counts(counts: DataFrame, pairs: DataFrame, closed: bool = False, bins: int = BINS,

@@ -14,7 +14,7 @@ from driftflow.operators import (
 )
 from driftflow.plans import adaptive_experiment, ingest, static_drift, static_experiment
 from driftflow.registry import fixtures as X
-from driftflow.session import fresh_path, settle
+from driftflow.session import fresh_path, settle, spread
 from driftflow.sources import days as day_tables
 from driftflow.sources import state
 
@@ -248,7 +248,7 @@ def _scaled_lineitem(spark, sf):
 
 def _scaled_long(spark, sf):
     table, days, features = _scaled_lineitem(spark, sf)
-    return distribution.melt(table, features), days
+    return distribution.melt(settle(spread(table), "features"), features), days
 
 
 @query

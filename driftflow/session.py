@@ -62,6 +62,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out to all cores if they come in fewer parts than there are, as from one file that can't be
+    split. A table of more parts is left as it is."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that :func:`fresh_path` named, once nothing reads it any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
