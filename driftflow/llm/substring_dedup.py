@@ -161,9 +161,14 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return again.join(firsts, ["name", "tag"]).where("ord > first").select("ord", "th", "at")
 
 
-def _kept(length: int):
+def _kept(length: int, touched=None):
+    """The words left; of texts whose hash does not pass the filter ``touched``, if there is one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.chunks(batches):
+            if touched is not None:
+                batch = batch.filter(pa.array(~bloom.contains(touched.value, batch.column("th").to_numpy().view(np.uint64))))
+                if not batch.num_rows:
+                    continue
             column = batch.column("text")
             words = arrays.Words(column)
             n = len(words.start)
@@ -200,9 +205,11 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("ord"),
                        F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    # Only texts that may have lost words are shuffled to meet their windows.
-    touched = bloom.passes(bloom.build(found.select("th").distinct(), "th"), F.col("th"))
-    joined = rows.where(touched).join(found, ["ord", "th"], "left").select("row", "text", "at")
-    clean = rows.where(~touched).select("row", "text", F.lit(None).cast("array<int>").alias("at"))
+    # Only texts that may have lost words are shuffled to meet their windows. The others are told where they
+    # are cut, so that no task needs a second worker for the filter.
+    touched = bloom.build(found.select("th").distinct(), "th")
+    none = F.lit(None).cast("array<int>").alias("at")
+    joined = rows.where(bloom.passes(touched, F.col("th"))).join(found, ["ord", "th"], "left").select("row", "text", "at")
     shape = T.StructType([joined.schema["row"]]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    return joined.mapInArrow(_kept(length), shape).unionByName(clean.mapInArrow(_kept(length), shape))
+    clean = rows.select("row", "text", "th", none).mapInArrow(_kept(length, touched), shape)
+    return joined.mapInArrow(_kept(length), shape).unionByName(clean)
