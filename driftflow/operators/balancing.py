@@ -3,12 +3,13 @@
 Rich classes are sampled down to the target. Poor classes keep their rows and get
 synthetic ones: a point between two rows of the same class and day, picked by hash.
 This replaces a trained generator. It stays inside the range each feature has in the
-class, but does not learn how features depend on each other beyond pairs of rows.
+class, but does not learn how features depend on each other beyond pairs of rows;
+:func:`copula.synthesize_copula` does, and can be given to :func:`balance_days` instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +77,7 @@ def _quoted(names: Sequence[str]) -> list[Column]:
 
 
 def balance_days(df: DataFrame, scaler: MinMax, target: int, key: Column, by: Sequence[str] = GROUP,
-                 seed: int = SEED) -> DataFrame:
+                 seed: int = SEED, synthesize: Callable[..., DataFrame] = synthesize_minority) -> DataFrame:
     """Every class of every day brought to exactly ``target`` rows, in raw units.
 
     One plan for all days and classes. Columns: ``by``, the retained features and
@@ -86,7 +87,7 @@ def balance_days(df: DataFrame, scaler: MinMax, target: int, key: Column, by: Se
     by = list(by)
     table = df.select(*by, *_quoted(scaler.features), key.cast("string").alias("row_key"))
     real = downsample_classes(table, target, F.col("row_key"), by, seed)
-    synthetic = synthesize_minority(scaler.scale(table), scaler.features, target, F.col("row_key"), by, seed)
+    synthetic = synthesize(scaler.scale(table), scaler.features, target, F.col("row_key"), by, seed)
     return (
         real.withColumn("row_key", F.concat(F.lit("real:"), "row_key"))
         .unionByName(scaler.unscale(synthetic).withColumn("row_key", F.concat(F.lit("new:"), F.col("draw").cast("string")))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,10 @@ from driftflow.operators.scaling import MinMax, project
 from driftflow.operators.timeline import WINDOW, window_pairs
 from driftflow.operators.training import ANCHOR_FRACTION, BENIGN, history_anchor, model_rows, training_pool
 from driftflow.plans.static_experiment import default_models
+from driftflow.session import settle
+
+# Days whose models are fitted at the same time.
+AT_ONCE = 3
 
 
 def active_window_feature_drift(clean: DataFrame, days: DataFrame, scaler: MinMax, k: int = WINDOW,
@@ -32,20 +38,29 @@ def active_window_drift(clean: DataFrame, days: DataFrame, scaler: MinMax, k: in
 def adaptive_scores(clean: DataFrame, balanced: DataFrame, days: DataFrame, scaler: MinMax, key: Column,
                     stages: Mapping[str, tuple[Pipeline, float | None]] | None = None,
                     benign: str = BENIGN, k: int = WINDOW, fraction: float = ANCHOR_FRACTION,
-                    anchor: DataFrame | None = None) -> DataFrame:
+                    anchor: DataFrame | None = None, at_once: int = AT_ONCE) -> DataFrame:
     """``(model, day, target, predicted)``.
 
-    Only the fits loop over the future days (a few); each is a distributed job. The
-    anchor of a day is a filter over one sample, so the days do not wait for each other.
+    The days (a few) do not wait for each other, since the anchor of a day is a filter over one sample. Up to
+    ``at_once`` of them are fitted at the same time, each from a thread and a scheduler pool of its own (fair
+    shares where the session has ``spark.scheduler.mode=FAIR``); every fit is a distributed job. The rows a day
+    trains on are written once and read by all its models.
     """
     stages = stages or default_models(scaler.features, "Adaptive")
     anchor = history_anchor(balanced, key, fraction) if anchor is None else anchor
     tests = sorted((r["ord"], r["day"]) for r in days.where("role = 'future'").collect())
-    parts = []
-    for test_ord, test_day in tests:
-        train = model_rows(training_pool(balanced, anchor, days, test_ord, k), scaler, benign, keep=())
+    spark = clean.sparkSession
+
+    def one_day(test_ord: int, test_day) -> list[DataFrame]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"day-{test_ord}")
+        train = settle(model_rows(training_pool(balanced, anchor, days, test_ord, k), scaler, benign, keep=()), "training-pool")
         test = model_rows(clean.where(F.col("day") == F.lit(test_day)), scaler, benign)
-        parts += [models.score(models.fit(s, train), test, name, threshold=t) for name, (s, t) in stages.items()]
+        return [models.score(models.fit(s, train), test, name, threshold=t) for name, (s, t) in stages.items()]
+
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as threads:
+        # A target of its own for each day: each takes a copy of the properties that are set here.
+        running = [threads.submit(inheritable_thread_target(spark)(one_day), *test) for test in tests]
+        parts = [part for found in running for part in found.result()]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -338,6 +338,9 @@ def _synthetic(target: str) -> list[str]:
         "  JOIN s y ON y.day = drawn.day AND y.label = drawn.label AND y.rk = j)"]
 
 
+ORACLES["synthesize_copula"] = _with(_one_day) + (
+    "SELECT day, label, most - n AS n, most - n AS inside\n"
+    "FROM (SELECT day, label, count(*) AS n, max(count(*)) OVER () AS most FROM v GROUP BY day, label) WHERE n < most")
 ORACLES["synthesize_minority"] = _with(_one_day, _vfit, *_synthetic(_biggest_class)) + "SELECT * FROM synthetic"
 ORACLES["balance_vectors"] = _with(_one_day, _vfit, *_synthetic(_mean_class)) + (
     "SELECT day, label, 'real:' || CAST(vec_id AS VARCHAR) AS row_key, "

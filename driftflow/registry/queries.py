@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftflow.functions import scalars as S
 from driftflow.operators import (
-    balancing, cleaning, distribution, drift, evaluation, models, sampling, scaling, timeline, training,
+    balancing, cleaning, copula, distribution, drift, evaluation, models, sampling, scaling, timeline, training,
 )
 from driftflow.plans import adaptive_experiment, ingest, static_drift, static_experiment
 from driftflow.registry import fixtures as X
@@ -445,6 +445,19 @@ def synthesize_minority(spark, sf):
         scaler.scale(table), scaler.features, _biggest_class(table), F.col("vec_id"))
 
 
+@query
+def synthesize_copula(spark, sf):
+    """How many rows each class gets, and how many of them lie in the range of every feature of the class."""
+    table, scaler = _one_day_vectors(spark, sf)
+    scaled = settle(scaling.project(scaler.scale(table), scaler.features, ["day", "label", "vec_id"]), "scaled-vectors")
+    made = copula.synthesize_copula(scaled, scaler.features, _biggest_class(table), F.col("vec_id"))
+    ends = scaled.groupBy("day", "label").agg(
+        *[x for f in scaler.features for x in (F.min(f).alias(f"{f}_low"), F.max(f).alias(f"{f}_high"))])
+    inside = reduce(Column.__and__, [F.col(f).between(F.col(f"{f}_low"), F.col(f"{f}_high")) for f in scaler.features])
+    return made.join(F.broadcast(ends), ["day", "label"]).groupBy("day", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(inside.cast("bigint")).alias("inside"))
+
+
 @query
 def balance_vectors(spark, sf):
     table, scaler = _one_day_vectors(spark, sf)

@@ -127,3 +127,21 @@ def test_default_models_have_the_full_size(scaler):
     forest = stages["RandomForest_Static"][0].getStages()[1]
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getSeed()) == (100, 25, 42)
     assert stages["MLP_Static"][0].getStages()[1].getLayers() == [2, 128, 64, 2]
+
+
+def test_days_are_fitted_at_the_same_time(spark):
+    """Jobs of several days run in pools of their own, and give what one day after the other gives."""
+    rows = spark.range(600).select(
+        (F.col("id") % 6).cast("int").alias("day"), F.when(F.col("id") % 7 < 3, "Bot").otherwise("Benign").alias("label"),
+        (F.col("id") % 7).cast("double").alias("a"), F.col("id").cast("string").alias("row_key"))
+    days = timeline.timeline(spark, range(6))
+    scaler = scaling.MinMax((("a", 0.0, 6.0),))
+    stages = {"tree": (models.forest(["a"], trees=3, depth=4), None)}
+
+    def scored(at_once):
+        out = adaptive_experiment.adaptive_scores(rows, rows, days, scaler, F.col("row_key"), stages, at_once=at_once)
+        return sorted(map(tuple, out.groupBy("model", "day", "target", "predicted").count().collect()))
+
+    together = scored(3)
+    assert together == scored(1) and {r[1] for r in together} == {3, 4, 5}
+    assert all(r[2] == r[3] for r in together)
