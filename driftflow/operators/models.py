@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftflow.operators.network import Network, NetworkModel
+
 THRESHOLD = 0.5
 
 
@@ -34,7 +36,7 @@ def perceptron(features: Sequence[str], hidden: Sequence[int] = (128, 64), itera
         maxIter=iterations, seed=seed))
 
 
-def fit(stages: Pipeline, train: DataFrame) -> PipelineModel:
+def fit(stages: Pipeline | Network, train: DataFrame) -> PipelineModel | NetworkModel:
     """Fit on rows with a ``target`` of 0 or 1. Stating the two classes spares the job
     that looks for them and keeps a one-class training set valid."""
     two_classes = {"ml_attr": {"type": "nominal", "name": "target", "vals": ["0", "1"]}}
@@ -46,7 +48,7 @@ def over_threshold(probability: Column, threshold: float = THRESHOLD) -> Column:
     return (probability >= threshold).cast("int")
 
 
-def score(model: PipelineModel, rows: DataFrame, name: str, keep: Sequence[str] = ("day",),
+def score(model: PipelineModel | NetworkModel, rows: DataFrame, name: str, keep: Sequence[str] = ("day",),
           threshold: float | None = None) -> DataFrame:
     """``(model, keep..., target, predicted)``. Without a threshold the model's own vote
     counts, in which a tie goes to class 0."""
@@ -54,5 +56,8 @@ def score(model: PipelineModel, rows: DataFrame, name: str, keep: Sequence[str]
     if threshold is None:
         predicted = F.col("prediction").cast("int")
     else:
-        predicted = over_threshold(vector_to_array("probability")[1], threshold)
+        parts = F.col("probability")
+        if scored.schema["probability"].dataType.typeName() != "array":
+            parts = vector_to_array(parts)
+        predicted = over_threshold(parts[1], threshold)
     return scored.select(F.lit(name).alias("model"), *keep, "target", predicted.alias("predicted"))

@@ -387,7 +387,7 @@ ORACLES["static_sets"] = _with(LINEITEM, _days("l")) + (
 # The models' target is a rule on one feature, so every row is scored and none wrongly.
 _ruled = ("SELECT '{model}' AS model, day, count(*) FILTER (l_discount < 0.05) AS tn, 0::BIGINT AS fp, 0::BIGINT AS fn,\n"
           "  count(*) FILTER (l_discount >= 0.05) AS tp FROM l JOIN days USING (day) WHERE role = 'future' GROUP BY day")
-for _name, _model in (("static_forest", "forest"), ("static_mlp", "perceptron")):
+for _name, _model in (("static_forest", "forest"), ("static_mlp", "perceptron"), ("static_network", "network")):
     ORACLES[_name] = _with(LINEITEM, _days("l")) + _ruled.format(model=_model)
 for _name, _model in (("adaptive_forest", "forest"), ("adaptive_mlp", "perceptron")):
     ORACLES[_name] = (

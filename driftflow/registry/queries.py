@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftflow.functions import scalars as S
 from driftflow.operators import (
-    balancing, cleaning, copula, distribution, drift, evaluation, models, sampling, scaling, timeline, training,
+    balancing, cleaning, copula, distribution, drift, evaluation, models, network, sampling, scaling, timeline, training,
 )
 from driftflow.plans import adaptive_experiment, ingest, static_drift, static_experiment
 from driftflow.registry import fixtures as X
@@ -541,7 +541,9 @@ def _rule_lineitem(spark, sf):
 def _stages(kind, features):
     """Full models: 100 trees of depth 25, or hidden layers of 128 and 64."""
     return {"forest": {"forest": (models.forest(features), None)},
-            "perceptron": {"perceptron": (models.perceptron(features), models.THRESHOLD)}}[kind]
+            "perceptron": {"perceptron": (models.perceptron(features), models.THRESHOLD)},
+            # More passes in smaller steps than the default: the rule is learned without a mistake.
+            "network": {"network": (network.Network(tuple(features), dropout=0.0, epochs=40, batch=256), models.THRESHOLD)}}[kind]
 
 
 def _static(spark, sf, kind):
@@ -560,6 +562,11 @@ def static_mlp(spark, sf):
     return _static(spark, sf, "perceptron")
 
 
+@query
+def static_network(spark, sf):
+    return _static(spark, sf, "network")
+
+
 def _adaptive(spark, sf, kind):
     table, days, scaler, balanced = _rule_lineitem(spark, sf)
     found = adaptive_experiment.adaptive_experiment(
