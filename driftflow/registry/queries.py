@@ -543,7 +543,7 @@ def _stages(kind, features):
     return {"forest": {"forest": (models.forest(features), None)},
             "perceptron": {"perceptron": (models.perceptron(features), models.THRESHOLD)},
             # More passes in smaller steps than the default: the rule is learned without a mistake.
-            "network": {"network": (network.Network(tuple(features), dropout=0.0, epochs=40, batch=256), models.THRESHOLD)}}[kind]
+            "network": {"network": (network.Network(tuple(features), dropout=0.0, epochs=12, batch=64, rate=0.01), models.THRESHOLD)}}[kind]
 
 
 def _static(spark, sf, kind):
