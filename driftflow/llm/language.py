@@ -6,7 +6,8 @@ machines, one against the rest, choose the family; within it every two languages
 machine of their own and the language of most votes wins.
 
 The machines are fitted on at most about ``per_language`` texts of each language (chosen by
-a hash of the text), so what the driver holds does not grow with the corpus.
+a hash of the text, equal texts once), so what the driver holds does not grow with the corpus.
+Every language is learned; beyond ``SAMPLE / per_language`` of them each has fewer texts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from driftflow.llm.linear import sigmoid, support_vectors
 
 SLOTS = 4096
 PER_LANGUAGE = 500
-LANGUAGES = 200
+# Texts of all languages together, and of one at least.
+SAMPLE = 100_000
+LEAST_PER_LANGUAGE = 20
 UNKNOWN = "und"
 # Languages that are not listed are families of their own.
 FAMILIES = {
@@ -97,19 +100,18 @@ class LanguageId:
 
     @classmethod
     def fit(cls, docs: DataFrame, families: Mapping = FAMILIES, per_language: int = PER_LANGUAGE) -> LanguageId:
-        """Learn from ``text`` and ``lang``; rows without a language or letters are left out.
-
-        The ``LANGUAGES`` most frequent languages are learned."""
+        """Learn from ``text`` and ``lang``; rows without a language or letters are left out."""
         usable = docs.select("text", F.col("lang").cast("string").alias("lang")).where(
             F.col("lang").isNotNull() & has_letters(F.col("text")))
-        counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().orderBy(
-            F.desc("count"), "lang").limit(LANGUAGES).collect()}
+        counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
         languages = sorted(counts)
         if not languages:
             return cls([], [], np.zeros((0, SLOTS + 1)), {})
+        per_language = min(per_language, max(LEAST_PER_LANGUAGE, SAMPLE // len(languages)))
         part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
         most = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, per_language / n)])
         sample = usable.where(part < F.try_element_at(most, F.col("lang"))).select("lang", F.lower("text").alias("text"))
+        sample = sample.withColumn("hash", F.xxhash64("text")).dropDuplicates(["lang", "hash"])
         rows = sample.mapInArrow(_profile_rows, "lang string, profile binary").toArrow()
         label = np.array([languages.index(x) for x in rows["lang"].to_pylist()], np.int64)
         x = np.array([np.frombuffer(p, np.float16) for p in rows["profile"].to_pylist()], np.float32).reshape(-1, SLOTS)

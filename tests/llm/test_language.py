@@ -80,3 +80,12 @@ def test_held_out_rows(spark):
     rows = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long")
     got = {r.doc_id: r.h for r in rows.select("doc_id", language.held_out(F.col("doc_id"), 3, 1).alias("h")).collect()}
     assert got == {i: zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 1 for i in [*range(50), None]}
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any list has, each with words of its own; one text of them a third of all rows."""
+    rows = [(f"l{i:03d}", " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{'aeiou'[k % 5]}x{k % 3}" for k in range(j, j + 12)))
+            for i in range(260) for j in range(3)]
+    rows += [rows[0]] * 400
+    model = language.LanguageId.fit(spark.createDataFrame(rows, "lang string, text string").repartition(4))
+    assert len(model.languages) == 260 and len(model.families) == 260
