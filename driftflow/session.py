@@ -64,9 +64,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows out to all cores if they come in fewer parts than there are, as from one file that can't be
-    split. A table of more parts is left as it is."""
+    split. A table of more parts is left as it is, and so is one that a shuffle deals out anyway; looking runs
+    no job."""
+    plan = df._jdf.queryExecution()
+    if plan.executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+        return df
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    return df.repartition(wanted) if plan.toRdd().getNumPartitions() < wanted else df
 
 
 def discard(spark: SparkSession, path: str) -> None:

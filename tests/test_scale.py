@@ -62,3 +62,11 @@ def test_small_tables_are_told_by_their_size(spark):
     assert "ResolvedHint" in hinted._jdf.queryExecution().analyzed().toString()
     big = session.small_table(spark.range(5), limit_mb=0)
     assert "ResolvedHint" not in big._jdf.queryExecution().analyzed().toString() and big.count() == 5
+
+
+def test_few_parts_are_dealt_out_and_many_left(spark):
+    few, many = spark.range(100).coalesce(1), spark.range(100).repartition(3)
+    assert session.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert session.spread(many) is many
+    wide = spark.range(0, 100, 1, 50)
+    assert session.spread(wide) is wide
