@@ -146,34 +146,81 @@ def _angle(cos: Column) -> Column:
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
 
 
+class _Reach:
+    """Whether members of two balls may be linked, and whether they all are, by the angle of their leaders."""
+
+    def __init__(self, similar: float):
+        self.similar, self.limit = similar, math.acos(similar)
+
+    def __call__(self, cos: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        angle = np.arccos(np.clip(cos, -1, 1))
+        near = np.where(radii == 0, cos >= self.similar, angle - radii <= self.limit + MARGIN)
+        return near, near & ((radii == 0) | (angle + radii <= self.limit - MARGIN))
+
+
+_PAIRS = "p long, q long, sure boolean"
+
+
+def _pair_batch(one: np.ndarray, other: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other), pa.int64()), pa.array(np.maximum(one, other), pa.int64()),
+                                       pa.array(sure, pa.bool_())], names=["p", "q", "sure"])
+
+
+def _near_in_small(similar: float):
+    """Pairs of balls of the same bucket that may be linked; rows come bucket by bucket, whole buckets are looked
+    at together by comparing each row with the 1st, 2nd, ... after it."""
+    reach = _Reach(similar)
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, ball, radius = (table.column(c).to_numpy() for c in ("bucket", "ball", "radius"))
+        for rows, unit in units(table.column("vector")):
+            first = np.arange(len(rows) - 1)
+            step = 0
+            while len(first):
+                step += 1
+                first = first[first + step < len(rows)]
+                first = first[bucket[rows[first]] == bucket[rows[first + step]]]
+                a, b = rows[first], rows[first + step]
+                near, sure = reach(np.einsum("ij,ij->i", unit[first], unit[first + step]), radius[a] + radius[b])
+                if near.any():
+                    yield _pair_batch(ball[a[near]], ball[b[near]], sure[near])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table]).combine_chunks()
+            if table.num_rows:
+                bucket = table.column("bucket").to_numpy()
+                whole = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
+                yield from pairs(table.slice(0, whole).combine_chunks())
+                rest = table.slice(whole)
+        if rest is not None:
+            yield from pairs(rest.combine_chunks())
+    return run
+
+
 def _near_balls(similar: float):
-    """Pairs of balls in two blocks of one bucket whose members may be linked. ``sure``: they all are."""
-    limit = math.acos(similar)
+    """Pairs of balls in two blocks of one bucket that may be linked. ``sure``: all their members are."""
+    reach = _Reach(similar)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ball, radius, block = (table.column(c).to_numpy() for c in ("ball", "radius", "block"))
         two = table.column("two")[0].as_py()
-        found = [[], [], []]
+        found = []
         for rows, unit in units(table.column("vector")):
             first = np.flatnonzero(block[rows] == block.min())
             other = np.flatnonzero(block[rows] != block.min()) if two else first
             for at in range(0, len(first), 256):
                 mine = first[at:at + 256]
-                cos = unit[mine] @ unit[other].T
-                reach = radius[rows[mine]][:, None] + radius[rows[other]][None, :]
-                angle = np.arccos(np.clip(cos, -1, 1))
-                points = reach == 0
-                near = np.where(points, cos >= similar, angle - reach <= limit + MARGIN)
+                near, sure = reach(unit[mine] @ unit[other].T, radius[rows[mine]][:, None] + radius[rows[other]][None, :])
                 if not two:
                     near &= ball[rows[mine]][:, None] < ball[rows[other]][None, :]
                 i, j = np.nonzero(near)
-                one, last = ball[rows[mine[i]]], ball[rows[other[j]]]
-                found[0].append(np.minimum(one, last))
-                found[1].append(np.maximum(one, last))
-                found[2].append(points[i, j] | (angle + reach <= limit - MARGIN)[i, j])
-        return pa.table({"p": pa.array(np.concatenate(found[0]), pa.int64()), "q": pa.array(np.concatenate(found[1]), pa.int64()),
-                         "sure": pa.array(np.concatenate(found[2]), pa.bool_())})
+                found.append(_pair_batch(ball[rows[mine[i]]], ball[rows[other[j]]], sure[i, j]))
+        return pa.Table.from_batches(found, schema=_pair_batch(*[np.zeros(0, np.int64)] * 2, np.zeros(0, bool)).schema)
     return run
 
 
@@ -243,10 +290,12 @@ def link(vectors: DataFrame, similar: float = SIMILAR, miss: float = MISS, width
     at = members.select("bucket", "node").join(ball_of.select("node", "ball"), "node").select("bucket", "ball").distinct()
     several = at.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     dealt = _blocks(at.join(several, "bucket"), F.col("n"), F.col("ball"), block).join(balls.drop("rows"), "ball")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    small = dealt.where("blocks = 1").select("bucket", "ball", "radius", "vector").repartition("bucket").sortWithinPartitions("bucket")
+    large = dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", "ball", "radius", "vector", "block", F.least("block", "other").alias("one"),
         F.greatest("block", "other").alias("last"), (F.col("block") != F.col("other")).alias("two"))
-    met = dealt.groupBy("bucket", "one", "last").applyInArrow(_near_balls(similar), "p long, q long, sure boolean")
+    met = small.mapInArrow(_near_in_small(similar), _PAIRS).unionByName(
+        large.groupBy("bucket", "one", "last").applyInArrow(_near_balls(similar), _PAIRS))
     met = settle(met.distinct(), "ball-pairs")
     both = met.unionByName(met.select(F.col("q").alias("p"), F.col("p").alias("q"), "sure"))
     held = balls.select(F.col("ball").alias("q"), "rows", "radius", F.col("vector").alias("y"))
