@@ -226,6 +226,9 @@ ORACLES["zero_variance_features"] = _with(LINEITEM) + "SELECT ord, feature FROM
 ORACLES["scaler_fit"] = _with(LINEITEM, _days("l")) + "\nUNION ALL ".join(
     f"SELECT CAST({i} AS INT) AS ord, '{f}' AS feature, min({f}) AS \"min\", max({f}) AS \"max\" FROM l\n"
     "  WHERE day IN (SELECT day FROM days WHERE role = 'baseline')" for i, f in enumerate(L_FEATURES))
+ORACLES["scaler_state"] = _with(LINEITEM) + (
+    "SELECT 'before' AS step, false AS found, 0::BIGINT AS features\nUNION ALL SELECT 'after', true, "
+    + " + ".join(f"CAST(min({f}) IS NOT NULL AS BIGINT)" for f in L_FEATURES) + " FROM l")
 ORACLES["retained_feature_count"] = _with(VECTORS, _days("v")) + (
     "SELECT count(*) AS features FROM (\n  " + "\n  UNION ALL ".join(
         f"SELECT var_samp({f}) AS spread FROM v WHERE day IN (SELECT day FROM days WHERE role = 'baseline')"
@@ -387,7 +390,7 @@ ORACLES["static_sets"] = _with(LINEITEM, _days("l")) + (
 # The models' target is a rule on one feature, so every row is scored and none wrongly.
 _ruled = ("SELECT '{model}' AS model, day, count(*) FILTER (l_discount < 0.05) AS tn, 0::BIGINT AS fp, 0::BIGINT AS fn,\n"
           "  count(*) FILTER (l_discount >= 0.05) AS tp FROM l JOIN days USING (day) WHERE role = 'future' GROUP BY day")
-for _name, _model in (("static_forest", "forest"), ("static_mlp", "perceptron"), ("static_network", "network")):
+for _name, _model in (("static_forest", "forest"), ("static_forest_grown", "grown_forest"), ("static_mlp", "perceptron"), ("static_network", "network")):
     ORACLES[_name] = _with(LINEITEM, _days("l")) + _ruled.format(model=_model)
 for _name, _model in (("adaptive_forest", "forest"), ("adaptive_mlp", "perceptron")):
     ORACLES[_name] = (

@@ -207,6 +207,24 @@ def scaler_fit(spark, sf):
     return state.load_scaler(spark, path)
 
 
+@query
+def scaler_state(spark, sf):
+    """The state is asked for before the baseline is fitted, which raises, and after."""
+    table = X.lineitem_days(spark, sf)
+    path = fresh_path(spark, "scaler")
+    try:
+        before = state.load_scaler(spark, path)
+    except FileNotFoundError:
+        before = None
+    state.save_scaler(static_drift.baseline_scaler(table, timeline.timeline_of(table), X.L_FEATURES), path)
+    steps = [(name, found) for name, found in (("before", before), ("after", state.load_scaler(spark, path)))]
+    rows = [spark.range(1).select(F.lit(name).alias("step"), F.lit(False).alias("found"), F.lit(0).cast("bigint").alias("features"))
+            if found is None else
+            found.agg(F.count(F.lit(1)).alias("features")).select(F.lit(name).alias("step"), F.lit(True).alias("found"), "features")
+            for name, found in steps]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def retained_feature_count(spark, sf):
     table = X.vector_days(spark, sf)
@@ -541,6 +559,7 @@ def _rule_lineitem(spark, sf):
 def _stages(kind, features):
     """Full models: 100 trees of depth 25, or hidden layers of 128 and 64."""
     return {"forest": {"forest": (models.forest(features), None)},
+            "grown_forest": {"grown_forest": (models.GrownForest(tuple(features)), None)},
             "perceptron": {"perceptron": (models.perceptron(features), models.THRESHOLD)},
             # More passes in smaller steps than the default: the rule is learned without a mistake.
             "network": {"network": (network.Network(tuple(features), dropout=0.0, epochs=12, batch=64, rate=0.01), models.THRESHOLD)}}[kind]
@@ -557,6 +576,11 @@ def static_forest(spark, sf):
     return _static(spark, sf, "forest")
 
 
+@query
+def static_forest_grown(spark, sf):
+    return _static(spark, sf, "grown_forest")
+
+
 @query
 def static_mlp(spark, sf):
     return _static(spark, sf, "perceptron")

@@ -145,3 +145,27 @@ def test_days_are_fitted_at_the_same_time(spark):
     together = scored(3)
     assert together == scored(1) and {r[1] for r in together} == {3, 4, 5}
     assert all(r[2] == r[3] for r in together)
+
+
+def test_a_forest_grown_in_steps_goes_on_where_it_was(spark, tmp_path):
+    rows = [(1, float(i % 10), float(i % 7), int(i % 10 >= 5)) for i in range(200)]
+    train = spark.createDataFrame(rows, "day int, a double, b double, target int")
+    kept = str(tmp_path / "forest")
+    half = models.fit(models.GrownForest(("a", "b"), trees=5, step=3, depth=4, path=kept), train)
+    assert (half.trees, [p.getNumTrees for p in half.parts]) == (5, [3, 2])
+    (tmp_path / "forest" / "step=1" / "data" / "_SUCCESS").unlink()  # a run that died while it wrote its second step
+    full = models.fit(models.GrownForest(("a", "b"), trees=9, step=3, depth=4, path=kept), train)
+    assert [p.getNumTrees for p in full.parts] == [3, 3, 3]
+    assert full.parts[0].toDebugString.split("\n")[1:] == half.parts[0].toDebugString.split("\n")[1:]
+    out = models.score(full, train, "grown").collect()
+    assert len(out) == 200 and all(r.target == r.predicted for r in out)
+    # Votes are the sums of the steps' votes, as one forest of all trees would have them.
+    got = full.transform(train).select("a", "b", "probability").distinct().collect()
+    vector = models._vector(("a", "b")).transform(train.select("a", "b").distinct())
+    want = {}
+    for part in full.parts:
+        for r in part.transform(vector).collect():
+            want[r.a, r.b] = want.get((r.a, r.b), 0) + r.rawPrediction[1] / full.trees
+    assert {(r.a, r.b): round(r.probability[1], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    more = half.grow(models.GrownForest(("a", "b"), trees=5), train)
+    assert more.trees == 5
