@@ -31,7 +31,7 @@ def model(spark):
 
 def told(frame, model):
     said = frame.select("doc_id", "text", model.predict(F.col("text")).alias("told"))
-    return said.select("doc_id", "text", F.col("told.lang").alias("guess"), "told.score")
+    return said.select("doc_id", "text", F.col("told.lang").alias("guess"), "told.score", "told.familiar")
 
 
 def test_languages_not_seen_before(spark, model):
@@ -89,3 +89,78 @@ def test_every_language_is_learned(spark):
     rows += [rows[0]] * 400
     model = language.LanguageId.fit(spark.createDataFrame(rows, "lang string, text string").repartition(4))
     assert len(model.languages) == 260 and len(model.families) == 260
+
+
+def plain_runs(text):
+    """Hash of every run of 1 to 3 characters that does not lie in blanks only, by its definition."""
+    codes = [ord(c) if c.isalpha() else 32 for c in text.lower()]
+    out = {1: [], 2: [], 3: []}
+    for at in range(len(codes)):
+        mixed = 0
+        for size in (1, 2, 3):
+            if at + size > len(codes):
+                break
+            mixed = ((mixed + codes[at + size - 1] * int(language._FACTORS[size - 1])) % 2**32 * 0x27D4EB2F) % 2**32
+            mixed ^= mixed >> 15
+            if any(c != 32 for c in codes[at:at + size]):
+                out[size].append(mixed)
+    return out
+
+
+def plain_guess(model, text):
+    """Family machines, then a vote of every two languages, with plain loops."""
+    runs = plain_runs(text)
+    counts = [0.0] * language.SLOTS
+    for size in (1, 2, 3):
+        for mixed in runs[size]:
+            counts[mixed >> 20] += 1
+    norm = sum(counts) ** 0.5
+    x = [c ** 0.5 / norm for c in counts] + [1.0]
+
+    def power(w):
+        return sum(a * float(b) for a, b in zip(x, w) if a)
+
+    chosen = max(range(len(model.families)), key=lambda f: power(model.family[f]))
+    members = model.families[chosen]
+    votes = {m: 0.0 for m in members}
+    for i, a in enumerate(members):
+        for b in members[i + 1:]:
+            votes[a if power(model.pairs[a, b]) >= 0 else b] += 1
+    best = max(members, key=lambda m: votes[m])
+    slots = [mixed >> 32 - language.RUN_BITS for mixed in runs[3]]
+    seen = sum(int(model.known[best][slot >> 5]) >> (slot & 31) & 1 for slot in slots)
+    return model.languages[best], (seen + language.BENEFIT) / (len(slots) + language.BENEFIT)
+
+
+def test_predictions_are_those_of_plain_loops(spark, model):
+    rows = [*sample(60, 7), (100, "x", None), (101, "Straße 12, ÉTÉ!", None), (102, "zz " * 40, None)]
+    out = {r.doc_id: r for r in told(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+    for i, text, _ in rows:
+        guess, familiar = plain_guess(model, text)
+        assert (out[i].guess, out[i].familiar) == (guess, pytest.approx(familiar, abs=1e-12)), text
+
+
+def test_known_runs_are_those_of_the_texts_learned_from(spark):
+    rows = sample(80, 8)
+    model = LanguageId.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for i, code in enumerate(model.languages):
+        want = {mixed >> 32 - language.RUN_BITS for _, text, lang in rows if lang == code for mixed in plain_runs(text)[3]}
+        got = {32 * w + b for w, bits in enumerate(model.known[i].tolist()) for b in range(32) if bits >> b & 1}
+        assert got == want
+
+
+def test_foreign_texts_and_noise_are_not_familiar(spark, model):
+    import corpus_pipeline
+
+    foreign = ["W Szczebrzeszynie chrząszcz brzmi w trzcinie i Szczebrzeszyn z tego słynie", "zzz qqq xkcd vvv jjq",
+               "日本語の文章はここにあります", "Мама мыла раму, а папа читал газету"]
+    clean = [(i, t, lang) for i, t, lang in sample(200, 9)]
+    short = [(1000 + i, " ".join(t.split()[:3]), lang) for i, t, lang in clean]
+    rows = clean + short + [(5000 + i, t, None) for i, t in enumerate(foreign)] + [(6000, None, "en"), (6001, "12 -- !", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r.familiar for r in told(docs, model).collect()}
+    assert min(out[i] for i, _, _ in clean + short) >= corpus_pipeline.LEAST_FAMILIAR > max(out[5000 + i] for i in range(len(foreign)))
+    learned = sample(400, 1)
+    kept = corpus_pipeline.language(spark, docs.unionByName(
+        spark.createDataFrame([(10_000 + i, t, lang) for i, t, lang in learned], docs.schema)), "")
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, _ in clean + short} | {10_000 + i for i, _, _ in learned}
