@@ -10,8 +10,8 @@ The smallest line hash of every run is its fingerprint, so equal runs share one.
 whose fingerprint is at two places or more are compared; each is matched with the first place
 it has, and matches that continue each other up and down are joined to one repeat.
 
-With ``long_line``, a line of more words than that is a run by itself as well: it goes if it
-stood earlier, whatever is around it.
+A line of more than ``long_line`` words is a run by itself as well: it goes if it stood earlier,
+whatever is around it, also where it is a document's only line. None leaves such lines to the runs.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from driftflow.session import settle
 
 BLANKS = " \t\r"
 LAST_ID = (1 << 63) - 1
+LONG_LINE = 50
 
 
 def _bare(line: Column) -> Column:
@@ -82,7 +83,7 @@ def long_repeats(docs: DataFrame, long_line: int) -> DataFrame:
     return lines.join(first, "name").where(place > F.col("first")).select("ord", "th", "at")
 
 
-def dedup(docs: DataFrame, run: int = 2, long_line: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, run: int = 2, long_line: int | None = LONG_LINE) -> DataFrame:
     """All rows and columns of ``docs`` as a struct ``row``, with ``n_lines`` (not blank), ``n_removed``, ``kept`` (the text left)."""
     gone = F.flatten(F.collect_list(F.sequence("low", "high")))
     spans = repeats(docs, run).select("ord", "th", "low", "high")

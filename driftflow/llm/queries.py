@@ -117,7 +117,12 @@ later AS (
   SELECT r, pos FROM (
     SELECT r, pos, row_number() OVER (PARTITION BY name ORDER BY ord, r, pos) AS n FROM pairs WHERE name IS NOT NULL)
   WHERE n > 1),
-gone AS (SELECT DISTINCT r, a AS pos FROM (SELECT r, unnest([pos, pos + 1]) AS a FROM later)),
+long_later AS (
+  SELECT r, pos FROM (
+    SELECT r, pos, row_number() OVER (PARTITION BY bare ORDER BY ord, r, pos) AS n FROM solid
+    WHERE len(regexp_extract_all(bare, '[^\x20\x09-\x0D]+')) > 50)
+  WHERE n > 1),
+gone AS (SELECT DISTINCT r, a AS pos FROM (SELECT r, unnest([pos, pos + 1]) AS a FROM later UNION ALL FROM long_later)),
 marked AS (
   SELECT l.r, l.i, l.line, s.pos, g.pos AS dropped
   FROM lines l LEFT JOIN solid s ON s.r = l.r AND s.i = l.i LEFT JOIN gone g ON g.r = l.r AND g.pos = s.pos),
