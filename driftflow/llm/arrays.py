@@ -22,6 +22,10 @@ LOWER[65:91] += 32
 PLAIN = LOWER.copy()
 PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
+# Code points of scripts written without blanks (Thai, Lao, Myanmar, Khmer, kana, Han, further Han): first, last.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF),
+            (0x20000, 0x3FFFF)]
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -82,11 +86,25 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def _unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of, and the byte behind, every character in ``UNSPACED``."""
+    at = np.flatnonzero(data >= 0xE0)
+    wide = data[at] >= 0xF0
+    part = [data[np.minimum(at + k, len(data) - 1)].astype(np.uint32) & 0x3F for k in range(4)]
+    three = (data[at].astype(np.uint32) & 0x0F) << 12 | part[1] << 6 | part[2]
+    code = np.where(wide, (data[at].astype(np.uint32) & 0x07) << 18 | part[1] << 12 | part[2] << 6 | part[3], three)
+    ours = np.zeros(len(at), bool)
+    for low, high in UNSPACED:
+        ours |= (code >= low) & (code <= high)
+    return at[ours], at[ours] + np.where(wide[ours], 4, 3)
+
+
 class Words:
     """Words of a chunk of texts: ``start`` and ``end`` bytes of each, ``first[i]:first[i+1]`` those of text i."""
 
-    def __init__(self, column: pa.Array, table: np.ndarray | None = None):
-        """``table`` maps every byte beforehand (``LOWER``, ``PLAIN``)."""
+    def __init__(self, column: pa.Array, table: np.ndarray | None = None, unspaced: bool = False):
+        """``table`` maps every byte beforehand (``LOWER``, ``PLAIN``); with ``unspaced`` every character of a
+        script written without blanks is a word."""
         self.data, self.offsets = text_bytes(column)
         if table is not None:
             self.data = table[self.data]
@@ -99,6 +117,12 @@ class Words:
             inner = self.offsets[(self.offsets > 0) & (self.offsets < n)]
             opens[inner] |= solid[inner]
             closes[inner - 1] |= solid[inner - 1]
+        if unspaced:
+            at, after = _unspaced(self.data)
+            opens[at], closes[after - 1] = True, True
+            closes[np.maximum(at - 1, 0)] |= solid[np.maximum(at - 1, 0)] & (at > 0)
+            behind = after[after < n]
+            opens[behind] |= solid[behind]
         self.start = np.flatnonzero(opens)
         self.end = np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.start, self.offsets)

@@ -1,8 +1,10 @@
 """Benchmark decontamination: rare seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, in lower case. Seeds are the n-grams of
+Words are runs of letters and digits, in lower case; in scripts written without blanks every
+character is one. Seeds are the n-grams of
 the test items that are rare in the corpus: those in at most ``RARER`` times as many texts as
-the middle one of their item (and a few), so an item leaked everywhere keeps its seeds. A
+the middle one of their item (and a few), so an item leaked everywhere keeps its seeds. An item of
+fewer words is one seed, all of it. A
 shared seed places an item over a passage of a text; the passage, with room for insertions,
 is aligned with the item word by word (+2 for equal words, -1 for different ones and for
 gaps). The score is the best local alignment's as a share of a full copy's.
@@ -28,34 +30,49 @@ SEED = 3
 RARER = 4
 THRESHOLD = 0.4
 MATCH, MISS = 2, -1
+# Pairs aligned at a time: at most as many, and words of items and passages.
 _SCORING = 2048
+_SCORING_WORDS = 1 << 20
+
+
+def _words(batch: pa.RecordBatch) -> arrays.Words:
+    return arrays.Words(batch.column("text"), arrays.PLAIN, unspaced=True)
 
 
 def _item_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.chunks(batches):
-            words = arrays.Words(batch.column("text"), arrays.PLAIN)
+            words = _words(batch)
             hashes = words.hashes()
-            seeds = arrays.grams(hashes, size)
-            counts = np.maximum(words.count - size + 1, 0)
-            full = np.flatnonzero(words.left() >= size)
+            # The whole of a shorter item stands where its only seed would.
+            length = np.minimum(words.count, size)
+            counts = np.where(length > 0, words.count - length + 1, 0)
+            starts = np.flatnonzero(words.left() >= length[words.text_of()])
+            seeds = arrays.ranges_hash(hashes, starts, starts + length[words.text_of()[starts]])
             yield pa.RecordBatch.from_arrays([
                 batch.column("item_id"), arrays.lists(arrays.signed(hashes), words.count, pa.int64()),
-                arrays.lists(arrays.signed(seeds[full]), counts, pa.int64())], names=["item_id", "words", "seeds"])
+                arrays.lists(arrays.signed(seeds), counts, pa.int64())], names=["item_id", "words", "seeds"])
     return run
 
 
-def _hits(size: int, wanted):
+def _hits(sizes: list[int], wanted):
+    """Where seeds of these sizes may stand in a text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.chunks(batches):
-            words = arrays.Words(batch.column("text"), arrays.PLAIN)
-            seeds = arrays.grams(words.hashes(), size)
-            at = np.flatnonzero(bloom.contains(wanted.value, seeds))
-            at = at[words.left()[at] >= size]
-            text = words.text_of()[at]
+            words = _words(batch)
+            hashes, left, owner = words.hashes(), words.left(), words.text_of()
+            places, found = [], []
+            for size in sizes:
+                seeds = arrays.grams(hashes, size)
+                spots = np.flatnonzero(bloom.contains(wanted.value, seeds))
+                spots = spots[left[spots] >= size]
+                places.append(spots)
+                found.append(seeds[spots])
+            at, seed = np.concatenate(places), np.concatenate(found)
+            text = owner[at]
             yield pa.RecordBatch.from_arrays([
                 pa.array(batch.column(c).to_numpy()[text]) for c in ("th", "size")
-            ] + [pa.array((at - words.first[text]).astype(np.int32)), pa.array(arrays.signed(seeds[at]))],
+            ] + [pa.array((at - words.first[text]).astype(np.int32)), pa.array(arrays.signed(seed))],
                 names=["th", "size", "at", "seed"])
     return run
 
@@ -65,7 +82,7 @@ def _word_lists(wanted):
         for batch in arrays.chunks(batches):
             batch = batch.filter(pa.array(bloom.contains(wanted.value, batch.column("th").to_numpy().view(np.uint64))))
             if batch.num_rows:
-                words = arrays.Words(batch.column("text"), arrays.PLAIN)
+                words = _words(batch)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("th"), batch.column("size"),
                     arrays.lists(arrays.signed(words.hashes()), words.count, pa.int64())], names=["th", "size", "text_words"])
@@ -101,11 +118,15 @@ def align(items: pa.Array, passages: pa.Array) -> np.ndarray:
 
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        # Passages of like length together, so that little is padded.
-        order = np.argsort(batch.column("words").value_lengths().to_numpy(), kind="stable")
-        batch = batch.take(pa.array(order))
-        for at in range(0, batch.num_rows, _SCORING):
-            part = batch.slice(at, _SCORING)
+        # Pairs of like length together, so that little is padded.
+        length = sum(batch.column(c).value_lengths().to_numpy().astype(np.int64) for c in ("words", "passage"))
+        order = np.argsort(length, kind="stable")
+        batch, length = batch.take(pa.array(order)), length[order]
+        at = 0
+        while at < batch.num_rows:
+            longest = length[min(at + _SCORING, batch.num_rows) - 1]
+            part = batch.slice(at, int(max(1, min(_SCORING, _SCORING_WORDS // max(1, longest)))))
+            at += part.num_rows
             items = part.column("words")
             score = align(items, part.column("passage")) / (MATCH * items.value_lengths().to_numpy())
             yield pa.RecordBatch.from_arrays(
@@ -123,15 +144,18 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size:
     """``th, size, item_id, score, low`` of texts that hold (an edited copy of) a test item: the best
     alignment of each pair, and the word of the text at which its passage begins.
 
-    Null ids are ids like others. Items of fewer than ``size`` words have no seeds and are never found; null texts are skipped.
+    Null ids are ids like others. Items of fewer than ``size`` words are found where all their words stand
+    in a row; items without words are never found, and null texts are skipped.
     """
     tests = settle(items.select("item_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(
         _item_rows(size), "item_id long, words array<long>, seeds array<long>").withColumn(
         "item", F.monotonically_increasing_id()), "items")
+    # Of at most ``size`` values.
+    sizes = sorted(r.n for r in tests.select(F.least(F.size("words"), F.lit(size)).alias("n")).where("n > 0").distinct().collect())
     spots = tests.select("item", F.size("words").alias("length"), F.posexplode("seeds").alias("item_at", "seed"))
     wanted = bloom.build(spots, "seed")
     texts = _keyed(docs)
-    hits = settle(texts.mapInArrow(_hits(size, wanted), "th long, size int, at int, seed long").distinct(), "hits")
+    hits = settle(texts.mapInArrow(_hits(sizes or [size], wanted), "th long, size int, at int, seed long").distinct(), "hits")
     # Hits that only the filter lets pass are dropped by the joins with the items' seeds.
     spread = hits.groupBy("seed").agg(F.count_distinct("th", "size").alias("texts"))
     known = spots.join(spread, "seed", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))

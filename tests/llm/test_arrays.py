@@ -71,3 +71,12 @@ def test_filter_passes_all_its_keys_and_few_others(spark):
     assert bloom.contains(built.value, keys[2500:]).sum() == 0
     assert table.where(bloom.passes(built, table.k)).count() == 2500
     assert not bloom.contains(bloom.build(table.where("false"), "k").value, keys).any()
+
+
+def test_characters_of_scripts_without_blanks_are_words():
+    texts = ["a日本b c", "日", "ไทย x", "é日é", "", "日本", "𠀀z", "plain words", " 日 ", "日a"]
+    words = arrays.Words(pa.array(texts), unspaced=True)
+    data = "".join(texts).encode()
+    got = [[data[words.start[k]:words.end[k]].decode() for k in range(words.first[i], words.first[i + 1])] for i in range(len(texts))]
+    assert got == [["a", "日", "本", "b", "c"], ["日"], ["ไ", "ท", "ย", "x"], ["é", "日", "é"], [], ["日", "本"], ["𠀀", "z"],
+                   ["plain", "words"], ["日"], ["日", "a"]]

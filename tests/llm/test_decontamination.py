@@ -64,7 +64,7 @@ def test_an_item_in_most_texts_is_still_found(spark, rng):
     item = " ".join(f"q{i}" for i in range(30))
     docs = [(n, f"{n} {n + 1} {item} {n}") for n in range(200)] + [(300, "clean text of no item")]
     found = decontamination.found_in(spark.createDataFrame(docs, "doc_id long, text string"),
-                                     spark.createDataFrame([(1, item), (2, None), (3, "too short")], "item_id long, text string"))
+                                     spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, " -- ")], "item_id long, text string"))
     assert {r.doc_id for r in found.collect()} == set(range(200))
 
 
@@ -76,3 +76,38 @@ def test_odd_rows(spark, odd, clashing, nothing):
     assert decontamination.found_in(nothing, items).count() == 0
     assert decontamination.found_in(odd, items.where("false")).count() == 0
     assert np.isfinite([r.score for r in got.collect()]).all()
+
+
+def test_items_shorter_than_a_seed_are_found_whole(spark):
+    items = [(1, "Xylo"), (2, "two words"), (3, "three of them"), (4, None), (5, "...")]
+    docs = [(1, "a xylo here"), (2, "two other words"), (3, "Two, words!"), (4, "xylophone two"), (5, "so three of them two words"),
+            (6, "words two"), (7, "xylo"), (8, None), (9, "")]
+    found = decontamination.found_in(spark.createDataFrame(docs, "doc_id long, text string"),
+                                     spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.score) for r in found.collect()} == {(1, 1, 1.0), (7, 1, 1.0), (3, 2, 1.0), (5, 2, 1.0), (5, 3, 1.0)}
+
+
+def test_items_in_a_script_without_blanks(spark, rng):
+    def han(n):
+        return "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    item, other = han(40), han(40)
+    edited = item[:10] + "文" + item[11:20] + item[22:]
+    docs = [(1, han(100) + item + han(50)), (2, han(30) + edited + han(30)), (3, han(200)), (4, "x" + other + "y ไทย"), (5, item[:10] + han(90))]
+    found = decontamination.found_in(spark.createDataFrame(docs, "doc_id long, text string"),
+                                     spark.createDataFrame([(1, item), (2, other)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 1), (4, 2)}
+
+
+def test_a_very_long_item_is_aligned_in_pieces_of_bounded_size(spark, rng, monkeypatch):
+    sizes, plain = [], decontamination.align
+    monkeypatch.setattr(decontamination, "align", lambda a, b: sizes.append((len(a), len(a) * (
+        a.value_lengths().to_numpy().max() + b.value_lengths().to_numpy().max()))) or plain(a, b))
+    lengths = [2, 3, 3000, 5, 900, 1, *[7] * 5000]
+    words = [list(range(i, i + n)) for i, n in enumerate(lengths)]
+    rows = pa.RecordBatch.from_pydict({
+        "th": list(range(len(words))), "size": [1] * len(words), "item_id": list(range(len(words))), "low": [0] * len(words),
+        "words": words, "passage": [w + [-1] for w in words]})
+    monkeypatch.setattr(decontamination, "_SCORING_WORDS", 5000)
+    out = [r for b in decontamination._scores(iter([rows])) for r in b.to_pylist()]
+    assert sorted(r["th"] for r in out) == list(range(len(words))) and all(r["score"] == 1 for r in out)
+    assert max(w for n, w in sizes if n > 1) <= 2 * 5000
