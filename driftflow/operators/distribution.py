@@ -27,6 +27,9 @@ ROWS_PER_BUCKET = 50_000
 # Quantiles a grid is made from, at least: a value that more than 2 in so many rows share is told apart.
 QUANTILES = 256
 SAMPLE_PER_BUCKET = 200
+# Ranges of a feature, at most. Cut points are part of plans and sent to all tasks, so their number has a bound
+# whatever the rows; a range of a longer table holds more of them, which are sorted with spilling.
+MOST_RANGES = 1_024
 
 # Ascending cut points per feature.
 Cuts = dict[str, list[float]]
@@ -46,9 +49,9 @@ def value_counts(long: DataFrame) -> DataFrame:
 
 
 def value_cuts(long: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = 42) -> Cuts:
-    """Cut points that split each feature into ``QUANTILES`` ranges, or as many more as it takes for about
-    ``rows_per_bucket`` rows in each, and give every value that many rows share a range of its own. A feature
-    with no more rows than that has none.
+    """Cut points that split each feature into ``QUANTILES`` ranges, or as many more (up to ``MOST_RANGES``) as it
+    takes for about ``rows_per_bucket`` rows in each, and give every value that many rows share a range of its
+    own. A feature with no more rows than that has none.
 
     One pass counts the rows and takes ``QUANTILES`` quantiles, from sketches that are merged from those of all
     tasks. Only features that need more ranges than that are looked at again, for as many quantiles as they
@@ -56,8 +59,7 @@ def value_cuts(long: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, seed: in
     first = long.groupBy("feature").agg(
         F.count(F.lit(1)).alias("rows"), F.percentile_approx("value", _shares(QUANTILES), 4 * QUANTILES).alias("at")).collect()
     rows = {r["feature"]: r["rows"] for r in first}
-    buckets = {f: math.ceil(n / rows_per_bucket) for f, n in rows.items()}
-    buckets = {f: k for f, k in buckets.items() if k > 1}
+    buckets = {f: min(math.ceil(n / rows_per_bucket), MOST_RANGES) for f, n in rows.items() if n > rows_per_bucket}
     quantiles = {r["feature"]: r["at"] for r in first}
     finest = max(buckets.values(), default=0)
     if finest > QUANTILES:

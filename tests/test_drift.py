@@ -89,6 +89,19 @@ def test_buckets_hold_what_lies_between_their_cuts(spark):
         assert r["bucket"] == want
 
 
+def test_ranges_have_a_bound_whatever_the_rows(spark):
+    """Cut points are part of plans: a longer table has more rows in a range, not more ranges, and the same result."""
+    values, moved = rng.random(6000), rng.random(5000) * 1.2
+    long = long_table(spark, {1: {"x": values}, 2: {"x": moved}}).cache()
+    cuts = D.value_cuts(long, 2)
+    assert D.QUANTILES <= len(cuts["x"]) <= 2 * D.MOST_RANGES
+    edges = D.quantile_edges(long, by=["day"], cuts=cuts).where("day = 1").first()["edges"]
+    assert edges == pytest.approx(list(np.percentile(values, np.arange(0, 101, 10))), abs=1e-12)
+    got = drift.drift_of_counts(long, pairs(spark), rows_per_bucket=2).first()
+    assert got["wasserstein"] == pytest.approx(wd_by_hand(values, moved), abs=1e-9)
+    assert got["psi"] == pytest.approx(psi_by_hand(values, moved, False), abs=1e-9)
+
+
 def test_places_take_log_steps(spark):
     """A thousand cut points are eleven short columns, in the plan and in the code made of it."""
     long = long_table(spark, {1: {"x": rng.random(500)}})
