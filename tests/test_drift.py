@@ -124,6 +124,22 @@ def test_values_that_many_share_have_buckets_of_their_own(spark):
     assert got == pytest.approx(wd_by_hand(values, values[::2]), abs=1e-12)
 
 
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+def test_rows_at_the_ends_of_buckets_are_narrow(spark):
+    """No array of all cut points goes along with every row that is shuffled and sorted."""
+    long = long_table(spark, {1: {"x": rng.random(500)}, 2: {"x": rng.random(400)}})
+    cuts = D.value_cuts(long, 20)
+    ends = drift._bucket_ends(D.bucket_counts(long, cuts), D.cuts_table(spark, cuts))
+    windows = [n for n in _nodes(ends._jdf.queryExecution().sparkPlan()) if n.nodeName() == "Window"]
+    assert windows and all(kind not in w.schema().json() for w in windows for kind in ('"array"', '"map"'))
+    assert ends.count() == 2 * 2 * len(cuts["x"])
+
+
 def test_identical_shifted_and_two_point(spark):
     base = {"same": [1, 2, 3, 4], "moved": [1, 2, 3, 4], "two": [0, 1]}
     test = {"same": [4, 3, 2, 1], "moved": [3, 4, 5, 6], "two": [0, 0, 1, 1, 1]}
