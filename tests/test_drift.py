@@ -140,6 +140,27 @@ def test_rows_at_the_ends_of_buckets_are_narrow(spark):
     assert ends.count() == 2 * 2 * len(cuts["x"])
 
 
+def test_values_are_sorted_once_for_all_comparisons(spark, monkeypatch):
+    """Rows are not repeated for the comparisons their day is in; longer calendars give the same result."""
+    table = {d: {"x": rng.random(200 + 30 * d) * (1 + d / 9), "y": rng.integers(0, 5, 150)} for d in range(1, 7)}
+    del table[6]["y"]
+    long = long_table(spark, table).cache()
+    rows = [(c, d, "base") for c in (4, 5, 6, 7) for d in range(c - 3, c)] + [(c, c, "test") for c in (4, 5, 6, 7)]
+    cuts = D.value_cuts(long, 20)
+
+    def found():
+        return drift.wasserstein(long, pairs(spark, rows), cuts)
+
+    windows = [n for n in _nodes(found()._jdf.queryExecution().sparkPlan()) if n.nodeName() == "Window"]
+    assert all("cmp" not in n.toString().split("\n")[0] for n in windows)
+    got = {(r["cmp"], r["feature"]): r["wasserstein"] for r in found().collect()}
+    assert set(got) == {(c, f) for c in (4, 5, 6) for f in "xy"} - {(6, "y")}
+    for (c, f), area in got.items():
+        assert area == pytest.approx(wd_by_hand(np.concatenate([table[d][f] for d in range(c - 3, c)]), table[c][f]), abs=1e-9)
+    monkeypatch.setattr(drift, "MOST_COLUMNS", 2)
+    assert {(r["cmp"], r["feature"]): pytest.approx(r["wasserstein"], abs=1e-12) for r in found().collect()} == got
+
+
 def test_identical_shifted_and_two_point(spark):
     base = {"same": [1, 2, 3, 4], "moved": [1, 2, 3, 4], "two": [0, 1]}
     test = {"same": [4, 3, 2, 1], "moved": [3, 4, 5, 6], "two": [0, 0, 1, 1, 1]}
