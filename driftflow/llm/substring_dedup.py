@@ -10,9 +10,9 @@ their ends can the surroundings change a symbol.
 A window of ``length`` words is searched by one of the second-level symbols inside it that
 its surroundings can't change (the one of most words, then of smallest hash) together with
 the symbols beside it. Equal windows choose the same one. A window without such a symbol
-(long runs of one word) is searched by all its words. Windows whose symbol is in two
-documents or more are compared by a hash of all their words and digits of the symbol's, 80
-bits in all.
+(long runs of one word) is searched by all its words. Neighbouring windows that choose the
+same symbol are shuffled together, by it. Where a symbol is in two documents or more, its
+windows are compared by a hash of all their words, 128 bits with the symbol's.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +31,7 @@ from driftflow.session import settle
 
 LENGTH = 13
 LAST_ID = (1 << 63) - 1
-KEYS = pa.schema([("ord", pa.int64()), ("mark", pa.int64())])
-WINDOWS = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("name", pa.int64()), ("tag", pa.int16())])
+PER_RUN = 256
 _PAIR = [np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC3A5C85C97CB3127)]
 
 
@@ -99,42 +99,28 @@ def anchors(words: arrays.Words, hashes: np.ndarray, length: int = LENGTH) -> tu
     return start, np.where(chosen >= 0, mark[chosen], np.uint64(0))
 
 
-def _rows(batch: pa.RecordBatch, length: int):
-    words = arrays.Words(batch.column("text"))
-    hashes = words.hashes()
-    start, mark = anchors(words, hashes, length)
-    name = arrays.grams(hashes, length)[start] if len(start) else mark
-    return words, start, np.where(mark == 0, name, mark), name, words.text_of()[start]
-
-
-def _marks(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.chunks(batches):
-            _, _, mark, _, row = _rows(batch, length)
-            if not len(mark):
-                continue
-            fresh = np.ones(len(mark), bool)
-            fresh[1:] = (mark[1:] != mark[:-1]) | (row[1:] != row[:-1])
-            ids = batch.column("ord").to_numpy()[row[fresh]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(arrays.signed(mark[fresh]))], schema=KEYS)
-    return run
-
-
-def _candidates(length: int, *filters):
-    """Windows whose mark and, with a second filter, whose name pass."""
+def _runs(length: int):
+    """Neighbouring windows of a text that have one mark, ``PER_RUN`` at most, as one row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.chunks(batches):
-            words, start, mark, name, row = _rows(batch, length)
-            keep = np.ones(len(mark), bool)
-            for filter_, keys in zip(filters, (mark, name)):
-                keep &= bloom.contains(filter_.value, keys)
-            start, mark, name, row = (x[keep] for x in (start, mark, name, row))
-            if not len(mark):
+            words = arrays.Words(batch.column("text"))
+            hashes = words.hashes()
+            start, mark = anchors(words, hashes, length)
+            if not len(start):
                 continue
+            name = arrays.grams(hashes, length)[start]
+            mark = np.where(mark == 0, name, mark)
+            row = words.text_of()[start]
+            at = start - words.first[row]
+            fresh = at % PER_RUN == 0
+            fresh[1:] |= mark[1:] != mark[:-1]
+            first = np.flatnonzero(fresh)
+            text = pa.array(row[first])
             yield pa.RecordBatch.from_arrays([
-                pa.array(batch.column("ord").to_numpy()[row]), pa.array(batch.column("th").to_numpy()[row]),
-                pa.array((start - words.first[row]).astype(np.int32)), pa.array(arrays.signed(name)),
-                pa.array((mark >> np.uint64(20)).astype(np.uint16).view(np.int16))], schema=WINDOWS)
+                pa.array(arrays.signed(mark[first])), batch.column("ord").take(text), batch.column("th").take(text),
+                pa.array(at[first].astype(np.int32)),
+                arrays.lists(arrays.signed(name), np.diff(np.append(first, len(start))), pa.int64())],
+                names=["mark", "ord", "th", "at", "names"])
     return run
 
 
@@ -148,17 +134,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     ``ord`` is the id (the largest long for null), ``th`` a hash of the text; rows of equal id are not
     earlier than each other."""
-    texts = _keyed(docs)
-    marks = texts.select("ord", "text").mapInArrow(_marks(length), "ord long, mark long")
-    shared = marks.groupBy("mark").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b")
-    shared = bloom.build(shared, "mark")
-    shape = "ord long, th long, at int, name long, tag short"
-    windows = texts.mapInArrow(_candidates(length, shared), shape)
-    firsts = windows.groupBy("name", "tag").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
-    firsts = settle(firsts.where("first < last").drop("last"), "firsts")
-    # The windows are made anew rather than kept: they are several times as long as what is repeated.
-    again = texts.mapInArrow(_candidates(length, shared, bloom.build(firsts, "name")), shape)
-    return again.join(firsts, ["name", "tag"]).where("ord > first").select("ord", "th", "at")
+    runs = _keyed(docs).mapInArrow(_runs(length), "mark long, ord long, th long, at int, names array<long>")
+    # Both windows are dealt by the mark, so the runs are shuffled once; most marks are in one document alone.
+    one, same = W.partitionBy("mark"), W.partitionBy("mark", "name")
+    shared = runs.withColumns({"low": F.min("ord").over(one), "high": F.max("ord").over(one)}).where("low < high")
+    windows = shared.select("mark", "ord", "th", "at", F.posexplode("names").alias("step", "name"))
+    later = windows.withColumn("first", F.min("ord").over(same)).where("ord > first")
+    return later.select("ord", "th", (F.col("at") + F.col("step")).alias("at"))
 
 
 def _kept(length: int, touched=None):

@@ -71,3 +71,15 @@ def test_odd_rows(odd, clashing, nothing):
     assert rows(out) == brute(plain)
     assert out.select("row.*").columns == [c for c in clashing.columns if c != "text"]
     assert substring_dedup.dedup(nothing).count() == 0
+
+
+def test_windows_are_made_and_shuffled_once(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{k % 97}" for k in range(i, i + 40))) for i in range(20)], "doc_id long, text string")
+    plan = substring_dedup.repeated_windows(docs)._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("MapInArrow"), plan.count("Exchange hashpartitioning")) == (1, 1)
+
+
+def test_long_runs_of_one_mark(spark):
+    """More windows of one mark side by side than a row holds."""
+    docs = [(i, " ".join(["x"] * n + ["a", "b"] + ["x"] * n)) for i, n in enumerate((300, 700, 20, 700))]
+    assert rows(substring_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
