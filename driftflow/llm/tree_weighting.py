@@ -36,9 +36,11 @@ DEEPEST = 5
 FREQUENT = 1 << 18
 FREQUENT_RUNS = 1 << 21
 START, END = 0xFE, 0xFF
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
+_HELD = 1 << 21
 _BLOCK = 1024
 _RUNS = 1 << 16
+_SORTED = 1 << 16
 GRAM, TOKEN = 0, 1
 
 
@@ -61,23 +63,49 @@ def _symbols(column: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray, np.n
 def _codes(column: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The run of ``depth + 1`` symbols at each place to be predicted, as a number, and each text's first place."""
     symbols, at, first = _symbols(column, depth)
-    code = np.zeros(len(at), np.uint64)
-    for k in range(depth, -1, -1):
-        code = (code << np.uint64(8)) | symbols[at - k]
-    return code, first
+    code = symbols.astype(np.uint64)
+    for k in range(1, depth + 1):
+        code[k:] |= symbols[:-k].astype(np.uint64) << np.uint64(8 * k)
+    return code[at], first
+
+
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Several pairs of keys and their counts as one, each key once."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
 
 
 def _count(depth: int):
+    """Counts of chunks are merged here while at most ``_HELD`` keys are held, which costs less than to hand them over."""
+    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(keys), _RUNS):
+            key, times = keys[low:low + _RUNS], n[low:low + _RUNS]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(key), kind, np.int8)), pa.array(arrays.signed(key)),
+                pa.array(times.astype(np.int64))], names=["kind", "key", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {GRAM: [], TOKEN: []}
         for batch in arrays.chunks(batches, limit=_CHUNK):
             column = batch.column("text")
-            code, _ = _codes(column, depth)
-            words = arrays.Words(column, arrays.LOWER)
-            for kind, keys in ((GRAM, code), (TOKEN, words.hashes())):
-                found, n = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(found), kind, np.int8)), pa.array(arrays.signed(found)),
-                    pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+            for kind, parts in held.items():
+                keys = _codes(column, depth)[0] if kind == GRAM else arrays.Words(column, arrays.LOWER).hashes()
+                parts.append(np.unique(keys, return_counts=True))
+                if sum(len(k) for k, _ in parts) > _HELD:
+                    merged = _merged(parts)
+                    parts.clear()
+                    if len(merged[0]) > _HELD // 2:
+                        yield from rows(kind, *merged)
+                    else:
+                        parts.append(merged)
+        for kind, parts in held.items():
+            if parts:
+                yield from rows(kind, *_merged(parts))
     return run
 
 
@@ -353,17 +381,35 @@ def _places(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
 
 
+def _looked_up(code: np.ndarray, known: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log of each run, 0 for those not in the table, and whether it is there.
+
+    A block of runs is sorted with their places in one number (a run has six bytes at most), so that equal
+    runs are searched once and in the table's order."""
+    each, hit = np.zeros(len(code)), np.zeros(len(code), bool)
+    for low in range(0, len(code), _SORTED):
+        part = code[low:low + _SORTED]
+        both = np.sort(part << np.uint64(16) | np.arange(len(part), dtype=np.uint64))
+        key, place = both >> np.uint64(16), low + (both & np.uint64(_SORTED - 1)).astype(np.int64)
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        at, there = _places(arrays.signed(key[fresh]), known)
+        found = np.where(there, logs[at].astype(np.float64), 0.0) if len(known) else np.zeros(len(at))
+        which = np.cumsum(fresh) - 1
+        each[place], hit[place] = found[which], there[which]
+    return each, hit
+
+
 def _added(column: pa.Array, depth: int, known: np.ndarray, logs: np.ndarray):
     """Per text the sum over the runs in the table; the others, each once for a text, how often, and how many a text has."""
     code, first = _codes(column, depth)
-    found, place = np.unique(code, return_inverse=True)
-    keys = arrays.signed(found)
-    at, hit = _places(keys, known)
-    each = np.where(hit, logs[at].astype(np.float64), 0.0) if len(known) else np.zeros(len(keys))
-    spots = np.flatnonzero(~hit[place])
-    pair, times = np.unique((np.searchsorted(first, spots, "right") - 1) * len(found) + place[spots], return_counts=True)
-    n = np.bincount(pair // len(found), minlength=len(first) - 1)
-    return np.add.reduceat(each[place], first[:-1]), keys[pair % len(found)], times, n
+    each, hit = _looked_up(code, known, logs)
+    spots = np.flatnonzero(~hit)
+    found, place = np.unique(code[spots], return_inverse=True)
+    size = max(1, len(found))
+    pair, times = np.unique((np.searchsorted(first, spots, "right") - 1) * size + place, return_counts=True)
+    n = np.bincount(pair // size, minlength=len(first) - 1)
+    return np.add.reduceat(each, first[:-1]), arrays.signed(found)[pair % size], times, n
 
 
 def _score(depth, model, words, whole):

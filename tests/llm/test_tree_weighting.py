@@ -168,3 +168,45 @@ def test_no_context_is_left_out(spark, monkeypatch):
     monkeypatch.setattr(tree, "_RUNS", 500)
     got = {r.doc_id: r.score for r in tree.score(frame, 3).collect()}
     assert np.allclose([got[i] for i in range(20)], model.score(pa.array(texts)), rtol=1e-6)
+
+
+def _column(rng):
+    texts = ["".join(rng.choice("abAé ") for _ in range(rng.randrange(40))) for _ in range(60)] + ["", "a" * 100_000, ""]
+    return pa.array(texts)
+
+
+def test_counts_of_chunks_are_merged_before_they_are_handed_over(monkeypatch):
+    rng = random.Random(5)
+    column = _column(rng)
+    for held in (tree._HELD, 300, 8):
+        monkeypatch.setattr(tree, "_HELD", held)
+        monkeypatch.setattr(tree, "_CHUNK", 500)
+        out = list(tree._count(5)(iter([pa.RecordBatch.from_arrays([column], names=["text"])])))
+        found = Counter()
+        for batch in out:
+            for row in batch.to_pylist():
+                found[row["kind"], row["key"]] += row["n"]
+        wanted = Counter((tree.GRAM, key) for key in tree._codes(column, 5)[0].tolist())
+        words = tree.arrays.Words(column, tree.arrays.LOWER).hashes()
+        wanted += Counter((tree.TOKEN, key) for key in tree.arrays.signed(words).tolist())
+        assert found == wanted
+        rows = sum(batch.num_rows for batch in out)
+        assert rows == len(wanted) if held > 300 else rows >= len(wanted)
+
+
+def test_runs_are_looked_up_by_blocks():
+    rng = random.Random(6)
+    column = _column(rng)
+    code, first = tree._codes(column, 5)
+    assert len(code) > tree._SORTED
+    every = sorted(set(code.tolist()))
+    for known in (every[::2], every, []):
+        logs = [-rng.random() for _ in known]
+        table = dict(zip(known, np.array(logs, np.float32).tolist()))
+        each, hit = tree._looked_up(code, np.array(known, np.int64), np.array(logs, np.float32))
+        assert each.tolist() == [table.get(c, 0.0) for c in code.tolist()] and hit.tolist() == [c in table for c in code.tolist()]
+        added, keys, times, n = tree._added(column, 5, np.array(known, np.int64), np.array(logs, np.float32))
+        assert np.array_equal(added, np.add.reduceat(each, first[:-1]))
+        left = [Counter(c for c in code[a:b].tolist() if c not in table) for a, b in zip(first, first[1:])]
+        assert list(zip(keys.tolist(), times.tolist())) == [x for part in left for x in sorted(part.items())]
+        assert n.tolist() == [len(part) for part in left]
