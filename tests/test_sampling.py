@@ -117,3 +117,25 @@ def test_a_group_of_many_million_rows(spark, monkeypatch):
     hashed = sampling._hashed(table, F.col("id"), 42)
     last = sampling._thresholds(hashed, ["g"], lambda n: F.lit(5_000_000)).first()["_last"]
     assert hashed.where(F.struct("_hash", "_key") <= F.struct(F.lit(last["_hash"]), F.lit(last["_key"]))).count() == 5_000_000
+
+
+def test_keys_of_a_small_sample_are_hashed_once(spark):
+    table = groups(spark, {"a": 20_000, "b": 9_000, None: 5_000}).withColumn("more", F.col("id") + 1)
+    for sample in (sampling.cap_rows(table, 400, ["g"], F.col("id"), seed=5),
+                   sampling.sample_fraction(table, F.lit(400) / F.when(F.col("g") == "a", 20_000).otherwise(9_000), ["g"], F.col("id"), seed=5)):
+        assert sample.columns == table.columns
+        got = taken(sample)
+        assert {g: sorted(ids) for g, ids in got.items()} == {g: sorted(in_hash_order(n, 5)[:400]) for g, n in (("a", 20_000), ("b", 9_000))}
+        assert "md5" not in sample._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_limit_that_is_too_low_is_noticed(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "SPARE", -5)
+    got = taken(sampling.cap_rows(groups(spark, {"a": 20_000}), 400, ["g"], F.col("id"), seed=5))
+    assert sorted(got["a"]) == sorted(in_hash_order(20_000, 5)[:400])
+
+
+def test_equal_keys_at_the_end_of_a_small_sample_are_told(spark):
+    twice = spark.range(2_000).crossJoin(spark.range(2).select()).select(F.lit("a").alias("g"), F.col("id").cast("int").alias("id"))
+    with pytest.raises(Exception, match="does not tell rows apart"):
+        sampling.cap_rows(twice, 25, ["g"], F.col("id")).collect()
