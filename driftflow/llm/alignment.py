@@ -11,8 +11,10 @@ aligned once for all the places they are at. Where that does not hold - characte
 regular expression engines may see differently, other white space before several blanks,
 files of another make - the whole text is one segment.
 
-The first pass writes chunks of whole texts: the tokens of their distinct segments, the
-segments of each text, and the chunk's distinct pairs with the number of documents of each.
+The first pass cuts the distinct segments of a chunk of texts, in slices, and writes the chunk in
+rows of whole texts: the tokens of their distinct segments and the segments of each text, and with
+the last of them the chunk's distinct pairs with the number of documents of each. What a task holds
+beside the text it was sent is bounded by these sizes, or by a text that is longer.
 Distinct pairs of all chunks get a number from a minimal perfect hash: pairs are dealt to
 ``BLOCKS`` blocks, and in each block a cascade of bit vectors gives every pair its own slot,
 with no slot left over. Pairs are counted in dense vectors indexed by that hash, one for a
@@ -60,7 +62,13 @@ FAN_IN = 16
 MOST_SENT = 1_000_000
 # Pairs are dealt to blocks by their rest by this prime.
 _PRIME = 1_000_003
+# Bytes of text of a chunk, characters of segments that the libraries are given at once, and segments of the texts
+# of a written row.
 _CHUNK = 4 << 20
+_SLICE = 1 << 17
+_PIECE = 1 << 17
+# Rows in a written file: what is read of a file at once is bounded whatever a file system's blocks are.
+_ROWS_PER_FILE = 16
 _MARK = "▁"
 
 # --- fixed values: the published byte-level pattern, and the bytes written as the character of the same number ---
@@ -160,23 +168,38 @@ class Cutter:
         plain = [s for s in segments if len(s) > 1 and s.rfind(" ") == 0] if self.apart else []
         if _ODD.search("".join(plain)):
             plain = [s for s in plain if not _ODD.search(s)]
-        joined = self._joined(plain) if plain else None
-        if joined is None:
-            plain, joined = [], [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
-        done = set(plain)
-        others = [s for s in segments if s not in done]
-        if not others:
-            return plain, set(), joined
-        made = [[x.ids for x in self.a.encode_batch(others, add_special_tokens=False)],
-                [[self.blank] if s == " " and self.apart else x for s, x in zip(others, self.b.encode([s[1:] for s in others], num_threads=1))]]
-        wrong = {i for i, s in enumerate(others) if any(
-            b"".join(map(table.__getitem__, ids[i])) != s.encode() for table, ids in zip((self.bytes_a, self.bytes_b), made))}
-        out = []
-        for (ids, n), more in zip(joined, made):
-            more = [[] if i in wrong else x for i, x in enumerate(more)]
-            out.append((np.concatenate([ids, np.fromiter(chain.from_iterable(more), np.int64)]),
-                        np.concatenate([n, np.array([len(x) for x in more], np.int64)])))
-        return plain + others, {len(plain) + i for i in wrong}, out
+        known = set(plain)
+        others = [s for s in segments if s not in known]
+        order, parts = [], []
+        for piece in _slices(plain):
+            joined = self._joined(piece)
+            if joined is None:
+                others += piece
+            else:
+                order += piece
+                parts.append(joined)
+        wrong = set()
+        for piece in _slices(others):
+            made = [[x.ids for x in self.a.encode_batch(piece, add_special_tokens=False)],
+                    [[self.blank] if s == " " and self.apart else x for s, x in zip(piece, self.b.encode([s[1:] for s in piece], num_threads=1))]]
+            bad = {i for i, s in enumerate(piece) if any(
+                b"".join(map(table.__getitem__, ids[i])) != s.encode() for table, ids in zip((self.bytes_a, self.bytes_b), made))}
+            made = [[[] if i in bad else x for i, x in enumerate(ids)] for ids in made]
+            parts.append([(np.fromiter(chain.from_iterable(ids), np.int64), np.array([len(x) for x in ids], np.int64)) for ids in made])
+            wrong |= {len(order) + i for i in bad}
+            order += piece
+        none = np.zeros(0, np.int64)
+        return order, wrong, [tuple(np.concatenate([none, *[part[side][i] for part in parts]]) for i in (0, 1)) for side in (0, 1)]
+
+
+def _slices(segments: list[str]) -> Iterator[list[str]]:
+    """Runs of segments with about ``_SLICE`` characters; a longer segment is taken whole."""
+    ends = np.cumsum([len(s) for s in segments])
+    at = 0
+    while at < len(segments):
+        last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE, "right")))
+        yield segments[at:last]
+        at = last
 
 
 _loaded: dict[tuple[str, str], Cutter] = {}
@@ -269,41 +292,76 @@ def _cut_chunks(path_a: str, path_b: str):
         cut = cutter(path_a, path_b)
         for batch in arrays.chunks(batches, limit=_CHUNK):
             places = _Places()
-            rows = [list(map(places.__getitem__, cut.segments(t))) for t in batch.column("text").to_pylist()]
-            order, wrong, ((a, n_a), (b, n_b)) = cut.cut(list(places))
+            rows = [np.fromiter(map(places.__getitem__, cut.segments(t)), np.int32) for t in batch.column("text").to_pylist()]
+            order, wrong, sides = cut.cut(list(places))
             moved = np.empty(len(places), np.int64)
             moved[[places[x] for x in order]] = np.arange(len(places))
+            del places, order
             n_segments = np.array([len(r) for r in rows], np.int64)
-            segment = moved[np.fromiter(chain.from_iterable(rows), np.int64, int(n_segments.sum()))]
-            doc = np.repeat(np.arange(len(rows)), n_segments)
+            segment = moved[np.concatenate(rows)]
             if wrong:
+                doc = np.repeat(np.arange(len(rows)), n_segments)
                 void = np.zeros(len(rows), bool)
                 void[doc[np.isin(segment, list(wrong))]] = True
-                n_segments = np.where(void, 0, n_segments)
-                doc, segment = doc[~void[doc]], segment[~void[doc]]
-            # Every segment once for each document, every pair once for each document, then counted.
-            doc, once = np.divmod(_distinct(doc * max(len(order), 1) + segment), max(len(order), 1))
-            n_links, pair = Aligned(a, b, n_a, n_b, cut.lengths).links()
-            at = _expanded(once, n_links, np.cumsum(n_links) - n_links)
-            held = _distinct(pair[at] * len(rows) + np.repeat(doc, n_links[once])) // len(rows)
-            pair = _distinct(held)
-            docs = np.diff(np.searchsorted(held, np.append(pair, np.iinfo(np.int64).max)))
-            packed = [x.astype(_kind(n)).tobytes() for x, n in zip([a, b, segment], [*map(len, cut.lengths), len(order)])]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                *[pa.array([n.tolist()], pa.list_(pa.int32())) for n in (n_segments, n_a, n_b)],
-                *[pa.array([x], pa.binary()) for x in packed],
-                pa.array([pair], pa.list_(pa.int64())), pa.array([docs], pa.list_(pa.int32()))],
-                names=["doc_ids", "n_segments", "n_a", "n_b", "a", "b", "segments", "pairs", "docs"])
+                n_segments, segment = np.where(void, 0, n_segments), segment[~void[doc]]
+            del rows
+            ends, firsts = np.cumsum(n_segments), [0]
+            while firsts[-1] < len(ends):
+                first = firsts[-1]
+                firsts.append(max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _PIECE, "right"))))
+            starts, found = [np.cumsum(n) - n for _, n in sides], []
+            for i, (first, last) in enumerate(zip(firsts, firsts[1:])):
+                held = segment[ends[first] - n_segments[first]:ends[last - 1]]
+                columns, pair, docs = _chunk(n_segments[first:last], held, sides, starts, cut.lengths)
+                found.append((pair, docs))
+                behind = len(firsts) - i - 2
+                pair, docs = (np.zeros(0, np.int64),) * 2 if behind else _added(found)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([batch.column("doc_id").slice(first, last - first).to_pylist()], pa.list_(pa.int64())), *columns,
+                    arrays.lists(pair, np.array([len(pair)]), pa.int64()),
+                    arrays.lists(docs.astype(np.int32), np.array([len(docs)]), pa.int32()), pa.array([behind], pa.int64())],
+                    names=["doc_ids", "n_segments", "n_a", "n_b", "a", "b", "segments", "pairs", "docs", "behind"])
     return run
 
 
+def _chunk(n_segments: np.ndarray, segment: np.ndarray, sides: list, starts: list[np.ndarray],
+           lengths: list[np.ndarray]) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+    """Segments and tokens of some of the texts that were cut together, with segments numbered anew, and their
+    distinct pairs with the number of documents of each."""
+    used = _distinct(segment)
+    segment = np.searchsorted(used, segment)
+    (a, n_a), (b, n_b) = ((ids[_expanded(used, n, at)], n[used]) for (ids, n), at in zip(sides, starts))
+    # Every segment once for each document, every pair once for each document, then counted.
+    doc = np.repeat(np.arange(len(n_segments)), n_segments)
+    doc, once = np.divmod(_distinct(doc * max(len(used), 1) + segment), max(len(used), 1))
+    n_links, pair = Aligned(a, b, n_a, n_b, lengths).links()
+    at = _expanded(once, n_links, np.cumsum(n_links) - n_links)
+    held = _distinct(pair[at] * len(n_segments) + np.repeat(doc, n_links[once])) // len(n_segments)
+    pair = _distinct(held)
+    docs = np.diff(np.searchsorted(held, np.append(pair, np.iinfo(np.int64).max)))
+    packed = [x.astype(_kind(n)).tobytes() for x, n in zip([a, b, segment], [*map(len, lengths), len(used)])]
+    return [*[arrays.lists(n.astype(np.int32), np.array([len(n)]), pa.int32()) for n in (n_segments, n_a, n_b)],
+            *[pa.array([x], pa.binary()) for x in packed]], pair, docs
+
+
+def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in ascending order with the sums of their numbers."""
+    pair = _distinct(np.concatenate([p for p, _ in found]))
+    docs = np.zeros(len(pair), np.int64)
+    for p, n in found:
+        docs[np.searchsorted(pair, p)] += n
+    return pair, docs
+
+
 def chunked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Chunks of whole texts with their segments, tokens and pairs, written."""
+    """Whole texts with their segments and tokens, written. Those that were cut together have one ``chunk`` number,
+    and the last row of them has its pairs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = texts.mapInArrow(_cut_chunks(path_a, path_b), "doc_ids array<long>, n_segments array<int>, n_a array<int>, "
-                            "n_b array<int>, a binary, b binary, segments binary, pairs array<long>, docs array<int>")
-    return settle(made.withColumn("chunk", F.monotonically_increasing_id()), "token-chunks")
+    made = texts.mapInArrow(_cut_chunks(path_a, path_b), "doc_ids array<long>, n_segments array<int>, n_a array<int>, n_b array<int>, "
+                            "a binary, b binary, segments binary, pairs array<long>, docs array<int>, behind long")
+    # Ids go up by one within a task, so rows that follow one another get the id of the last of them.
+    return settle(made.withColumn("chunk", F.monotonically_increasing_id() + F.col("behind")).drop("behind"),
+                  "token-chunks", _ROWS_PER_FILE)
 
 
 class PerfectHash:

@@ -54,11 +54,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that later uses do not
-    recompute it and a lost executor costs no upstream work."""
+    recompute it and a lost executor costs no upstream work. Rows of megabytes go to files
+    of ``rows_per_file``, since the writer and the readers of a file hold many rows at once."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("maxRecordsPerFile", rows_per_file) if rows_per_file else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,9 +3,12 @@
 import hashlib
 import os
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftflow.llm import alignment as al
@@ -107,3 +110,44 @@ def test_perfect_hash():
         assert sorted(made.slots(keys)) == list(range(n))
         others = rng.choice(1 << 40, 100)
         assert (made.slots(others) < max(n, 1)).all()
+
+
+def cut_rows(texts):
+    """The rows of the first pass, made here."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    return list(al._cut_chunks(A, B)(iter([batch])))
+
+
+def test_small_slices_and_rows_say_the_same(monkeypatch):
+    rng = random.Random(5)
+    texts = TEXTS + [None, ""] + ["".join(rng.choice("abcdeXY éß  \n.,'-129あ🙂") for _ in range(rng.randrange(1, 90))) for _ in range(300)]
+    look, best = SimpleNamespace(value=lambda pair: pair % 97), SimpleNamespace(value=np.full(len(al.cutter(A, B).lengths[0]), 5))
+
+    def made():
+        rows = cut_rows(texts)
+        pairs = [dict(zip(r.column("pairs")[0].as_py(), r.column("docs")[0].as_py())) for r in rows]
+        out = [x for b in al._results(A, B, best, look)(iter(rows)) for x in b.to_pylist()]
+        return [r.column("behind")[0].as_py() for r in rows], [x for x in pairs if x], out
+
+    behind, pairs, want = made()
+    assert behind == [0] and len(pairs) == 1 and sum(x["n_links"] > 0 for x in want) > 300
+    monkeypatch.setattr(al, "_SLICE", 40)
+    monkeypatch.setattr(al, "_PIECE", 30)
+    behind, found, out = made()
+    assert len(behind) > 10 and behind == list(range(len(behind)))[::-1]
+    assert out == want and found == pairs
+
+
+def test_what_the_first_pass_holds_is_bounded():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(120_000)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(1400)]
+    al.cutter(A, B)
+    tracemalloc.start()
+    most = 0
+    for row in al._cut_chunks(A, B)(iter([pa.RecordBatch.from_arrays(
+            [pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])])):
+        most = max(most, row.nbytes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 << 20 and peak < 80 << 20, (most, peak)
