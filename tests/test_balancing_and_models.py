@@ -147,6 +147,19 @@ def test_days_are_fitted_at_the_same_time(spark):
     assert all(r[2] == r[3] for r in together)
 
 
+def test_a_day_trains_on_all_cores(spark, monkeypatch):
+    """Its rows are dealt out, though they are written to a few small files."""
+    rows = spark.range(600).coalesce(1).select(
+        (F.col("id") % 4).cast("int").alias("day"), F.when(F.col("id") % 7 < 3, "Bot").otherwise("Benign").alias("label"),
+        (F.col("id") % 7).cast("double").alias("a"), F.col("id").cast("string").alias("row_key"))
+    seen, fit = [], models.fit
+    monkeypatch.setattr(models, "fit", lambda stages, train: seen.append((train.rdd.getNumPartitions(), train.count())) or fit(stages, train))
+    adaptive_experiment.adaptive_scores(
+        rows, rows, timeline.timeline(spark, range(4)), scaling.MinMax((("a", 0.0, 6.0),)), F.col("row_key"),
+        {"tree": (models.forest(["a"], trees=3, depth=4), None)})
+    assert seen == [(spark.sparkContext.defaultParallelism, 450)]
+
+
 def test_a_forest_grown_in_steps_goes_on_where_it_was(spark, tmp_path):
     rows = [(1, float(i % 10), float(i % 7), int(i % 10 >= 5)) for i in range(200)]
     train = spark.createDataFrame(rows, "day int, a double, b double, target int")
